@@ -24,7 +24,7 @@ WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Scripts whose letters are assigned alike in every Unicode version in use; other texts go whole to the tokenizer.
 SETTLED = r"[^\x{0}-\x{52F}\x{2000}-\x{206F}\x{20A0}-\x{20BF}]"
 #: Words in a worker's table before it starts afresh, and words handled at a time: both bound a worker's memory.
-TABLE_WORDS, SLICE_WORDS = 600_000, 300_000
+TABLE_WORDS, SLICE_WORDS = 800_000, 300_000
 LONG_WORD = 64
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, langid, packing
 
 QUERIES = {
+    "op4_hilbert_packing": packing.op4_hilbert_packing,
+    "op5_language_mixture": langid.op5_language_mixture,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
 }
 
