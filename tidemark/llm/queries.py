@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing
+from . import bpe, langid, packing, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_language_mixture": langid.op5_language_mixture,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
