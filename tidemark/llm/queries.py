@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, toxicity
+from . import bpe, langid, packing, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_language_mixture": langid.op5_language_mixture,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
