@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, quality, toxicity
+from . import bpe, langid, packing, pii, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_mixture": langid.op5_language_mixture,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
