@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, pii, quality, toxicity
+from . import bpe, jaccard, langid, packing, pii, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_language_mixture": langid.op5_language_mixture,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_pii": pii.op10_pii,
 }
