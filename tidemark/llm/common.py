@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,9 @@ def fold(doc_id: Column | str, buckets: int) -> Column:
 def words(text: Column) -> Column:
     """Array of the text's words; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), "")
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, packing, pii, quality, toxicity
+from . import bpe, jaccard, langid, packing, pii, quality, suffixes, toxicity
 
 QUERIES = {
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_language_mixture": langid.op5_language_mixture,
