@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, packing, pii, quality, suffixes, toxicity
+from . import bpe, jaccard, langid, neighbours, packing, pii, quality, suffixes, toxicity
 
 QUERIES = {
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_hilbert_packing": packing.op4_hilbert_packing,
     "op5_language_mixture": langid.op5_language_mixture,
+    "op6_multi_index": neighbours.op6_multi_index,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_quality_rules": quality.op9_quality_rules,
