@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fold, table
 
@@ -144,41 +145,52 @@ def mixtures(log_w: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     return full, best
 
 
-def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (share of that language among all learned), langs and shares of the chosen set.
+FOUND = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("langs", pa.list_(pa.string())), pa.field("shares", pa.list_(pa.float64()))]
+
 
-    ``und`` with score 0 and empty arrays: a null text, one without a letter, or no language learned. A null doc_id stays
-    null, repeated rows give repeated rows, other columns are dropped, ties go to the language first by name.
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred, score (share of that language among all learned), langs and shares of the chosen set; all
+    columns of ``docs`` stay.
+
+    ``und`` with score 0 and empty arrays: a null text, one without a letter, or no language learned. Repeated rows stay,
+    ties go to the language first by name, an empty table gives an empty one.
     """
     langs, log_p = model.langs, model.log_p
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
+
+    def rated(texts: pa.Array, known: np.ndarray) -> list[pa.Array]:
+        n, names = len(texts), np.array(langs, object)
+        code, owner, begins = trigrams(texts)
+        if not len(code) or not langs:
+            best = full = np.full((n, max(1, len(langs))), 1 / max(1, len(langs)))
+        else:
+            word = np.flatnonzero(begins)
+            log_w = np.add.reduceat(log_p[code], word, axis=0) * np.float32(TEMPER)
+            full, best = mixtures(log_w, owner[word], n)
+        top = best.argmax(axis=1)
+        known = known & bool(langs)
+        pred = np.where(known, names[top], "und") if langs else np.full(n, "und", object)
+        score = np.where(known, np.clip(full[np.arange(n), top], 0, 1), 0.0)
+        kept = [[(names[k], float(row[k])) for k in np.argsort(-row, kind="stable") if row[k] > 0] if ok else [] for row, ok in zip(best, known, strict=True)]
+        return [pa.array(pred, FOUND[0].type), pa.array(score), pa.array([[a for a, _ in x] for x in kept], FOUND[2].type), pa.array([[b for _, b in x] for x in kept], FOUND[3].type)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(langs, object)
         for batch in batches:
-            for lo, hi in slices(batch.column("text")):
-                n = hi - lo
-                known = np.array(batch.column("known").slice(lo, n).to_pylist(), bool)
-                code, owner, begins = trigrams(batch.column("text").slice(lo, n))
-                if not len(code) or not langs:  # letters that leave no trigram can't occur: every letter is one
-                    best = full = np.full((n, max(1, len(langs))), 1 / max(1, len(langs)))
-                else:
-                    word = np.flatnonzero(begins | (np.diff(owner, prepend=-1) != 0))
-                    log_w = np.add.reduceat(log_p[code], word, axis=0) * np.float32(TEMPER)
-                    full, best = mixtures(log_w, owner[word], n)
-                top = best.argmax(axis=1)
-                known &= bool(langs)
-                pred = np.where(known, names[top], "und") if langs else np.full(n, "und", object)
-                score = np.where(known, np.clip(full[np.arange(n), top], 0, 1), 0.0)
-                kept = [[(names[k], float(row[k])) for k in np.argsort(-row, kind="stable") if row[k] > 0] if ok else [] for row, ok in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, n), pa.array(pred, pa.string()), pa.array(score), pa.array([[a for a, _ in x] for x in kept], pa.list_(pa.string())), pa.array([[b for _, b in x] for x in kept], pa.list_(pa.float64()))],
-                    schema=schema,
-                )
+            for lo, hi in slices(batch.column("_text")):
+                part = batch.slice(lo, hi - lo)
+                made = rated(part.column("_text"), np.array(part.column("_known").to_pylist(), bool))
+                own = [f for f in part.schema if f.name not in ("_text", "_known")]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in own), *made], schema=pa.schema([*own, *FOUND]))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.regexp(text, F.lit(r"\p{L}")).alias("known"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
+    rows = docs.withColumns({"_text": text, "_known": F.regexp(text, F.lit(r"\p{L}"))})
+    kinds = "lang_pred string, score double, langs array<string>, shares array<double>"
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(kinds).fields])
+    return rows.mapInArrow(run, schema)
+
+
+def detect(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id with what ``with_language`` finds; a null doc_id stays null."""
+    return with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 
 
 def fit_and_detect(train: DataFrame, docs: DataFrame) -> DataFrame:

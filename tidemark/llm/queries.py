@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, neighbours, packing, pii, quality, suffixes, toxicity
+from . import bpe, jaccard, langid, licences, neighbours, packing, pii, quality, suffixes, toxicity
 
 QUERIES = {
+    "op1_license_scan": licences.op1_license_scan,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_hilbert_packing": packing.op4_hilbert_packing,
