@@ -1,17 +1,74 @@
-"""The corpus pipeline: stages that each write a table which the next one reads as its documents."""
+"""The corpus pipeline: five stages, each over all that the stage before kept, written as Parquet in between."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-#: The stages learn models and pack tokens, which SQL can't express.
+from tidemark.llm import jaccard, langid, packing, pii, suffixes
+from tidemark.llm.common import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars brought up to date."""
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language go: null texts and texts without a letter."""
+    docs = docs.select(*COLUMNS)
+    model = langid.fit(langid.training_rows(docs))
+    return langid.with_language(docs, model).filter(F.col("lang_pred") != "und").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the least id stays, once; documents without
+    an id or a shingle stay."""
+    groups = jaccard.near_duplicates(docs, size=5, percent=80)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes that occur twice go from every text; so does a character of which only some bytes stay. A
+    text of which nothing stays goes as a whole."""
+    found = suffixes.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
+    # a broken character's bytes become the replacement character, which texts of whole characters don't gain otherwise
+    whole = F.when(F.col("n_removed") == 0, F.col("_text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    out = found.select("doc_id", whole.alias("text"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_n_chars").alias("n_chars"), "n_removed")
+    return _documents(out.filter((F.col("n_removed") == 0) | F.regexp("text", F.lit(r"\S"))))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become their kind in square brackets."""
+    _, model = pii.find(docs)
+    return _documents(pii.redact(docs.select(*COLUMNS), model))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of up to 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+#: Learned models and token ids are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents."""
+    """All stages over the documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
