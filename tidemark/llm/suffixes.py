@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, partitions, remove, table, tidy
 from .hashing import BYTE, STEP, buffer, mix, slices
@@ -34,7 +35,7 @@ LENGTH = 400
 WINDOW, KMER = 129, 16
 KEY = LENGTH - WINDOW + 1
 #: Classes that share KEY bytes and still meet in one task; suffixes of one run; stretch of a very long text handled at a time.
-CROWD, RUN, STRETCH = 256, 50_000, 4 << 20
+CROWD, RUN, STRETCH = 256, 20_000, 1 << 20
 #: Splitters are drawn from so many classes, chosen by hash; parts for each shuffle partition.
 SAMPLE, PARTS = 4096, 4
 
@@ -48,7 +49,7 @@ class Hasher:
     def __init__(self, raw: np.ndarray):
         n = len(raw) + 1
         if n > len(Hasher.powers):
-            size = max(n, 5 << 20)
+            size = max(n, 2 << 20)
             step, back = int(STEP[0]), pow(int(STEP[0]), -1, 1 << 64)
             for name, base in (("powers", step), ("inverse", back)):
                 table = np.full(size, base, np.uint64)
@@ -81,10 +82,10 @@ def anchors(raw: np.ndarray, lo: int, hi: int, hashes: Hasher) -> tuple[np.ndarr
     return lo + least[first].astype(np.int64), lo + first, lo + np.append(first[1:], n) - 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key that rows share only if both are equal."""
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (null: empty), a key that rows share only if both are equal, and the named other columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"), *[F.col(c).alias(f"_{c}") for c in carry])
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
@@ -361,24 +362,24 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     return cut(copies.unionByName(once).unionByName(crowd), "suffix-stretches")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document: every byte goes that a
-    string of LENGTH bytes covers which starts anywhere else too, in whatever document; all is judged on the input.
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document, and the columns named in
+    ``carry`` led by "_": every byte goes that a string of LENGTH bytes covers which starts anywhere else too, in whatever
+    document; all is judged on the input.
 
     A null text is empty; a null doc_id stays null. Rows that repeat a document repeat each other, so texts of LENGTH bytes
     or more vanish from both. Other columns are dropped; an empty table gives an empty one.
     """
-    docs = keyed(docs)
+    docs = keyed(docs, carry)
     spans = repeated_stretches(docs)
     tidy(docs.sparkSession)
     by = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    schema = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.binary()], strict=True)))
+    made = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, starts, ends in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("starts"), batch.column("ends"), strict=True):
+            for text, starts, ends in zip(batch.column("text"), batch.column("starts"), batch.column("ends"), strict=True):
                 raw, at, kept = text.as_buffer().to_pybytes(), 0, []
                 cuts = stretches(list(zip(starts.as_py() or [], ends.as_py() or [], strict=True)))
                 for a, b in cuts:
@@ -386,11 +387,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     at = b
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                rows.append((doc, len(raw), len(raw) - len(rest), len(cuts), rest))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
-
-    joined = docs.join(by, "key", "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+                rows.append((len(raw), len(raw) - len(rest), len(cuts), rest))
+            own = [f for f in batch.schema if f.name not in ("text", "starts", "ends")]
+            new = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), *new], schema=pa.schema([*own, *made]))
+
+    joined = docs.join(by, "key", "left").select("doc_id", *[f"_{c}" for c in carry], "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    kinds = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = StructType([*joined.drop("text", "starts", "ends").schema.fields, *kinds.fields])
+    return joined.mapInArrow(run, schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
