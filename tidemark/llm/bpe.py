@@ -12,6 +12,7 @@ The word table lives per worker rather than as one global Spark join: invented o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Scripts whose letters are assigned alike in every Unicode version in use; other texts go whole to the tokenizer.
 SETTLED = r"[^\x{0}-\x{52F}\x{2000}-\x{206F}\x{20A0}-\x{20BF}]"
 #: Words in a worker's table before it starts afresh, and words handled at a time: both bound a worker's memory.
-TABLE_WORDS, SLICE_WORDS = 800_000, 300_000
+TABLE_WORDS, SLICE_WORDS = 800_000, 500_000
 LONG_WORD = 64
 
 
@@ -76,14 +77,17 @@ class WordTable:
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1, np.int64)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For distinct ``words``: where the ids of each start, how many there are, and the flat ids."""
+    def encode_new(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct ``words``: where the ids of each start, how many there are, the flat ids, and the words' places."""
         if len(self.slot) > TABLE_WORDS:
             self.clear()
         new = [w for w in words if w not in self.slot]
         if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            flat = np.fromiter((i for ids in coded for i in ids), np.int32)
+            coded = self.encode_new(new)
+            flat = np.fromiter(chain.from_iterable(coded), np.int32)
             ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
             while ends[-1] > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -95,7 +99,7 @@ class WordTable:
         for w in new:  # whole texts and oddities aren't worth keeping
             if len(w) > LONG_WORD:
                 del self.slot[w]
-        return self.ends[at], self.ends[at + 1] - self.ends[at], self.ids
+        return self.ends[at], self.ends[at + 1] - self.ends[at], self.ids, at
 
 
 def gather(start: np.ndarray, count: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -132,7 +136,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, special: tuple[str, ...]
                 hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_WORDS, "right")) - 1)
                 hi = min(hi, len(keys))
                 coded = lists.values.slice(ends[lo], ends[hi] - ends[lo]).dictionary_encode()
-                start, count, flat = table.encode(coded.dictionary.to_pylist())
+                start, count, flat, _ = table.encode(coded.dictionary.to_pylist())
                 at = coded.indices.to_numpy(zero_copy_only=False)
                 n = count[at]
                 ids = gather(start[at], n, flat)

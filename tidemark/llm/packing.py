@@ -20,7 +20,69 @@ from .bpe import SLICE_WORDS, WordTable, gather
 from .common import cut, partitions
 
 DIMS, BITS = 3, 16
-_tables: dict[str, WordTable] = {}
+# Fixed value: the vocabulary's own pre-tokenizer, which works on lower-case text.
+PART = r"(?U)'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Outside these characters lower case and normal forms aren't plain; such texts go whole to the tokenizer.
+PLAIN = r"[^\x{0}-\x{12F}\x{131}-\x{17F}\x{2010}-\x{2027}\x{20AC}]"
+#: Leads a whole text; no part has an upper-case letter.
+WHOLE = "\x00W"
+
+
+class PartTable(WordTable):
+    """A word table whose words are parts as the pre-tokenizer makes them, so the merges apply to each directly; with
+    each part's projection."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model = self.tokenizer.model
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in set(kept)]
+        self.printable = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+    def clear(self) -> None:
+        super().clear()
+        self.places = np.zeros((0, DIMS), np.float32)
+        self.more: list[np.ndarray] = []
+
+    def encode_new(self, words: list[str]) -> list[list[int]]:
+        tokens, printable = self.model.tokenize, self.printable
+        self.more.append(project(words))
+        return [
+            self.tokenizer.encode(w[len(WHOLE) :], add_special_tokens=False).ids if w.startswith(WHOLE) else [t.id for t in tokens(w.encode().decode("latin-1").translate(printable))]
+            for w in words
+        ]
+
+    def projections(self) -> np.ndarray:
+        if self.more:
+            self.places = np.concatenate([self.places, *self.more])
+            self.more = []
+        return self.places
+
+
+_tables: dict[str, PartTable] = {}
+
+
+def split_parts(text: Column, special: tuple[str, ...]) -> Column:
+    """The pre-tokenizer's parts of a text, whose encodings make up the text's; or the whole text, led by WHOLE, where it
+    has a special token's string or other than plain characters."""
+    whole = F.regexp(text, F.lit(PLAIN))
+    for token in special:
+        whole = whole | F.contains(text, F.lit(token))
+    return (
+        F.when(text.isNull(), F.array().cast("array<string>"))
+        .when(whole, F.array(F.concat(F.lit(WHOLE), text)))
+        .otherwise(F.regexp_extract_all(F.lower(text), F.lit(PART), F.lit(0)))
+    )
+
+
+def projections(self) -> np.ndarray:
+        if self.more:
+            self.places = np.concatenate([self.places, *self.more])
+            self.more = []
+        return self.places
+
+
+_tables: dict[str, PartTable] = {}
 
 
 def split_blanks(text: Column, special: tuple[str, ...]) -> Column:
@@ -80,7 +142,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, special: tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tables:
-            _tables[path] = WordTable(path)
+            _tables[path] = PartTable(path)
             if _tables[path].tokenizer.get_vocab_size() > 1 << 16:
                 raise ValueError("ids of this vocabulary need more than 16 bits")
         words_of = _tables[path]
@@ -92,7 +154,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, special: tuple[s
                 hi = min(len(keys), max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_WORDS, "right")) - 1))
                 coded = lists.values.slice(ends[lo], ends[hi] - ends[lo]).dictionary_encode()
                 distinct = coded.dictionary.to_pylist()
-                start, count, flat = words_of.encode(distinct)
+                start, count, flat, place = words_of.encode(distinct)
                 at = coded.indices.to_numpy(zero_copy_only=False)
                 bounds = (ends[lo : hi + 1] - ends[lo]).astype(np.int64)
                 n = count[at]
@@ -104,16 +166,18 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, special: tuple[s
                 body[last - 1] = False
                 ids[body] = gather(start[at], n, flat)
                 ids[last - 1] = end_id
-                sums = np.concatenate([np.zeros((1, DIMS)), np.cumsum(project(distinct)[at], axis=0, dtype=np.float64)])
-                spread = np.sqrt(np.maximum(np.diff(bounds), 1))[:, None]
-                place = 1 / (1 + np.exp(-np.clip((sums[bounds[1:]] - sums[bounds[:-1]]) / spread, -30, 30)))
-                key = hilbert_key(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
+                parts = np.diff(bounds)
+                total = np.zeros((hi - lo, DIMS))
+                if (some := parts > 0).any():
+                    total[some] = np.add.reduceat(words_of.projections()[place][at], bounds[:-1][some], axis=0)
+                spot = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(parts, 1))[:, None], -30, 30)))
+                key = hilbert_key(np.minimum((spot * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
                 offsets = np.concatenate([[0], last * 2]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), packed, pa.array(size.astype(np.int32)), pa.array(key)], schema=schema)
                 lo = hi
 
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_blanks(F.col("text"), special).alias("words"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_parts(F.col("text"), special).alias("words"))
     return split.mapInArrow(run, "doc_id long, ids binary, n_ids int, key long")
 
 
