@@ -21,6 +21,9 @@ SAMPLE_ROWS = 20_000
 #: Words learned for the lexicon, at most; each is in so many of the sample's toxic documents, and in such a share of them.
 LEARNED_WORDS, LEAST_DOCS, LEAST_SHARE = 400, 8, 0.01
 
+#: How a given label votes: P(toxic, not toxic given | toxic) and the same for texts that aren't.
+GIVEN_ON, GIVEN_OFF = (0.85, 0.15), (0.01, 0.99)
+
 # A general lexicon of insults, by language.
 LEXICON = {
     "en": "idiot idiots stupid moron morons loser losers worthless pathetic disgusting scum trash clown dumb fool imbecile jerk creep filth filthy garbage vermin hate ugly shut liar coward bastard bitch crap damn hell",
@@ -78,7 +81,7 @@ def learned_words(sample: DataFrame) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """A voter that doesn't vote abstains, which is no evidence; the last voter speaks where all others abstain."""
+    """A voter that doesn't vote abstains, which is no evidence; the last voter speaks where the text's voters all abstain."""
 
     prior: float
     on: np.ndarray  # P(voter votes | toxic)
@@ -90,22 +93,28 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def label_model(x: np.ndarray, lexical: int, prior: float, rounds: int = 40) -> LabelModel:
-    """Accuracies by expectation-maximisation from the votes alone (rows x voters, of which the first ``lexical`` are
-    words), starting from "any lexicon word"; then correlations: voters whose votes co-vary within a class share one
-    weight, and accuracies are estimated again."""
+def label_model(x: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
+    """Accuracies by expectation-maximisation from votes (rows x voters; of the last three, two are the given label, toxic or
+    not, with accuracies that are known, and one speaks where the text's voters are silent), starting from the given
+    labels; then correlations: voters whose votes co-vary within a class share one weight, and accuracies are estimated
+    again."""
     share = np.ones(x.shape[1])
-    q = np.where(x[:, :lexical].any(axis=1), 0.9, 0.02)
+    q = np.where(x[:, -3] > 0, 0.9, 0.05)
     on = off = share
     for echo in (False, True):
-        for _ in range(rounds):
+        for _ in range(3 if echo else rounds):  # few voters of one echo can't tell the classes apart for long
             on = np.clip((q @ x + 0.5) / (q.sum() + 1), 1e-5, 1 - 1e-5)
             off = np.clip(((1 - q) @ x + 0.1) / ((1 - q).sum() + 1), 1e-5, 1 - 1e-5)
+            on[-3:-1], off[-3:-1] = GIVEN_ON, GIVEN_OFF
             q = LabelModel(prior, on, off, share).posterior(x)
         if not echo:
-            rest = x - (q[:, None] * on + (1 - q)[:, None] * off)
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            share = 1 / np.maximum(1, (np.abs(rest.T @ rest / len(x) / scale / scale[:, None]) > 0.5).sum(axis=0))
+            means = np.stack([((1 - q) @ x) / max((1 - q).sum(), 1e-9), (q @ x) / max(q.sum(), 1e-9)])
+            rest = x - np.outer(q, means[1]) - np.outer(1 - q, means[0])
+            scale = np.sqrt((rest**2).mean(axis=0))
+            alive = scale > 1e-3  # a voter that is always or never right has no rest to compare
+            alive[-3:] = False  # these are no echo of words
+            alike = np.abs(rest.T @ rest) / len(x) > 0.5 * np.outer(scale, scale)
+            share = 1 / np.maximum(1, (alike & alive & alive[:, None]).sum(axis=0))
     return LabelModel(prior, on, off, share)
 
 
@@ -155,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     prior = float(np.clip(np.mean([r.toxic for r in rows]) if rows else 0, 0.001, 0.999))
     if not rows or not any(r.toxic for r in rows):
         return Classifier(words, np.zeros(x.shape[1]), -5.0)
-    voters = np.hstack([x, (x.sum(axis=1, keepdims=True) == 0)])
-    weights, bias = logistic(x, label_model(voters, len(words), prior).posterior(voters))
+    given = np.array([[float(r.toxic == 1), float(r.toxic != 1)] for r in rows])
+    voters = np.hstack([x, given, x.sum(axis=1, keepdims=True) == 0])
+    weights, bias = logistic(x, label_model(voters, prior).posterior(voters))
     return Classifier(words, weights, bias)
 
 
