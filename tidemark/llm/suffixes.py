@@ -332,7 +332,8 @@ def splitters_of(several: DataFrame, docs: DataFrame, parts: int) -> list[bytes]
 def candidates(docs: DataFrame) -> DataFrame:
     """Anchors whose KEY bytes occur at another anchor too."""
     rows = cut(anchor_rows(docs), "suffix-anchors")
-    twice = rows.groupBy("mh").count().filter("count > 1").select("mh")
+    # stored, so that the join below stands right on two exchanges and Spark can split a passage that very many texts share
+    twice = cut(rows.groupBy("mh").count().filter("count > 1").select("mh"), "suffix-twice")
     found = cut(rows.join(twice, "mh", "left_semi"), "suffix-candidates")
     remove(rows)
     return found
@@ -345,7 +346,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     tidy(spark)
     rep = F.min(F.struct("key", "at", "back", "width")).alias("rep")
     classes = cut(cands.groupBy("mh", "sh").agg(F.count("*").alias("n"), rep).select("mh", "sh", "n", "rep.*"), "suffix-classes")
-    sizes = classes.groupBy("mh").agg(F.count("*").alias("k")).filter("k > 1")
+    sizes = cut(classes.groupBy("mh").agg(F.count("*").alias("k")).filter("k > 1"), "suffix-sizes")
     several = cut(classes.join(sizes, "mh").withColumn("crowded", F.col("k") > CROWD), "suffix-several")
     tidy(spark)
     lists = several.groupBy("key").agg(F.collect_list(F.struct("n", "key", "at", "back", "width", "crowded")).alias("classes"))
