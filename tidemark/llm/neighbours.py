@@ -148,6 +148,7 @@ def blocks_of(placed: DataFrame, index: Index) -> DataFrame:
     place = ["label", "dim", "cell"]
     sizes = placed.groupBy(*place).agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks"))
     dealt = placed.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+    dealt = dealt.repartition(*place, "block")  # else a cell's blocks stay together where the join put them
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
