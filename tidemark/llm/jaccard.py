@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove, table
+from .common import cut, remove, table, tidy
 from .components import components
 from .hashing import mix, shingle_sets, slices
 
 #: Shingles are counted by hash in so many counters: 4 MB, whatever the input.
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 SKETCH = 256
+#: Bits that mark documents whose sets a verification needs.
+MARKS = 1 << 23
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -112,16 +114,31 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequency: np.ndarray) ->
     return _texts(docs).mapInArrow(run, "doc_id long, tokens array<long>")
 
 
-def whole_sets(docs: DataFrame, size: int) -> DataFrame:
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bit set of MARKS bits, 1 MB at any size of the input, with the bit of every id's hash."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1  # bitmap functions count from 1
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in rows:
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def whole_sets(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
+    """The sets of documents whose bit is set, and few others: most texts are skipped where they lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
     schema = pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _batches(batches):
-            hashes, sizes = shingle_sets(texts, size)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, lists], schema=schema)
+        for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            wanted = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1 == 1))
+            for ids, texts in _batches([wanted]):
+                hashes, sizes = shingle_sets(texts, size)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, lists], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, set array<long>")
+    return docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).mapInArrow(run, "doc_id long, set array<long>")
 
 
 def may_link(percent: int) -> Column:
@@ -139,7 +156,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     apart = sum((F.bit_count(F.get("sa", i).bitwiseXOR(F.get("sb", i))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("sa", 0).bitwiseXOR(F.get("sb", 0))))
     close = cut(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "jaccard-pairs")
     ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    sets = cut(whole_sets(_texts(docs).join(ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "jaccard-sets")
+    sets = whole_sets(_texts(docs), size, marked(ids)).join(ids, "doc_id", "left_semi")
+    sets = cut(sets.dropDuplicates(["doc_id"]), "jaccard-sets")
     full = close.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b")
     shared = full.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("i"))
     return cut(shared.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "jaccard-links")
@@ -163,10 +181,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     prefix = cut(rows, "jaccard-prefixes")
     least = F.min(F.struct("doc_id", "n", "pos")).alias("l")
     leaders = prefix.groupBy("token").agg(F.count("*").alias("k"), least).filter("k > 1").select("token", F.col("l.doc_id").alias("doc2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
-    shared = cut(prefix.join(leaders, "token"), "jaccard-shared")
+    shared = cut(prefix.join(cut(leaders, "jaccard-leaders"), "token"), "jaccard-shared")
     remove(prefix)
+    tidy(docs.sparkSession)
     stars = shared.filter((F.col("doc_id") != F.col("doc2")) & may_link(percent)).select(F.col("doc_id").alias("a"), F.col("doc2").alias("b"))
     first = verified(stars, docs, classes, size, percent)
+    tidy(docs.sparkSession)
     # second pass: shingles whose documents lie in several components
     found = components(first)
     placed = shared.select("token", "doc_id", "n", "pos").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
