@@ -6,7 +6,7 @@ filters (the last on parity sketches, which bound the symmetric difference from
 verification on whole sets.
 
 Links are found in two passes, neither of which enumerates the pairs of a group. First every prefix shingle links its
-documents to the least of them. Then, where a shingle's documents still lie in several components, those outside the
+documents to the least of them, of which each document tries the least that the filters leave. Then, where a shingle's documents still lie in several components, those outside the
 largest one meet all others of that shingle. Pairs within one component can't change a component, so none is lost.
 """
 
@@ -148,19 +148,24 @@ def may_link(percent: int) -> Column:
     return length & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: suffix filter on sketches, then whole sets, once for each pair."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, one_each: bool = False) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: suffix filter on sketches, then whole sets, once for each pair. With
+    ``one_each`` only the pair with the least b is looked at for each a."""
     s = classes.select("doc_id", "n", "sketch")
     both = pairs.select("a", "b").distinct()
     both = both.join(s.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     apart = sum((F.bit_count(F.get("sa", i).bitwiseXOR(F.get("sb", i))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("sa", 0).bitwiseXOR(F.get("sb", 0))))
-    close = cut(both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "jaccard-pairs")
+    close = both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    if one_each:
+        close = close.groupBy("a").agg(F.min(F.struct("b", "na", "nb")).alias("m")).select("a", "m.*")
+    close = cut(close, "jaccard-pairs")
     ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    sets = whole_sets(_texts(docs), size, marked(ids)).join(ids, "doc_id", "left_semi")
-    sets = cut(sets.dropDuplicates(["doc_id"]), "jaccard-sets")
+    sets = cut(whole_sets(_texts(docs), size, marked(ids)), "jaccard-sets")
     full = close.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b")
     shared = full.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("i"))
-    return cut(shared.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "jaccard-links")
+    links = cut(shared.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "jaccard-links")
+    remove(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -185,7 +190,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     remove(prefix)
     tidy(docs.sparkSession)
     stars = shared.filter((F.col("doc_id") != F.col("doc2")) & may_link(percent)).select(F.col("doc_id").alias("a"), F.col("doc2").alias("b"))
-    first = verified(stars, docs, classes, size, percent)
+    first = verified(stars, docs, classes, size, percent, one_each=True)
     tidy(docs.sparkSession)
     # second pass: shingles whose documents lie in several components
     found = components(first)
