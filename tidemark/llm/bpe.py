@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the word pattern of byte-level BPE (public; the vocabulary's own pre-tokenizer).
-WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD = r"(?U) ?\p{L}++| ?\p{N}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Scripts whose letters are assigned alike in every Unicode version in use; other texts go whole to the tokenizer.
 SETTLED = r"[^\x{0}-\x{52F}\x{2000}-\x{206F}\x{20A0}-\x{20BF}]"
 #: Words in a worker's table before it starts afresh, and words handled at a time: both bound a worker's memory.

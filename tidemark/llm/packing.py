@@ -21,7 +21,7 @@ from .common import cut, partitions
 
 DIMS, BITS = 3, 16
 # Fixed value: the vocabulary's own pre-tokenizer, which works on lower-case text.
-PART = r"(?U)'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PART = r"(?U)\p{L}++|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]++"
 #: Outside these characters lower case and normal forms aren't plain; such texts go whole to the tokenizer.
 PLAIN = r"[^\x{0}-\x{12F}\x{131}-\x{17F}\x{2010}-\x{2027}\x{20AC}]"
 #: Leads a whole text; no part has an upper-case letter.
