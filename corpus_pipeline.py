@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, langid, packing, pii, suffixes
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,7 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates (five words, 0.8) the document with the least id stays, once; documents without
     an id or a shingle stay."""
     groups = jaccard.near_duplicates(docs, size=5, percent=80)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = cut(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "pipeline-gone")
+    tidy(spark)
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
 
