@@ -41,11 +41,11 @@ def test_asset_survives_a_bad_file(spark, tmp_path):
     bad = write(tmp_path, HEAD + "2024.01.05,13:45,x,2,0,2,1\n")
     assets, market = str(tmp_path / "assets"), str(tmp_path / "market")
     with pytest.raises(Exception):  # noqa: B017
-        jobs.ingest_csv(spark, bad, "US100", assets, market)
-    assert [r.symbol for r in spark.read.parquet(assets).collect()] == ["US100"]
-    jobs.ingest_csv(spark, write(tmp_path, HEAD + GOOD, "g.csv"), "US100", assets, market)
+        jobs.ingest_csv(spark, bad, "ABC", assets, market)
+    assert [r.symbol for r in spark.read.parquet(assets).collect()] == ["ABC"]
+    jobs.ingest_csv(spark, write(tmp_path, HEAD + GOOD, "g.csv"), "ABC", assets, market)
     assert spark.read.parquet(assets).count() == 1
-    assert spark.read.parquet(market).select("asset_id").first()[0] == "asset:US100"
+    assert spark.read.parquet(market).select("asset_id").first()[0] == "asset:ABC"
 
 
 def test_conform(spark):
