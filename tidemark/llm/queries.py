@@ -17,4 +17,25 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Links (a, b) to each node's least reachable node, the node itself included.
+REACH = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+component AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_multi_index": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+ WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT DISTINCT a AS id FROM both_ways), {REACH}
+SELECT v.vec_id, (SELECT count(*) FROM both_ways l WHERE l.a = v.vec_id) AS n_links, coalesce(c.component_id, v.vec_id) AS component_id,
+ coalesce(c.component_id, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN component c ON c.id = v.vec_id""",
+    "op8_ngram_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+ WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.g = y.g AND x.doc_id < y.doc_id
+ GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT DISTINCT a AS id FROM both_ways), {REACH}
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM s LEFT JOIN component c ON c.id = s.doc_id""",
+}
