@@ -21,7 +21,7 @@ from .common import fold, table
 BUCKETS = 1 << 15
 ROUNDS = 6
 #: Bytes handled at a time in a task, which bounds its memory; a single longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A further language must gain this many times half the log of the number of words.
 PENALTY = 6.0
 #: Trigrams overlap; their log likelihoods are scaled so that a letter counts about once.
@@ -175,14 +175,14 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column("_text")):
+            texts = batch.column("text").fill_null("")
+            for lo, hi in slices(texts):
                 part = batch.slice(lo, hi - lo)
-                made = rated(part.column("_text"), np.array(part.column("_known").to_pylist(), bool))
-                own = [f for f in part.schema if f.name not in ("_text", "_known")]
+                made = rated(texts.slice(lo, hi - lo), np.array(part.column("_known").to_pylist(), bool))
+                own = [f for f in part.schema if f.name != "_known"]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in own), *made], schema=pa.schema([*own, *FOUND]))
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"_text": text, "_known": F.regexp(text, F.lit(r"\p{L}"))})
+    rows = docs.withColumn("_known", F.coalesce(F.regexp("text", F.lit(r"\p{L}")), F.lit(False)))
     kinds = "lang_pred string, score double, langs array<string>, shares array<double>"
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(kinds).fields])
     return rows.mapInArrow(run, schema)

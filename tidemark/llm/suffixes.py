@@ -116,6 +116,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
                     if j - i > 1:
                         break
+        pa.default_memory_pool().release_unused()
 
     return docs.select("key", "text").mapInArrow(run, "mh long, sh long, key long, at int, back int, width int")
 
