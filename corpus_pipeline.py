@@ -36,9 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes that occur twice go from every text; so does a character of which only some bytes stay. A
     text of which nothing stays goes as a whole."""
-    found = suffixes.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
-    # a broken character's bytes become the replacement character, which texts of whole characters don't gain otherwise
-    whole = F.when(F.col("n_removed") == 0, F.col("_text")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    found = suffixes.remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    # a broken character's bytes become the replacement character
+    whole = F.when(F.col("n_removed") == 0, text).otherwise(F.regexp_replace(text, "�", ""))
     out = found.select("doc_id", whole.alias("text"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_n_chars").alias("n_chars"), "n_removed")
     return _documents(out.filter((F.col("n_removed") == 0) | F.regexp("text", F.lit(r"\S"))))
 
