@@ -9,6 +9,8 @@ from tidemark.llm import jaccard, langid, packing, pii, suffixes
 from tidemark.llm.common import cut, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A repeated passage of over 50 words goes, however short its words are; of 400 bytes, however few its words are.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 400
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -34,9 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that occur twice go from every text; so does a character of which only some bytes stay. A
+    """Passages of over 50 words, or of 400 bytes, that occur twice go from every text; so does a character of which only some bytes stay. A
     text of which nothing stays goes as a whole."""
-    found = suffixes.remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    found = suffixes.remove_repeats(docs, carry=("lang", "source", "n_chars"), length=PASSAGE_BYTES, words=PASSAGE_WORDS)
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     # a broken character's bytes become the replacement character
     whole = F.when(F.col("n_removed") == 0, text).otherwise(F.regexp_replace(text, "�", ""))

@@ -119,6 +119,46 @@ def test_repeated_passages(make, sf_docs, monkeypatch):
     assert suffixes.remove_repeats(make(ODD).limit(0)).count() == 0
 
 
+def plain_word_repeats(docs, words, length=400):
+    """What stays of each text: no byte of a repeated string of ``length`` bytes, none of a repeated run of ``words`` words."""
+    raw = [t.encode() for _, t in docs]
+    count = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    places = [[(len(t[: m.start()].encode()), len(t[: m.end()].encode()), m.group().translate(LOWER)) for m in WORD.finditer(t)] for _, t in docs]
+    runs = collections.Counter(tuple(x[2] for x in w[i : i + words]) for w in places for i in range(len(w) - words + 1))
+    out = collections.Counter()
+    for (i, _), b, w in zip(docs, raw, places, strict=True):
+        gone = bytearray(len(b))
+        spans = [(p, p + length) for p in range(len(b) - length + 1) if count[b[p : p + length]] > 1]
+        spans += [(w[k][0], w[k + words - 1][1]) for k in range(len(w) - words + 1) if runs[tuple(x[2] for x in w[k : k + words])] > 1]
+        for a, z in spans:
+            gone[a:z] = b"\1" * (z - a)
+        out[(i, bytes(x for x, g in zip(b, gone, strict=True) if not g))] += 1
+    return out
+
+
+def test_passages_of_over_50_words_go(spark, make, sf_docs, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefé", k=rng.randint(1, 5)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    p51, p50, p90, crowd = some(51), some(50), some(90), some(53)
+    assert len(p51.encode()) < 400
+    docs = [(1, f"{some(9)} {p51} {some(30)}"), (2, f"{some(4)} {p51} {some(70)}"), (3, f"{some(9)} {p50} {some(8)}"), (4, f"{some(2)} {p50} {some(5)}"),
+            (5, some(3) + " \n " + p90.upper().replace(" ", "\n ") + " end"), (6, p90), (7, f"{p90[:150]}x{p90[150:]} {some(3)}"),
+            (8, "x" * 450 + some(5)), (9, "y " + "x" * 450), (10, p51 + "s"), (11, ""), (12, " \n")]
+    docs += [(20 + i, f"{some(i + 1)} {crowd} {some(12)}") for i in range(12)]
+    both = make(docs).select("doc_id", "text").union(sf_docs.select("doc_id", "text"))
+    expected = plain_word_repeats([(r.doc_id, r.text) for r in both.collect()], 51)
+    kept = lambda: collections.Counter((r.doc_id, bytes(r.kept)) for r in suffixes.remove_repeats(both, words=51).collect())
+    assert kept() == expected
+    monkeypatch.setattr(suffixes, "CROWD", 2)
+    assert kept() == expected
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, make(docs), SF).collect()}
+    assert p51 not in out[1] and p51 not in out[2] and out[3] == docs[2][1] and out[4] == docs[3][1] and "x" * 400 not in out[8]
+    assert all(crowd not in out[20 + i] for i in range(12))
+
+
 def test_long_texts_are_handled_in_stretches(monkeypatch):
     """The anchors of a text's windows are the same whether it is handled at once or in stretches."""
     rng = np.random.default_rng(5)

@@ -14,11 +14,15 @@ suffixes in a run would be. What is left is sorted:
 
 KEY bytes that more than CROWD classes share (a licence in many settings) would crowd one task. The windows of such
 classes are counted by hash over all tasks instead, which is exact and has no such limit.
+
+Passages of so many words are found the same way in texts of which each word is written as its hash of SYMBOL bytes: a
+Rule says how long a window is and by what step windows start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import cut, partitions, remove, table, tidy
-from .hashing import BYTE, STEP, buffer, mix, slices
+from .hashing import BLANK, BYTE, STEP, buffer, mix, slices, word_hashes
 
 #: A passage counts from so many bytes on.
 LENGTH = 400
@@ -38,6 +42,47 @@ KEY = LENGTH - WINDOW + 1
 CROWD, RUN, STRETCH = 256, 20_000, 1 << 20
 #: Splitters are drawn from so many classes, chosen by hash; parts for each shuffle partition.
 SAMPLE, PARTS = 4096, 4
+#: Bytes of a word's hash.
+SYMBOL = 8
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Windows of ``length`` bytes that start at each byte (step 1), or of ``length`` / SYMBOL words that start at each
+    word of a text written in hashes (step SYMBOL). WINDOW and KEY in proportion to the length."""
+
+    length: int = LENGTH
+    step: int = 1
+
+    @property
+    def window(self) -> int:
+        """Places among which a window's anchor is chosen, in steps."""
+        return max(1, self.length * WINDOW // (LENGTH * self.step))
+
+    @property
+    def key(self) -> int:
+        return self.length - (self.window - 1) * self.step
+
+    def read(self, texts: pa.Array) -> pa.Array:
+        """The texts as windows see them."""
+        if self.step == 1:
+            return texts
+        hashes, count = word_hashes(texts)
+        ends = (np.append(0, np.cumsum(count)) * SYMBOL).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(hashes))])
+
+
+BYTES = Rule()
+
+
+def word_rule(words: int) -> Rule:
+    return Rule(words * SYMBOL, SYMBOL)
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends."""
+    edges = np.flatnonzero(np.diff((~BLANK[np.frombuffer(raw, np.uint8)]).astype(np.int8), prepend=0, append=0))
+    return edges[::2], edges[1::2]
 
 
 class Hasher:
@@ -70,16 +115,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def anchors(raw: np.ndarray, lo: int, hi: int, hashes: Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, lo: int, hi: int, hashes: Hasher, rule: Rule = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the text raw[lo:hi]: the anchors' places, and the first and last window start that each one stands for. The
-    anchor of a window of LENGTH bytes is the leftmost least k-mer among its first WINDOW, so equal windows have it at
-    the same place."""
-    n = hi - lo - LENGTH + 1
-    at = np.arange(lo, hi - KMER + 1)
+    anchor of a window is the leftmost least k-mer among its first ``rule.window``, so equal windows have it at the same
+    place."""
+    step = rule.step
+    n = (hi - lo - rule.length) // step + 1
+    at = np.arange(lo, hi - KMER + 1, step)
     kmers = hashes.stretch(at, at + KMER)
-    least = sliding_min((kmers & ~np.uint64(0xFFFFFFFF)) | (at - lo).astype(np.uint64), WINDOW)[:n] & np.uint64(0xFFFFFFFF)
+    least = sliding_min((kmers & ~np.uint64(0xFFFFFFFF)) | np.arange(len(at), dtype=np.uint64), rule.window)[:n] & np.uint64(0xFFFFFFFF)
     first = np.flatnonzero(np.diff(least.astype(np.int64), prepend=-1))
-    return lo + least[first].astype(np.int64), lo + first, lo + np.append(first[1:], n) - 1
+    return lo + step * least[first].astype(np.int64), lo + step * first, lo + step * (np.append(first[1:], n) - 1)
 
 
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,7 +134,7 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"), *[F.col(c).alias(f"_{c}") for c in carry])
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def anchor_rows(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     """For each anchor: mh and sh (hashes of the KEY bytes at it, and of all bytes of its windows), key, at, back (from
     the first window's start to the anchor) and width (from the first to the last window's start)."""
     names = ["mh", "sh", "key", "at", "back", "width"]
@@ -97,21 +143,21 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slices(batch.column("text"), STRETCH):
-                raw, offsets = buffer(batch.column("text").slice(i, j - i))
+                raw, offsets = buffer(rule.read(batch.column("text").slice(i, j - i)))
                 keys = batch.column("key").slice(i, j - i).to_pylist()
                 for c in range(0, max(1, len(raw)), STRETCH):  # more than once for a single long text only
-                    part = raw[c : c + STRETCH + LENGTH - 1] if j - i == 1 else raw
+                    part = raw[c : c + STRETCH + rule.length - 1] if j - i == 1 else raw
                     hashes, found = Hasher(part), []
                     for k in range(j - i):
                         lo, hi = (0, len(part)) if j - i == 1 else (int(offsets[k]), int(offsets[k + 1]))
-                        if hi - lo >= LENGTH:
-                            found.append((keys[k], lo - c if j - i == 1 else lo, *anchors(part, lo, hi, hashes)))
+                        if hi - lo >= rule.length:
+                            found.append((keys[k], lo - c if j - i == 1 else lo, *anchors(part, lo, hi, hashes, rule)))
                     if found:
                         at, first, last = (np.concatenate([f[x] for f in found]) for x in (2, 3, 4))
                         size = [len(f[2]) for f in found]
                         base = np.repeat([f[1] for f in found], size)
-                        mh = hashes.stretch(at, at + KEY).view(np.int64)
-                        sh = mix(hashes.stretch(first, last + LENGTH) + (at - first).astype(np.uint64) * STEP[2]).view(np.int64)
+                        mh = hashes.stretch(at, at + rule.key).view(np.int64)
+                        sh = mix(hashes.stretch(first, last + rule.length) + (at - first).astype(np.uint64) * STEP[2]).view(np.int64)
                         cols = [mh, sh, np.repeat(np.array([f[0] for f in found], np.int64), size), (at - base).astype(np.int32), (at - first).astype(np.int32), (last - first).astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
                     if j - i > 1:
@@ -187,16 +233,16 @@ def merge(runs: list[list[tuple[bytes, int, object]]]) -> Iterator[tuple[bytes,
             node //= 2
 
 
-def repeated(group: list[tuple[int, tuple]]) -> Iterator[tuple[int, int, int]]:
+def repeated(group: list[tuple[int, tuple]], rule: Rule = BYTES) -> Iterator[tuple[int, int, int]]:
     """(key, start, end) of stretches that windows found twice cover, of classes that occur once. ``group``: suffixes
     that share KEY bytes, in order, as (common prefix with the one before, (left, n, key, at, back, width))."""
     seen: dict[tuple, list] = {}
     marks: list[set[int]] = [set() for _ in group]
-    for i in sorted({i for _, (_, _, _, _, back, width) in group for i in range(back - width, back + 1)}):
+    for i in sorted({i for _, (_, _, _, _, back, width) in group for i in range(back - width, back + 1, rule.step)}):
         seen.clear()
         part = 0
         for g, (lcp, (left, n, _, _, back, width)) in enumerate(group):
-            part += lcp < LENGTH - i  # fewer bytes shared than the window has after the anchor
+            part += lcp < rule.length - i  # fewer bytes shared than the window has after the anchor
             if back - width <= i <= back:
                 seen.setdefault((part, left[back - i :]), []).append(g)
         for same in seen.values():
@@ -207,7 +253,7 @@ def repeated(group: list[tuple[int, tuple]]) -> Iterator[tuple[int, int, int]]:
         _, (_, n, key, at, _, _) = group[g]
         if n > 1 or not found:
             continue
-        for start, end in stretches([(at - i, at - i + LENGTH) for i in found]):
+        for start, end in stretches([(at - i, at - i + rule.length) for i in found]):
             yield key, start, end
 
 
@@ -226,7 +272,7 @@ RUN_SCHEMA = "part int, run long, seq int, lcp int, rest binary, left binary, n
 RUN_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
 
-def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
+def sorted_runs(texts: DataFrame, splitters: list[bytes], rule: Rule = BYTES) -> DataFrame:
     """``texts`` has text and classes (array of n, key, at, back, width, crowded). Rows of runs, front-coded and cut at the
     splitters: the first suffix of a run in a part is whole. Crowded classes give rows with part -1 instead: run is the
     hash of a window and seq its distance to the anchor."""
@@ -245,7 +291,7 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
             held.sort(key=lambda x: x[0])
             lcps, rows, last = front_coded([x[0] for x in held]), [], -1
             for seq, ((right, left, *rest), lcp) in enumerate(zip(held, lcps, strict=True)):
-                part = bisect.bisect_right(splitters, right[:KEY])
+                part = bisect.bisect_right(splitters, right[: rule.key])
                 lcp = lcp if part == last else 0
                 rows.append((part, number, seq, lcp, right[lcp:], left, *rest))
                 last = part
@@ -258,17 +304,17 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
 
         crowded: list[tuple] = []
         for batch in batches:
-            for text, classes in zip(batch.column("text"), batch.column("classes").to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
+            for k, classes in enumerate(batch.column("classes").to_pylist()):
+                raw = rule.read(batch.column("text").slice(k, 1))[0].as_buffer().to_pybytes()
                 hashes = Hasher(np.frombuffer(raw, np.uint8)) if any(c["crowded"] for c in classes) else None
                 for c in classes:
                     first, last = c["at"] - c["back"], c["at"] - c["back"] + c["width"]
                     if c["crowded"]:
-                        start = np.arange(first, last + 1)
-                        window = hashes.stretch(start, start + LENGTH).view(np.int64).tolist()
+                        start = np.arange(first, last + 1, rule.step)
+                        window = hashes.stretch(start, start + rule.length).view(np.int64).tolist()
                         crowded += [(-1, w, c["at"] - s, 0, b"", b"", c["n"], c["key"], c["at"], 0, 0) for s, w in zip(start.tolist(), window, strict=True)]
                     else:
-                        held.append((raw[c["at"] : last + LENGTH], raw[first : c["at"]], c["n"], c["key"], c["at"], c["back"], c["width"]))
+                        held.append((raw[c["at"] : last + rule.length], raw[first : c["at"]], c["n"], c["key"], c["at"], c["back"], c["width"]))
                 if len(held) >= RUN:
                     yield flush()
                 if len(crowded) >= RUN:
@@ -282,7 +328,7 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
     return texts.select("text", "classes").mapInArrow(run, RUN_SCHEMA)
 
 
-def merged(runs: DataFrame) -> DataFrame:
+def merged(runs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     """(key, start, end) from the runs of each part, merged."""
     schema = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -294,12 +340,12 @@ def merged(runs: DataFrame) -> DataFrame:
             own.append((right, r["lcp"], (r["left"], r["n"], r["key"], r["at"], r["back"], r["width"])))
         out, group = [], []
         for _, lcp, payload in merge(list(by.values())):
-            if lcp < KEY and group:
-                out += repeated(group)
+            if lcp < rule.key and group:
+                out += repeated(group, rule)
                 group = []
             group.append((lcp, payload))
         if group:
-            out += repeated(group)
+            out += repeated(group, rule)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,17 +368,28 @@ def merged(runs: DataFrame) -> DataFrame:
     return runs.repartitionByRange(n, "part").sortWithinPartitions("part", "run", "seq").mapInArrow(run, "key long, start int, end int")
 
 
-def splitters_of(several: DataFrame, docs: DataFrame, parts: int) -> list[bytes]:
+def splitters_of(several: DataFrame, docs: DataFrame, parts: int, rule: Rule = BYTES) -> list[bytes]:
     """Quantiles of the KEY bytes at sampled classes' anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, at in enumerate(batch.column("at").to_pylist()):
+                raw = rule.read(batch.column("text").slice(k, 1))[0].as_buffer().to_pybytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[at : at + rule.key]], pa.binary())], names=["k"])
+
     drawn = several.orderBy(F.xxhash64("mh", "sh"), "mh", "sh").limit(SAMPLE).select("key", "at")  # at most SAMPLE pairs of numbers
-    text = docs.select("key", F.col("text").cast("binary").alias("raw")).join(F.broadcast(drawn), "key")
-    keys = sorted(bytes(r[0]) for r in text.select(F.substring("raw", F.col("at") + 1, F.lit(KEY))).collect())
+    text = docs.select("key", "text").join(F.broadcast(drawn), "key")
+    if rule.step == 1:
+        found = text.select(F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.lit(rule.key)))
+    else:
+        found = text.select("text", "at").mapInArrow(run, "k binary")
+    keys = sorted(bytes(r[0]) for r in found.collect())
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     """Anchors whose KEY bytes occur at another anchor too."""
-    rows = cut(anchor_rows(docs), "suffix-anchors")
+    rows = cut(anchor_rows(docs, rule), "suffix-anchors")
     # stored, so that the join below stands right on two exchanges and Spark can split a passage that very many texts share
     twice = cut(rows.groupBy("mh").count().filter("count > 1").select("mh"), "suffix-twice")
     found = cut(rows.join(twice, "mh", "left_semi"), "suffix-candidates")
@@ -340,10 +397,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     return found
 
 
-def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """(key, start, end): stretches of keyed texts that repeated windows cover; they may overlap."""
+def repeated_stretches(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
+    """(key, start, end): stretches of keyed texts, as the rule reads them, that repeated windows cover; they may overlap."""
     spark = docs.sparkSession
-    cands = candidates(docs)
+    cands = candidates(docs, rule)
     tidy(spark)
     rep = F.min(F.struct("key", "at", "back", "width")).alias("rep")
     classes = cut(cands.groupBy("mh", "sh").agg(F.count("*").alias("n"), rep).select("mh", "sh", "n", "rep.*"), "suffix-classes")
@@ -352,51 +409,62 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     tidy(spark)
     lists = several.groupBy("key").agg(F.collect_list(F.struct("n", "key", "at", "back", "width", "crowded")).alias("classes"))
     texts = docs.select("key", "text").join(lists, "key")
-    runs = cut(sorted_runs(texts, splitters_of(several, docs, PARTS * partitions(spark))), "suffix-runs")
+    runs = cut(sorted_runs(texts, splitters_of(several, docs, PARTS * partitions(spark), rule), rule), "suffix-runs")
     tidy(spark)
-    once = merged(runs.filter("part >= 0"))
+    once = merged(runs.filter("part >= 0"), rule)
     windows = runs.filter("part < 0").select(F.col("run").alias("window"), "n", "key", F.col("seq").alias("i"), "at")
     twice = windows.groupBy("window").agg(F.sum("n").alias("k")).filter("k > 1").select("window")
     start = F.col("at") - F.col("i")
-    crowd = windows.filter("n = 1").join(twice, "window", "left_semi").select("key", start.alias("start"), (start + LENGTH).alias("end"))
+    crowd = windows.filter("n = 1").join(twice, "window", "left_semi").select("key", start.alias("start"), (start + rule.length).alias("end"))
     first = F.col("at") - F.col("back")
-    copies = cands.join(classes.filter("n > 1").select("mh", "sh"), ["mh", "sh"], "left_semi").select("key", first.alias("start"), (first + F.col("width") + LENGTH).alias("end"))
-    return cut(copies.unionByName(once).unionByName(crowd), "suffix-stretches")
+    copies = cands.join(classes.filter("n > 1").select("mh", "sh"), ["mh", "sh"], "left_semi").select("key", first.alias("start"), (first + F.col("width") + rule.length).alias("end"))
+    found = cut(copies.unionByName(once).unionByName(crowd), "suffix-stretches")
+    for done in (cands, classes, sizes, several, runs):
+        remove(done)
+    return found
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), length: int = LENGTH, words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document, and the columns named in
-    ``carry`` led by "_": every byte goes that a string of LENGTH bytes covers which starts anywhere else too, in whatever
-    document; all is judged on the input.
+    ``carry`` led by "_": every byte goes that a string of ``length`` bytes covers which starts anywhere else too, in whatever
+    document; with ``words`` also what a run of so many words covers that stands anywhere else too, whatever blanks are
+    between them and however A to Z are written. All is judged on the input.
 
-    A null text is empty; a null doc_id stays null. Rows that repeat a document repeat each other, so texts of LENGTH bytes
+    A null text is empty; a null doc_id stays null. Rows that repeat a document repeat each other, so texts of ``length`` bytes
     or more vanish from both. Other columns are dropped; an empty table gives an empty one.
     """
     docs = keyed(docs, carry)
-    spans = repeated_stretches(docs)
+    spans = repeated_stretches(docs, Rule(length)).withColumn("worded", F.lit(False))
     tidy(docs.sparkSession)
-    by = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    if words is not None:
+        spans = spans.unionByName(repeated_stretches(docs, word_rule(words)).withColumn("worded", F.lit(True)))
+        tidy(docs.sparkSession)
+    by = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end", "worded")).alias("spans"))
     made = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, starts, ends in zip(batch.column("text"), batch.column("starts"), batch.column("ends"), strict=True):
+            for text, *spans in zip(batch.column("text"), *(batch.column(c) for c in ("starts", "ends", "worded")), strict=True):
                 raw, at, kept = text.as_buffer().to_pybytes(), 0, []
-                cuts = stretches(list(zip(starts.as_py() or [], ends.as_py() or [], strict=True)))
+                found = list(zip(*(x.as_py() or [] for x in spans), strict=True))
+                if any(w for _, _, w in found):
+                    first, last = word_places(raw)
+                    found = [(int(first[a // SYMBOL]), int(last[b // SYMBOL - 1]), w) if w else (a, b, w) for a, b, w in found]
+                cuts = stretches([(a, b) for a, b, _ in found])
                 for a, b in cuts:
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
                 rest = b"".join(kept)
                 rows.append((len(raw), len(raw) - len(rest), len(cuts), rest))
-            own = [f for f in batch.schema if f.name not in ("text", "starts", "ends")]
+            own = [f for f in batch.schema if f.name not in ("text", "starts", "ends", "worded")]
             new = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(made)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), *new], schema=pa.schema([*own, *made]))
 
-    joined = docs.join(by, "key", "left").select("doc_id", *[f"_{c}" for c in carry], "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    joined = docs.join(by, "key", "left").select("doc_id", *[f"_{c}" for c in carry], "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), F.col("spans.worded").alias("worded"))
     kinds = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary")
-    schema = StructType([*joined.drop("text", "starts", "ends").schema.fields, *kinds.fields])
+    schema = StructType([*joined.drop("text", "starts", "ends", "worded").schema.fields, *kinds.fields])
     return joined.mapInArrow(run, schema)
 
 
