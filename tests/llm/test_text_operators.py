@@ -107,6 +107,40 @@ def test_mixture_estimates_shares():
     assert abs(full[0, 0] - (langs == 0).mean()) < 0.02 and (best[0] > 0).tolist() == [True, True, False]
 
 
+def test_mixture_of_more_than_three_languages():
+    rng = np.random.default_rng(4)
+    mixes = [[0.3, 0.27, 0.23, 0.2, 0, 0], [0.25, 0.2, 0.2, 0.18, 0.17, 0], [1, 0, 0, 0, 0, 0], [0.6, 0, 0.4, 0, 0, 0], [1 / 6] * 6]
+    langs = np.concatenate([rng.choice(6, 600, p=p) for p in mixes])
+    doc = np.repeat(np.arange(1, 6), 600)  # a document without a word stands first
+    log_w = np.full((len(langs), 6), -9.0, np.float32)
+    log_w[np.arange(len(langs)), langs] = -2
+    _, best = langid.mixtures(log_w, doc, 6)
+    assert [(best[i + 1] > 0).tolist() for i in range(5)] == [[x > 0 for x in p] for p in mixes]
+    for i in range(5):
+        assert np.abs(best[i + 1] - np.bincount(langs[doc == i + 1], minlength=6) / 600).max() < 0.02
+
+
+def test_mixture_bound_leaves_out_no_better_set():
+    """The chosen sets are those of a search through all nested sets of every document."""
+    rng = np.random.default_rng(6)
+    log_w = rng.normal(-6, 1.2, (6000, 5)).astype(np.float32)
+    doc = np.sort(rng.integers(0, 60, 6000))
+    log_w[np.arange(6000), (rng.random(6000) * (1 + doc % 5)).astype(int)] += 3
+    full, best = langid.mixtures(log_w, doc, 60)
+    for d in range(60):
+        w = log_w[doc == d]
+        e = np.exp(w - w.max(axis=1, keepdims=True))
+        values = [np.log(e).sum(axis=0).max()]
+        for k in range(2, 6):
+            share = np.isin(np.arange(5), np.argsort(-full[d], kind="stable")[:k]) / k
+            for _ in range(langid.ROUNDS):
+                r = share * e
+                share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            values.append(np.log((share * e).sum(axis=1)).sum() - (k - 1) * langid.PENALTY * 0.5 * np.log(len(w)))
+        assert (best[d] > 0).sum() == 1 + np.argmax(values)
+    assert len(set((best > 0).sum(axis=1))) > 3
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("held_out", "score", "toxic").collect()

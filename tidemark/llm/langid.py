@@ -2,7 +2,8 @@
 
 A word's likelihood under a language is that of its byte trigrams, counted over all training texts. For each document
 expectation-maximisation estimates the languages' shares; the set of languages is the one of the nested sets (by share)
-with the highest likelihood less a penalty for each further language.
+with the highest likelihood less a penalty for each further language. Sets grow up to all learned languages; a document
+leaves early only when a bound on every set's likelihood, less the next penalty, is below its best value so far.
 """
 
 from __future__ import annotations
@@ -130,17 +131,32 @@ def mixtures(log_w: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
             share = per_doc(r) / np.maximum(words, 1)[:, None]
         return share, np.log((share.astype(np.float32)[doc] * e).sum(axis=1, keepdims=True) + 1e-30)
 
-    full, _ = em(np.ones((n, langs)))
+    full, full_ll = em(np.ones((n, langs)))
     single = per_doc(np.log(e + 1e-30))
     order = np.argsort(-single, axis=1, kind="stable")
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     best = np.zeros((n, langs))
     best[np.arange(n), order[:, 0]] = 1
     value = single[np.arange(n), order[:, 0]]
-    for k in range(2, min(langs, 3) + 1):
+    penalty = PENALTY * 0.5 * np.log(np.maximum(words, 2))
+    # the likelihood is concave in the shares, so its tangent at the full set's shares bounds that of every set; what
+    # rounding may add is far below the slack
+    slope = per_doc(e / ((full.astype(np.float32)[doc] * e).sum(axis=1, keepdims=True) + 1e-30)).max(axis=1)
+    bound = np.minimum(0, per_doc(full_ll)[:, 0] + slope - words) + 1e-3 * (1 + words)
+    rows = np.arange(n)  # the documents that a further language can still improve
+    for k in range(2, langs + 1):
+        left = bound[rows] - (k - 1) * penalty[rows] > value[rows]
+        if not left.all():
+            keep = left[np.searchsorted(rows, doc)]
+            e, doc, rows = e[keep], doc[keep], rows[left]
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            present = doc[first]
+        if not len(rows):
+            break
         share, ll = em((rank < k).astype(float))
-        gain = per_doc(ll)[:, 0] - (k - 1) * PENALTY * 0.5 * np.log(np.maximum(words, 2))
-        better = gain > value
+        gain = per_doc(ll)[:, 0] - (k - 1) * penalty
+        better = np.zeros(n, bool)
+        better[rows] = gain[rows] > value[rows]
         best[better], value = share[better], np.where(better, gain, value)
     return full, best
 
