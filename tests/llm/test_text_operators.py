@@ -261,6 +261,29 @@ def test_licences(spark, make, sf_docs):
         assert (by[r.doc_id][0].origin == "own") == bool(planted.search(r.text))
 
 
+def gnu_header(kind, version, mark, thing="program"):
+    sep = {"2": ("; ", "; "), "2.1": ("; ", "; "), "3": (": ", ", ")}[version]
+    lines = ["Copyright (C) 2014 Jane Doe", "", f"This {thing} is free software{sep[0]}you can redistribute it and/or modify", f"it under the terms of the GNU {kind} as published by",
+             f"the Free Software Foundation{sep[1]}either version {version} of the License, or", "(at your option) any later version.", "", f"This {thing} is distributed in the hope that it will be useful,",
+             "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", f"GNU {kind} for more details."]
+    return "\n".join(f"{mark} {x}".rstrip() for x in lines) + "\n\nimport os\nprint(os.name)\n"
+
+
+def test_licence_headers_and_files(spark):
+    gpl, lesser, affero = "General Public License", "Lesser General Public License", "Affero General Public License"
+    cases = [(f"// SPDX-License-Identifier: {i}\nint x;", n) for n, ids in licences.SPDX.items() for i in ids]
+    cases += [("# SPDX-License-Identifier: ISC\nx = 1", None), ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */", "GPL-2.0"), ("# SPDX-License-Identifier: (Foo-1.0 OR Apache-2.0)", "Apache-2.0")]
+    for kind, version, name in ((gpl, "2", "GPL-2.0"), (gpl, "3", "GPL-3.0"), (lesser, "2.1", "LGPL-2.1"), (lesser, "3", "LGPL-3.0"), (affero, "3", "AGPL-3.0")):
+        cases += [(gnu_header(kind, version, mark, thing), name) for mark in ("#", " *", "") for thing in ("program", "library")]
+    bsd = f"Copyright (c) 2001, Jane Doe\nAll rights reserved.\n\n{licences._BSD}\n\n%s{licences._BSD_END}\n"
+    cases += [(bsd % "", "BSD-2-Clause"), (bsd % (licences._BSD_NAME + "\n\n"), "BSD-3-Clause"), ("Prose on birds. " * 40 + bsd % "", "BSD-2-Clause")]
+    cases += [(f"                    {t[: t.index('Version')]}\n                       {t[t.index('Version') :]}\n\n Copyright (C) someone\n", n) for n, t in licences.TITLES.items() if "GNU" in t]
+    filler = [("a plain text of no licence at all, and of the to in is you can it", None)] * 100
+    files = [(i, f"d{i}/x.c", t) for i, (t, _) in enumerate(cases + filler)]
+    got = {r.file_id: r.licence for r in licences.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert [(t, got[i]) for i, (t, n) in enumerate(cases + filler) if got[i] != n] == []
+
+
 @pytest.mark.parametrize("buckets", [4, 5])
 def test_fold(make, buckets):
     got = rows(make(ODD).select("doc_id", fold("doc_id", buckets).alias("f")))

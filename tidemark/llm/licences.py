@@ -20,6 +20,9 @@ TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1."],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
@@ -29,9 +32,54 @@ TEMPLATES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: SPDX identifiers of each licence; an identifier is one token (see TOKEN), so it matches as a whole or not at all.
+SPDX = {name: [name] for name in TEMPLATES} | {
+    name: [name, f"{name}-only", f"{name}-or-later", f"{name}+"] for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+} | {"BSD-2-Clause": ["BSD-2-Clause", "BSD-2-Clause-FreeBSD"]}
+
+
+def _gnu(kind: str, version: str, thing: str = "program") -> list[str]:
+    """The notice of a GNU licence: with "or later" in the wordings of versions 2 and 3, and of that version only."""
+    free = f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}"
+    later = f"as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    return [f"{free} {later}", f"{free} version {version} as published by the Free Software Foundation.", f"{free} as published by the Free Software Foundation; version {version} of the License."]
+
+
+def _warranty(kind: str, thing: str = "program") -> str:
+    return f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along with this {thing}. If not, see <https://www.gnu.org/licenses/>."
+
+
+GNU = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
+#: First lines of licence files.
+TITLES = {
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "CC0-1.0": "Creative Commons CC0 1.0 Universal",
+}
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Whole headers and short licence files, which are compared as one piece: they tell licences apart that share sentences.
+WHOLE = {name: [f"{notice} {_warranty(kind, thing)}" for thing in ("program", "library") for notice in _gnu(kind, version, thing)[:2]] for name, (kind, version) in GNU.items()} | {
+    "BSD-2-Clause": [f"{_BSD} {_BSD_END}"],
+    "BSD-3-Clause": [f"{_BSD} {_BSD_NAME} {_BSD_END}"],
+}
+for _name, (_kind, _version) in GNU.items():
+    TEMPLATES[_name] += [t for thing in ("program", "library") for t in _gnu(_kind, _version, thing)]
+for _name, _title in TITLES.items():
+    TEMPLATES[_name] += [_title]
 CUE = r"(?i)licen[sc]|permission is hereby|redistribut|public domain|free software|\bCC[ -]?(?:BY|0)\b"
-TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
+TOKEN = r"spdx-license-identifier: [a-z0-9.+-]+|[a-z]+|[0-9]+(?:\.[0-9]+)?"
 LICENCE_FILE = r"(?i)^(?:licen[sc]e|copying|unlicense|notice)(?:[.-].*)?$"
+SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([a-z0-9.+() \t-]+)"
+#: What is compared as one piece besides the whole file: the comment at its start, and a BSD wording anywhere.
+COMMENT = r"^[ \t]*(?:$|#|//|/\*|\*|;|--|<!--)"
+BSD_PIECE = r"(?is)Redistribution\s+and\s+use\s.{0,4000}?such\W+damage"
 #: Least cosine, and how many candidate stretches of a file count as a licence file: all of its lines.
 LEAST = 0.6
 
@@ -40,30 +88,47 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
-def _template_tokens() -> list[tuple[str, list[str]]]:
+def _template_tokens(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
     import re
 
-    return [(name, sorted(set(re.findall(TOKEN, text.lower())))) for name, texts in TEMPLATES.items() for text in texts]
+    return [(name, list(words)) for name, words in sorted({(name, tuple(sorted(set(re.findall(TOKEN, text.lower()))))) for name, texts in templates.items() for text in texts})]
+
+
+def _terms() -> list[str]:
+    return sorted({t for templates in (TEMPLATES, WHOLE) for _, ts in _template_tokens(templates) for t in ts})
 
 
 def stretches(text: Column) -> Column:
-    """Lines, and sentences across lines, that sound like a licence."""
+    """Lines, sentences and paragraphs across lines that sound like a licence, and each identifier of SPDX lines."""
     lines = F.split(text, "\n")
-    sentences = F.split(F.regexp_replace(text, r"\s*\n[ \t#*/;-]*", " "), r"(?<=[.;:!?])\s+")
-    sounding = F.filter(F.array_union(lines, sentences), lambda x: F.regexp(x, F.lit(CUE)))
-    return F.when(F.regexp(text, F.lit(CUE)), sounding).otherwise(F.array().cast("array<string>"))
+    joined = F.regexp_replace(text, r"\s*\n[ \t#*/;-]*", " ")
+    sentences = F.array_union(F.split(joined, r"(?<=[.;:!?])\s+"), F.split(joined, r"(?<=[.!?])\s+"))
+    paragraphs = F.split(text, r"\n[ \t#*/;-]*\n")
+    sounding = F.filter(F.array_union(F.array_union(lines, sentences), paragraphs), lambda x: F.regexp(x, F.lit(CUE)))
+    expressions = F.regexp_extract_all(text, F.lit(SPDX_LINE), F.lit(1))
+    ids = F.flatten(F.transform(expressions, lambda e: F.transform(F.filter(F.split(e, r"[\s()]+"), lambda i: i != ""), lambda i: F.concat(F.lit("SPDX-License-Identifier: "), i))))
+    return F.when(F.regexp(text, F.lit(CUE)), F.array_union(sounding, ids)).otherwise(F.array().cast("array<string>"))
+
+
+def pieces(text: Column) -> Column:
+    """What is compared as one piece: the file, the comment it starts with, BSD wordings in it."""
+    lines = F.split(text, "\n")
+    code = F.array_position(F.transform(lines, lambda x: ~F.regexp(x, F.lit(COMMENT))), True)
+    header = F.when(code > 0, F.array_join(F.slice(lines, 1, F.greatest(code - 1, F.lit(0)).cast("int")), "\n")).otherwise(text)
+    all_of = F.array_union(F.array(text, header), F.regexp_extract_all(text, F.lit(BSD_PIECE), F.lit(0)))
+    return F.when(F.regexp(text, F.lit(CUE)), F.filter(all_of, lambda x: F.regexp(x, F.lit(CUE)))).otherwise(F.array().cast("array<string>"))
 
 
 def prepared(files: DataFrame) -> DataFrame:
-    """file_id, path, the token sets of licence-like stretches, the template terms in the whole text, and whether every
+    """file_id, path, the token sets of licence-like stretches and of pieces that are compared as a whole, the template terms in the whole text, and whether every
     line is such a stretch."""
-    terms = sorted({t for _, ts in _template_tokens() for t in ts})
+    terms = _terms()
     text = F.coalesce(F.col("text"), F.lit(""))
     df = files.select("file_id", "path", text.alias("_t")).withColumn("_s", stretches(F.col("_t")))
     known = F.array_intersect(tokens(F.col("_t")), F.array(*map(F.lit, terms)))
     filled = F.filter(F.split("_t", "\n"), lambda x: F.regexp(x, F.lit(r"\S")))
     only = (F.size("_s") > 0) & F.forall(filled, lambda x: F.regexp(x, F.lit(CUE)))
-    return df.select("file_id", "path", F.transform("_s", tokens).alias("stretches"), known.alias("terms"), only.alias("only"))
+    return df.select("file_id", "path", F.transform("_s", tokens).alias("stretches"), F.transform(pieces(F.col("_t")), tokens).alias("pieces"), known.alias("terms"), only.alias("only"))
 
 
 def weights(files: DataFrame) -> tuple[dict[str, float], float]:
@@ -71,27 +136,36 @@ def weights(files: DataFrame) -> tuple[dict[str, float], float]:
     n = files.count()
     rows = files.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
     seen = {r["t"]: r["count"] for r in rows}
-    terms = sorted({t for _, ts in _template_tokens() for t in ts})
+    terms = _terms()
     idf2 = {t: (math.log((1 + n) / (1 + seen.get(t, 0))) + 1) ** 2 for t in terms}
     return idf2, sorted(idf2.values())[len(idf2) // 2]
 
 
-def best_template(stretches: Column, idf2: dict[str, float], other: float) -> Column:
+def best_template(stretches: Column, idf2: dict[str, float], other: float, templates: dict[str, list[str]] = TEMPLATES) -> Column:
     """(score, licence) of the stretch and template with the largest cosine; null without a stretch. Of equal scores the
-    licence that comes last by name."""
+    licence that comes last by name. Stretches that can't reach LEAST with any template are left out: a cosine is at most
+    the root of the share that template terms have in the stretch's squared length."""
+    spdx = F.create_map(*[F.lit(v) for name, ids in SPDX.items() for i in ids for v in (f"spdx-license-identifier: {i}".lower(), name)])
+    terms = F.array(*map(F.lit, idf2))
     table = F.create_map(*[F.lit(v) for t, w in idf2.items() for v in (t, w)])
     total = lambda words: F.aggregate(words, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(table, t), F.lit(other)))
 
-    def against(stretch: Column) -> Column:
-        norm = F.sqrt(total(stretch))
+    def measured(stretch: Column) -> Column:
+        known = F.array_intersect(stretch, terms)
+        part = total(known)
+        return F.struct(known.alias("known"), part.alias("part"), (part + other * (F.size(stretch) - F.size(known))).alias("norm2"), F.when(F.size(stretch) == 1, F.try_element_at(spdx, stretch[0])).alias("spdx"))
+
+    def against(m: Column) -> Column:
         scores = []
-        for name, words in _template_tokens():
+        for name, words in _template_tokens(templates):
             own = math.sqrt(sum(idf2[t] for t in words))
-            shared = total(F.array_intersect(stretch, F.array(*map(F.lit, words))))
-            scores.append(F.struct(F.round(shared / (norm * own), 9).alias("score"), F.lit(name).alias("licence")))
-        return F.array_max(F.array(*scores))
+            shared = total(F.array_intersect(m["known"], F.array(*map(F.lit, words))))
+            scores.append(F.struct(F.round(shared / (F.sqrt(m["norm2"]) * own), 9).alias("score"), F.lit(name).alias("licence")))
+        return F.when(m["spdx"].isNotNull(), F.struct(F.lit(1.0).alias("score"), m["spdx"].alias("licence"))).otherwise(F.array_max(F.array(*scores)))
 
-    return F.array_max(F.transform(F.filter(stretches, lambda s: F.size(s) > 0), against))
+    found = F.transform(F.filter(stretches, lambda s: F.size(s) > 0), measured)
+    able = F.filter(found, lambda m: m["spdx"].isNotNull() | (m["part"] >= (LEAST - 1e-6) ** 2 * m["norm2"]))
+    return F.array_max(F.transform(able, against))
 
 
 def ancestors(path: Column) -> Column:
@@ -112,7 +186,10 @@ def scan(files: DataFrame) -> DataFrame:
     found = cut(prepared(files), "licences")
     idf2, other = weights(found)
     best = best_template(F.col("stretches"), idf2, other)
-    rated = found.select("file_id", "path", "only", F.when(F.size("stretches") > 0, best).alias("best"))
+    whole = best_template(F.col("pieces"), idf2, other, WHOLE)
+    rated = found.select("file_id", "path", "only", F.when(F.size("stretches") > 0, best).alias("one"), F.when(F.size("pieces") > 0, whole).alias("whole"))
+    # an SPDX line or a title is exact; else a whole wording tells more than the sentences it shares with others
+    rated = rated.withColumn("best", F.when((F.col("whole.score") >= LEAST) & ((F.col("one.score") < 1) | F.col("whole.licence").startswith("BSD") & F.col("one.licence").startswith("BSD")), F.col("whole")).otherwise(F.col("one")))
     own = F.when(F.col("best.score") >= LEAST, F.col("best"))
     rated = cut(rated.select("file_id", "path", "only", own.alias("best")), "licences-own")
     name = F.regexp_extract("path", "[^/]*$", 0)
