@@ -19,10 +19,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: null texts and texts without a letter."""
+    """Documents without an identifiable language go: null texts and texts without a letter. Others stay
+    even where no language could be learned."""
     docs = docs.select(*COLUMNS)
     model = langid.fit(langid.training_rows(docs))
-    return langid.with_language(docs, model).filter(F.col("lang_pred") != "und").select(*COLUMNS)
+    return langid.with_language(docs, model).filter(F.regexp("text", F.lit(r"\p{L}"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

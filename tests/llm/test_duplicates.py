@@ -9,6 +9,7 @@ import string
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import components, jaccard, neighbours, suffixes
 
@@ -237,6 +238,13 @@ def test_multi_sequence_is_in_order_of_distance():
     assert neighbours.multi_sequence(a, b, 20) == np.argsort(grid)[:20].tolist()
 
 
+def test_language_stage_without_languages(spark, make):
+    import corpus_pipeline
+
+    docs = make([(1, None), (2, ""), (3, "12 34"), (4, "a clean text"), (5, "é")]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == {4, 5}
+
+
 def test_pipeline(spark, make):
     import corpus_pipeline
 
