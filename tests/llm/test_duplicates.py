@@ -269,3 +269,13 @@ def test_pipeline(spark, make):
             assert "[email]" in now[10**6 + 2] and not any(re.search(r"\w@\w+\.\w", t) for t in now.values())
         docs, seen = spark.createDataFrame(out.collect(), out.schema), now
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == set(seen)
+
+
+def test_jaccard_of_one_id_with_several_texts(make):
+    rng = random.Random(6)
+    v, w = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "vw")
+    near = lambda t: t + " end"
+    rows = [(1, w), (1, v), (1, w), (2, near(w)), (3, near(v)), (4, None)]
+    for order in (rows, rows[::-1]):
+        got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(make(order), 3, 90).collect())
+        assert got == {(1, 1): 3, (2, 1): 1, (3, 1): 1, (4, 4): 1}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -15,42 +15,57 @@ BLANK = r"[\x20\x09-\x0D]"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, as the session names it. Where it names none, a session within this one
+    process gets a temporary folder, and a cluster an error: no folder of this machine would be right there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-#: Rows that Python workers get at a time while ``cut`` writes: whole texts are long, and workers' memory is short.
-BATCH_ROWS = "1000"
+#: What Python workers get at a time: whole texts are long, and workers' memory is short. Shuffle files go with the query
+#: that made them, as every intermediate table is written and read again. A session that sets other values keeps them.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304"),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+}
+
+
+def settle(spark: SparkSession) -> None:
+    """Give the session the settings above where it has Spark's own defaults; done once, by the first table that is read."""
+    for key, (default, value) in SETTINGS.items():
+        if spark.conf.get(key, default).removesuffix("b").lower() == default:
+            spark.conf.set(key, value)
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
+    settle(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[id(made)] = made, path
+    return made
 
 
-def remove(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(conf).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Empty tables that ``cut`` wrote, once nothing reads them any more: only an empty file of each stays."""
+    for df in tables:
+        _, path = _paths.pop(id(df))
+        df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,7 +84,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), "")
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now; it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Bytes in one part of a range sort, at most on average.
+PART_BYTES = 64 << 20
+
+
+def parts_of(spark: SparkSession, size: int) -> int:
+    """How many parts to deal ``size`` bytes out to: as many as the session asks for, and more where these would be large."""
+    return max(partitions(spark), -(-size // PART_BYTES))

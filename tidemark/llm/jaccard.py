@@ -12,6 +12,7 @@ largest one meet all others of that shingle. Pairs within one component can't ch
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove, table, tidy
+from .common import cut, remove, table
 from .components import components
 from .hashing import mix, shingle_sets, slices
 
-#: Shingles are counted by hash in so many counters: 4 MB, whatever the input.
+#: Shingles are counted by hash in so many counters, 4 MB whatever the input: enough to tell which are frequent.
 COUNTERS, CHUNK = 1 << 20, 1 << 10
 SKETCH = 256
-#: Bits that mark documents whose sets a verification needs.
-MARKS = 1 << 23
+#: Bits for each thing that a bit set marks, and bits at most (16 MB). A fuller set lets more pass, and joins do the rest.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -49,6 +50,11 @@ def _per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_hash(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """One hash of each set, the same whatever the order of its shingles."""
+    return _per_text(mix(hashes ^ np.uint64(k)), sizes).view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (set size), two hashes of the set, its sketch; and rows with ``chunk`` and ``counts``: how often shingles occur."""
     names = ["doc_id", "n", "h1", "h2", "sketch", "chunk", "counts"]
@@ -63,7 +69,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             odd = np.bincount(owner * SKETCH + (hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=len(sizes) * SKETCH) & 1
             bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(bits))
-            h1, h2 = (_per_text(mix(hashes ^ np.uint64(k)), sizes).view(np.int64) for k in (1, 2))
+            h1, h2 = (set_hash(hashes, sizes, k) for k in (1, 2))
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(h1), pa.array(h2), sketch, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         for at in range(0, COUNTERS, CHUNK * 64):
@@ -93,9 +99,9 @@ def counters(signed: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """doc_id, tokens: each set's rarest shingles, so many that two sets over the threshold must share one."""
+    """doc_id, h1, tokens: each set's rarest shingles, so many that two sets over the threshold must share one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
-    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
@@ -108,37 +114,48 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequency: np.ndarray) ->
                 if n:
                     keep.append(e - n + np.lexsort((hashes[e - n : e], count[e - n : e]))[:p])
             tokens = hashes[np.concatenate(keep)] if keep else hashes
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, lists], schema=schema)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)).astype(np.int32)), pa.array(tokens.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(set_hash(hashes, sizes, 1)), lists], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, tokens array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, h1 long, tokens array<long>")
 
 
-def marked(ids: DataFrame) -> np.ndarray:
-    """A bit set of MARKS bits, 1 MB at any size of the input, with the bit of every id's hash."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1  # bitmap functions count from 1
-    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(MARKS // 8, np.uint8)
+def marked(keys: DataFrame) -> np.ndarray:
+    """A bit set with the bit of the hash of every key (a table of one column of longs), sized by how many there are."""
+    bits = 1 << 15
+    while bits < min(MOST_BITS, BITS_EACH * keys.count()):
+        bits *= 2
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits)) + 1  # bitmap functions count from 1
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
-def whole_sets(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
-    """The sets of documents whose bit is set, and few others: most texts are skipped where they lie."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))])
+def passing(rows: DataFrame, key: str, marks: np.ndarray) -> DataFrame:
+    """The rows whose key (a long) has its bit set, and few others; no row moves."""
+    shared, own = rows.sparkSession.sparkContext.broadcast(marks), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            wanted = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1 == 1))
-            for ids, texts in _batches([wanted]):
-                hashes, sizes = shingle_sets(texts, size)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, lists], schema=schema)
+            at = batch.column("_at").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1 == 1)).select(own)
+
+    return rows.withColumn("_at", F.pmod(F.xxhash64(key), F.lit(8 * len(marks)))).mapInArrow(run, rows.schema)
+
+
+def whole_sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, h1 and the whole set of every document, once for each distinct pair of id and set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("set", pa.list_(pa.int64()))])
 
-    return docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).mapInArrow(run, "doc_id long, set array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _batches(batches):
+            hashes, sizes = shingle_sets(texts, size)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(set_hash(hashes, sizes, 1)), lists], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, h1 long, set array<long>").dropDuplicates(["doc_id", "h1"])
 
 
 def may_link(percent: int) -> Column:
@@ -149,62 +166,92 @@ def may_link(percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, one_each: bool = False) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: suffix filter on sketches, then whole sets, once for each pair. With
-    ``one_each`` only the pair with the least b is looked at for each a."""
-    s = classes.select("doc_id", "n", "sketch")
-    both = pairs.select("a", "b").distinct()
-    both = both.join(s.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    apart = sum((F.bit_count(F.get("sa", i).bitwiseXOR(F.get("sb", i))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("sa", 0).bitwiseXOR(F.get("sb", 0))))
-    close = both.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    """The pairs (a, b) of nodes that reach the threshold: suffix filter on sketches, then whole sets, once for each pair.
+    With ``one_each`` only the pair with the least b is looked at for each a."""
+    side = lambda x: classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "doc_id", "h1", "sketch")])
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    apart = sum((F.bit_count(F.get("sketch_a", i).bitwiseXOR(F.get("sketch_b", i))) for i in range(1, SKETCH // 64)), F.bit_count(F.get("sketch_a", 0).bitwiseXOR(F.get("sketch_b", 0))))
+    close = both.filter((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).drop("sketch_a", "sketch_b")
     if one_each:
-        close = close.groupBy("a").agg(F.min(F.struct("b", "na", "nb")).alias("m")).select("a", "m.*")
+        close = close.groupBy("a").agg(F.min(F.struct("b", *[c for c in close.columns if c not in "ab"])).alias("m")).select("a", "m.*")
     close = cut(close, "jaccard-pairs")
-    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    sets = cut(whole_sets(_texts(docs), size, marked(ids)), "jaccard-sets")
-    full = close.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b")
-    shared = full.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("i"))
-    links = cut(shared.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "jaccard-links")
-    remove(sets)
+    ids = cut(close.select(F.col("doc_id_a").alias("doc_id")).union(close.select("doc_id_b")).distinct(), "jaccard-wanted")
+    sets = cut(whole_sets(passing(_texts(docs), "doc_id", marked(ids)), size), "jaccard-sets")
+    of = lambda x: sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("h1").alias(f"h1_{x}"), F.col("set").alias(f"set_{x}"))
+    full = close.join(of("a"), ["doc_id_a", "h1_a"]).join(of("b"), ["doc_id_b", "h1_b"])
+    shared = full.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("i"))
+    links = cut(shared.filter(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b"), "jaccard-links")
+    remove(close, ids, sets)
     return links
 
 
+def classes_of(usable: DataFrame) -> DataFrame:
+    """One row for each distinct set: h1, h2, n, doc_id (the least with it), sketch and node, a number of its own: doc_id, or
+    a hash where a doc_id comes with several sets."""
+    groups = cut(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "jaccard-groups")
+    several = groups.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1")
+    node = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "h1", "h2", "n"))
+    classes = cut(groups.join(several, "doc_id", "left").withColumn("node", node).drop("k"), "jaccard-classes")
+    remove(groups)
+    return classes
+
+
+def met_again(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that share a prefix shingle across components, of lengths that may link. Documents outside a shingle's
+    largest component meet all others of it whose length is in their own class of lengths or the next."""
+    placed = shared.select("token", "node", "n", "pos").join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = cut(placed, "jaccard-placed")
+    by = placed.groupBy("token", "component").count()
+    largest = by.groupBy("token").agg(F.count("*").alias("k"), F.max_by("component", F.struct("count", "component")).alias("largest")).filter("k > 1").drop("k")
+    level = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n").cast("long")
+    open_rows = cut(placed.join(largest, "token").withColumn("level", level), "jaccard-open")
+    minor = open_rows.filter(F.col("component") != F.col("largest")).select("token", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])).alias("level"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
+    once = (F.col("component") == F.col("largest")) | (F.col("node") < F.col("node2"))
+    across = open_rows.join(minor, ["token", "level"]).filter((F.col("component") != F.col("component2")) & once & may_link(percent))
+    pairs = cut(across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "jaccard-across")
+    remove(placed, open_rows)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: documents link where 100 * intersection >= percent * union of
     their sets of ``size``-word shingles, and component_id is the least doc_id reachable by links, the own one included.
 
     Null or wordless texts have no shingle and link with nothing. Rows that repeat a doc_id with the same text are each
-    returned. A null doc_id stays null and links with nothing. Other columns are dropped; an empty table gives an empty one.
+    returned, and so are rows with one doc_id and several texts, each with the links of its own text. A null doc_id stays
+    null and links with nothing. A very long text is handled alone. Other columns are dropped; an empty table gives an empty
+    one.
     """
     signed = cut(signatures(docs, size), "jaccard-signatures")
-    seen = signed.filter(F.col("chunk").isNull()).drop("chunk", "counts")
+    frequency = counters(signed)
+    seen = cut(signed.filter(F.col("chunk").isNull()).drop("chunk", "counts"), "jaccard-seen")
+    remove(signed)
     usable = seen.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    groups = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    classes = cut(groups, "jaccard-classes")
-    tokens = prefixes(docs, size, percent, counters(signed)).filter(F.size("tokens") > 0)
+    classes = classes_of(usable)
     # of each class one document's prefix
-    rows = classes.select("doc_id", "n").join(tokens, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+    tokens = prefixes(docs, size, percent, frequency).filter(F.size("tokens") > 0).groupBy("doc_id", "h1").agg(F.first("tokens").alias("tokens"))
+    rows = tokens.join(classes.select("doc_id", "h1", "node", "n"), ["doc_id", "h1"]).select("node", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     prefix = cut(rows, "jaccard-prefixes")
-    least = F.min(F.struct("doc_id", "n", "pos")).alias("l")
-    leaders = prefix.groupBy("token").agg(F.count("*").alias("k"), least).filter("k > 1").select("token", F.col("l.doc_id").alias("doc2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2"))
-    shared = cut(prefix.join(cut(leaders, "jaccard-leaders"), "token"), "jaccard-shared")
-    remove(prefix)
-    tidy(docs.sparkSession)
-    stars = shared.filter((F.col("doc_id") != F.col("doc2")) & may_link(percent)).select(F.col("doc_id").alias("a"), F.col("doc2").alias("b"))
+    # most shingles stand in one prefix only; they go where they lie
+    twice = cut(prefix.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"), "jaccard-twice")
+    able = cut(passing(prefix, "token", marked(twice)), "jaccard-able")
+    remove(prefix, twice)
+    least = F.min(F.struct("node", "n", "pos")).alias("l")
+    leaders = cut(able.groupBy("token").agg(F.count("*").alias("k"), least).filter("k > 1").select("token", F.col("l.node").alias("node2"), F.col("l.n").alias("n2"), F.col("l.pos").alias("pos2")), "jaccard-leaders")
+    shared = cut(able.join(leaders, "token"), "jaccard-shared")
+    remove(able, leaders)
+    stars = shared.filter((F.col("node") != F.col("node2")) & may_link(percent)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
     first = verified(stars, docs, classes, size, percent, one_each=True)
-    tidy(docs.sparkSession)
     # second pass: shingles whose documents lie in several components
     found = components(first)
-    placed = shared.select("token", "doc_id", "n", "pos").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = cut(placed, "jaccard-placed")
-    by = placed.groupBy("token", "component").count()
-    largest = by.groupBy("token").agg(F.count("*").alias("k"), F.max_by("component", F.struct("count", "component")).alias("largest")).filter("k > 1").drop("k")
-    open_rows = placed.join(largest, "token")
-    minor = open_rows.filter(F.col("component") != F.col("largest")).select("token", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    once = (F.col("component") == F.col("largest")) | (F.col("doc_id") < F.col("doc2"))
-    across = open_rows.join(minor, "token").filter((F.col("component") != F.col("component2")) & once & may_link(percent))
-    second = verified(across.select(F.col("doc_id").alias("a"), F.col("doc2").alias("b")), docs, classes, size, percent)
+    across = met_again(shared, found, percent)
+    remove(shared)
+    second = verified(across, docs, classes, size, percent)
+    remove(across)
     joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
-    roots = classes.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("h1", "h2", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    linked = cut(joined.join(classes.select("node", "doc_id"), "node").select("node", "component", "doc_id"), "jaccard-linked")
+    names = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    roots = classes.join(linked.join(names, "component").select("node", "component_id"), "node", "left").select("h1", "h2", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
     ids = usable.select("h1", "h2", "n", "doc_id").join(roots, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = seen.filter(~((F.col("n") > 0) & F.col("doc_id").isNotNull())).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return ids.unionByName(rest)

@@ -13,20 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SLICE_WORDS, WordTable, gather
-from .common import cut, partitions
+from .bpe import WordTable, gather, plain_and_whole
+from .common import cut, parts_of
+from .splitting import lower_parts
 
 DIMS, BITS = 3, 16
-# Fixed value: the vocabulary's own pre-tokenizer, which works on lower-case text.
-PART = r"(?U)\p{L}++|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]++"
 #: Outside these characters lower case and normal forms aren't plain; such texts go whole to the tokenizer.
 PLAIN = r"[^\x{0}-\x{12F}\x{131}-\x{17F}\x{2010}-\x{2027}\x{20AC}]"
-#: Leads a whole text; no part has an upper-case letter.
-WHOLE = "\x00W"
-
 
 class PartTable(WordTable):
     """A word table whose words are parts as the pre-tokenizer makes them, so the merges apply to each directly; with
@@ -47,10 +43,7 @@ class PartTable(WordTable):
     def encode_new(self, words: list[str]) -> list[list[int]]:
         tokens, printable = self.model.tokenize, self.printable
         self.more.append(project(words))
-        return [
-            self.tokenizer.encode(w[len(WHOLE) :], add_special_tokens=False).ids if w.startswith(WHOLE) else [t.id for t in tokens(w.encode().decode("latin-1").translate(printable))]
-            for w in words
-        ]
+        return [[t.id for t in tokens(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(printable))] for w in words]
 
     def projections(self) -> np.ndarray:
         if self.more:
@@ -62,38 +55,6 @@ class PartTable(WordTable):
 _tables: dict[str, PartTable] = {}
 
 
-def split_parts(text: Column, special: tuple[str, ...]) -> Column:
-    """The pre-tokenizer's parts of a text, whose encodings make up the text's; or the whole text, led by WHOLE, where it
-    has a special token's string or other than plain characters."""
-    whole = F.regexp(text, F.lit(PLAIN))
-    for token in special:
-        whole = whole | F.contains(text, F.lit(token))
-    return (
-        F.when(text.isNull(), F.array().cast("array<string>"))
-        .when(whole, F.array(F.concat(F.lit(WHOLE), text)))
-        .otherwise(F.regexp_extract_all(F.lower(text), F.lit(PART), F.lit(0)))
-    )
-
-
-def projections(self) -> np.ndarray:
-        if self.more:
-            self.places = np.concatenate([self.places, *self.more])
-            self.more = []
-        return self.places
-
-
-_tables: dict[str, PartTable] = {}
-
-
-def split_blanks(text: Column, special: tuple[str, ...]) -> Column:
-    """Words between white space, whose encodings make up the text's: the tokenizer never joins across white space.
-    A text with a special token's string stays whole."""
-    whole = F.lit(False)
-    for token in special:
-        whole = whole | F.contains(text, F.lit(token))
-    return F.when(text.isNull(), F.array().cast("array<string>")).when(whole, F.array(text)).otherwise(F.split(text, r"(?U)\s+"))
-
-
 def project(words: list[str]) -> np.ndarray:
     """A row of DIMS numbers in [-1, 1] for each word, by its hash: a random projection of one-hot hashed vectors."""
     h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
@@ -140,45 +101,55 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, special: tuple[s
     path = tokenizer_path
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int32()), ("key", pa.int64())])
 
+    def place(total: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        spot = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(parts, 1))[:, None], -30, 30)))
+        return hilbert_key(np.minimum((spot * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
+
+    def made(keys: pa.Array, ids: np.ndarray, size: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        offsets = np.append(0, np.cumsum(size) * 2).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        return pa.RecordBatch.from_arrays([keys, packed, pa.array(size.astype(np.int32)), pa.array(key)], schema=schema)
+
+    def by_table(table: PartTable, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        """Texts of plain characters: each distinct part is encoded once, ids come back by position."""
+        values, parts = lower_parts(texts)
+        coded = values.dictionary_encode()
+        start, count, flat, spot = table.encode(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        bounds = np.append(0, np.cumsum(parts))
+        n = count[at]
+        size = np.diff(np.append(0, np.cumsum(n))[bounds]) + 1
+        last = np.cumsum(size)
+        ids = np.empty(int(last[-1]), np.uint16)
+        body = np.ones(len(ids), bool)
+        body[last - 1] = False
+        ids[body] = gather(start[at], n, flat)
+        ids[last - 1] = end_id
+        total, some = np.zeros((len(keys), DIMS)), parts > 0
+        if some.any():
+            total[some] = np.add.reduceat(table.projections()[spot][at], bounds[:-1][some], axis=0)
+        return made(keys, ids, size, place(total, parts))
+
+    def by_library(table: PartTable, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        """Other texts: the tokenizer takes them whole; their place comes from their parts like that of any other."""
+        lists = [[*table.tokenizer.encode(t, add_special_tokens=False).ids, end_id] for t in texts.to_pylist()]
+        values, parts = lower_parts(texts)
+        total, some = np.zeros((len(keys), DIMS)), parts > 0
+        if some.any():
+            total[some] = np.add.reduceat(project(values.to_pylist()), np.append(0, np.cumsum(parts))[:-1][some], axis=0)
+        return made(keys, np.concatenate(lists).astype(np.uint16), np.array([len(x) for x in lists]), place(total, parts))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tables:
             _tables[path] = PartTable(path)
             if _tables[path].tokenizer.get_vocab_size() > 1 << 16:
                 raise ValueError("ids of this vocabulary need more than 16 bits")
-        words_of = _tables[path]
-        for batch in batches:
-            lists, keys = batch.column("words"), batch.column("doc_id")
-            ends = lists.offsets.to_numpy()
-            lo = 0
-            while lo < len(keys):
-                hi = min(len(keys), max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_WORDS, "right")) - 1))
-                coded = lists.values.slice(ends[lo], ends[hi] - ends[lo]).dictionary_encode()
-                distinct = coded.dictionary.to_pylist()
-                start, count, flat, place = words_of.encode(distinct)
-                at = coded.indices.to_numpy(zero_copy_only=False)
-                bounds = (ends[lo : hi + 1] - ends[lo]).astype(np.int64)
-                n = count[at]
-                till = np.concatenate([[0], np.cumsum(n)])[bounds]
-                size = np.diff(till) + 1
-                last = np.cumsum(size)
-                ids = np.empty(int(last[-1]), np.uint16)
-                body = np.ones(len(ids), bool)
-                body[last - 1] = False
-                ids[body] = gather(start[at], n, flat)
-                ids[last - 1] = end_id
-                parts = np.diff(bounds)
-                total = np.zeros((hi - lo, DIMS))
-                if (some := parts > 0).any():
-                    total[some] = np.add.reduceat(words_of.projections()[place][at], bounds[:-1][some], axis=0)
-                spot = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(parts, 1))[:, None], -30, 30)))
-                key = hilbert_key(np.minimum((spot * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
-                offsets = np.concatenate([[0], last * 2]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), packed, pa.array(size.astype(np.int32)), pa.array(key)], schema=schema)
-                lo = hi
-
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split_parts(F.col("text"), special).alias("words"))
-    return split.mapInArrow(run, "doc_id long, ids binary, n_ids int, key long")
+        table = _tables[path]
+        for whole, part in plain_and_whole(batches, special, PLAIN):
+            yield (by_library if whole else by_table)(table, part.column("doc_id"), part.column("text"))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, n_ids int, key long")
 
 
 def powers(n: int) -> list[int]:
@@ -245,7 +216,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             yield flush()
 
     placed = cut(tokenize(docs, tokenizer_path, end_id, special), "packing")
-    along = placed.repartitionByRange(partitions(docs.sparkSession), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    size = placed.agg(F.sum("n_ids")).first()[0] or 0
+    along = placed.repartitionByRange(parts_of(docs.sparkSession, 2 * size), "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return along.mapInArrow(run, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, partitions, remove, table, tidy
+from .common import cut, partitions, remove, table
 from .hashing import BLANK, BYTE, STEP, buffer, mix, slices, word_hashes
 
 #: A passage counts from so many bytes on.
@@ -401,16 +401,13 @@ def repeated_stretches(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     """(key, start, end): stretches of keyed texts, as the rule reads them, that repeated windows cover; they may overlap."""
     spark = docs.sparkSession
     cands = candidates(docs, rule)
-    tidy(spark)
     rep = F.min(F.struct("key", "at", "back", "width")).alias("rep")
     classes = cut(cands.groupBy("mh", "sh").agg(F.count("*").alias("n"), rep).select("mh", "sh", "n", "rep.*"), "suffix-classes")
     sizes = cut(classes.groupBy("mh").agg(F.count("*").alias("k")).filter("k > 1"), "suffix-sizes")
     several = cut(classes.join(sizes, "mh").withColumn("crowded", F.col("k") > CROWD), "suffix-several")
-    tidy(spark)
     lists = several.groupBy("key").agg(F.collect_list(F.struct("n", "key", "at", "back", "width", "crowded")).alias("classes"))
     texts = docs.select("key", "text").join(lists, "key")
     runs = cut(sorted_runs(texts, splitters_of(several, docs, PARTS * partitions(spark), rule), rule), "suffix-runs")
-    tidy(spark)
     once = merged(runs.filter("part >= 0"), rule)
     windows = runs.filter("part < 0").select(F.col("run").alias("window"), "n", "key", F.col("seq").alias("i"), "at")
     twice = windows.groupBy("window").agg(F.sum("n").alias("k")).filter("k > 1").select("window")
@@ -435,10 +432,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), length: int = L
     """
     docs = keyed(docs, carry)
     spans = repeated_stretches(docs, Rule(length)).withColumn("worded", F.lit(False))
-    tidy(docs.sparkSession)
     if words is not None:
         spans = spans.unionByName(repeated_stretches(docs, word_rule(words)).withColumn("worded", F.lit(True)))
-        tidy(docs.sparkSession)
     by = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end", "worded")).alias("spans"))
     made = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept", pa.binary())]
 
