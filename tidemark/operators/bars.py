@@ -13,27 +13,34 @@ from tidemark.functions import times
 from tidemark.functions.candle import Thresholds, candle_pattern
 
 
-def _bars(df: DataFrame, keys: list[Column | str], first: Column, last: Column, high_ts: Column, low_ts: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(
+def bar_columns(first: Column, last: Column, high_ts: Column, low_ts: Column) -> list[Column]:
+    """A group's bar: ``first`` and ``last`` order its rows, high_ts and low_ts are the rows' times of their high and low.
+    NaN is the largest price, so a NaN high is the group's high and its time is that of the first NaN."""
+    high, low = F.col("high"), F.col("low")
+    return [
         F.min_by("open", first).alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.max_by("close", last).alias("close"),
         F.sum("volume").alias("volume"),
-        F.min_by(high_ts, F.when(F.col("high").isNotNull(), F.struct((-F.col("high")).alias("h"), high_ts.alias("t")))).alias("high_ts"),
-        F.min_by(low_ts, F.when(F.col("low").isNotNull(), F.struct(F.col("low").alias("l"), low_ts.alias("t")))).alias("low_ts"),
-    )
+        F.min_by(high_ts, F.when(high.isNotNull(), F.struct((~F.isnan(high)).alias("n"), (-high).alias("h"), high_ts.alias("t")))).alias("high_ts"),
+        F.min_by(low_ts, F.when(low.isNotNull(), F.struct(low.alias("l"), low_ts.alias("t")))).alias("low_ts"),
+    ]
+
+
+def tick_columns() -> list[Column]:
+    """A group of ticks as a bar. Ties in time go by seq, then by the price itself, so row order never matters."""
+    return bar_columns(F.struct("ts", "seq", "open"), F.struct("ts", "seq", "close"), F.col("ts"), F.col("ts"))
 
 
 def base_bars(ticks: DataFrame, keys: list[Column | str]) -> DataFrame:
-    """Bars from ticks. Ties in time go by seq, then by the price itself, so row order never matters."""
-    ts = F.col("ts")
-    return _bars(ticks, keys, F.struct("ts", "seq", "open"), F.struct("ts", "seq", "close"), ts, ts)
+    """Bars from ticks."""
+    return ticks.groupBy(*keys).agg(*tick_columns())
 
 
 def roll_up(bars: DataFrame, keys: list[Column | str], order: str) -> DataFrame:
     """Bars from smaller bars, of which ``order`` says which comes first in a group."""
-    return _bars(bars, keys, F.col(order), F.col(order), F.col("high_ts"), F.col("low_ts"))
+    return bars.groupBy(*keys).agg(*bar_columns(F.col(order), F.col(order), F.col("high_ts"), F.col("low_ts")))
 
 
 def with_labels(bars: DataFrame, name: str = "candle_pattern", at: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
@@ -48,13 +55,5 @@ def with_labels(bars: DataFrame, name: str = "candle_pattern", at: Thresholds =
 def hourly_bars(ticks: DataFrame) -> DataFrame:
     """Ticks to ``market_data`` rows by the hour; seq is the least of the hour."""
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_ts")
-    key = ["asset_id", hour]
-    bars = ticks.groupBy(*key).agg(
-        F.min_by("open", F.struct("ts", "seq", "open")).alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", F.struct("ts", "seq", "close")).alias("close"),
-        F.sum("volume").alias("volume"),
-        F.min("seq").alias("seq"),
-    )
+    bars = ticks.groupBy("asset_id", hour).agg(*tick_columns()[:5], F.min("seq").alias("seq"))
     return bars.withColumnRenamed("hour_ts", "ts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,37 +11,46 @@ from pyspark.sql import functions as F
 from tidemark.functions import times
 from tidemark.functions.candle import candle_pattern
 from tidemark.sources.bars_csv import append_market_data, read_bars_csv
+from tidemark.sources.schemas import conform
+from tidemark.sources.storage import stored
 
 from . import views
 
 
+ATTRIBUTES = ["name", "asset_class", "currency", "exchange", "timezone"]
+
+
 def assets_get_or_create(existing: DataFrame, incoming: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(asset of every incoming symbol, the new ones to append). Of a symbol that ``existing`` holds twice, the one
-    listed first counts, then the least id. Incoming symbols may repeat; null symbols are dropped."""
+    """(asset of every incoming symbol, the new ones to append), both as ``assets`` rows. Of a symbol that ``existing`` holds
+    twice, the one listed first counts, then the least id. Incoming symbols may repeat and may come with ATTRIBUTES, of which
+    the least of each counts; null symbols are dropped."""
     listed = F.coalesce(now, F.current_timestamp()) if now is not None else F.current_timestamp()
-    wanted = incoming.filter(F.col("symbol").isNotNull()).dropDuplicates(["symbol"])
-    new = wanted.join(existing.select("symbol"), "symbol", "left_anti").select(
-        F.concat(F.lit("asset:"), "symbol").alias("id"),
-        "symbol",
-        F.lit(0.1).alias("tick_size"),
-        F.lit(0.1).alias("lot_size"),
-        F.lit(1).cast("short").alias("price_decimals"),
-        F.lit(True).alias("active"),
-        listed.alias("first_listed_ts"),
-    )
+    given = [F.min(c).alias(c) for c in ATTRIBUTES if c in incoming.columns]
+    wanted = incoming.filter(F.col("symbol").isNotNull())
+    wanted = wanted.groupBy("symbol").agg(*given) if given else wanted.select("symbol").distinct()
+    new = wanted.join(existing.select("symbol"), "symbol", "left_anti").withColumns({
+        "id": F.concat(F.lit("asset:"), "symbol"),
+        "tick_size": F.lit(0.1),
+        "lot_size": F.lit(0.1),
+        "price_decimals": F.lit(1).cast("short"),
+        "active": F.lit(True),
+        "first_listed_ts": listed,
+    })
+    new = conform(new, "assets")
     first = W.partitionBy("symbol").orderBy("first_listed_ts", "id")
     known = existing.join(wanted.select("symbol"), "symbol", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return known.select(new.columns).unionByName(new), new
+    return conform(known, "assets").unionByName(new), new
 
 
-def ingest_csv(spark: SparkSession, path: str, symbol: str, assets_path: str, market_path: str, source: str = "csv") -> None:
+def ingest_csv(spark: SparkSession, path: str, symbol: str, assets_path: str, market_path: str, source: str = "csv", **attributes: str) -> None:
     """Asset first, in a write of its own, then the file's rows: a bad file leaves the asset and no rows. A file of
-    only a header writes nothing."""
-    incoming = spark.createDataFrame([(symbol,)], "symbol string")
-    try:
-        existing = spark.read.parquet(assets_path)
-    except Exception:  # no table yet
-        existing = spark.createDataFrame([], "id string, symbol string, tick_size double, lot_size double, price_decimals short, active boolean, first_listed_ts timestamp")
+    only a header writes no rows. ``attributes`` are any of ATTRIBUTES, for an asset that is new."""
+    if unknown := set(attributes) - set(ATTRIBUTES):
+        raise ValueError(f"not an attribute of an asset: {sorted(unknown)}")
+    incoming = spark.range(1).select(F.lit(symbol).alias("symbol"), *[F.lit(v).alias(k) for k, v in attributes.items()])
+    existing = stored(spark, assets_path)
+    if existing is None:
+        existing = conform(incoming.limit(0), "assets")
     found, new = assets_get_or_create(existing, incoming)
     asset_id = found.select("id").first()[0]
     new.write.mode("append").parquet(assets_path)
@@ -51,17 +62,45 @@ def update_daily_patterns(daily: DataFrame) -> DataFrame:
     return daily.withColumn("day_candle_pattern", candle_pattern(*[F.col(c) for c in ("open", "high", "low", "close")]))
 
 
-def refresh(md: DataFrame, out: str, dates: list | None = None) -> None:
-    """Recompute the stored views. With ``dates``, session and day partitions of those dates only are overwritten,
-    and the small week and month tables are rebuilt from the stored days."""
+def of_days(md: DataFrame, dates: list[dt.date]) -> DataFrame:
+    """Rows of some days: by the stored partition where there is one, and by a range of times that reaches the scan."""
+    if "trade_date" in md.columns:
+        md = md.filter(F.col("trade_date").isin(dates))
+    first, after = (dt.datetime.combine(d, dt.time()) for d in (min(dates), max(dates) + dt.timedelta(days=1)))
+    ts = F.col("ts")
+    return md.filter((ts >= F.lit(first).cast(md.schema["ts"].dataType)) & (ts < F.lit(after).cast(md.schema["ts"].dataType)) & times.day(ts).isin(dates))
+
+
+#: The stored views with the column that each is partitioned by.
+STORED = {"session_agg": "trade_date", "daily_agg": "trade_date", "weekday_agg": "week_start", "weekly_agg": "week_start", "monthly_agg": "month_start"}
+
+
+def refresh(md: DataFrame, out: str, dates: list[dt.date] | None = None) -> None:
+    """Recompute the stored views, each with its labels. With ``dates``, only those dates' session and day partitions and the
+    weeks and months that they lie in are overwritten, and only their rows and days are read."""
     spark = md.sparkSession
-    if dates is not None:
-        md = md.filter(times.day(F.col("ts")).isin(dates))
+    if dates is not None and not dates:
+        return
     mode = {"partitionOverwriteMode": "dynamic" if dates is not None else "static"}
-    views.session_agg(md).write.options(**mode).mode("overwrite").partitionBy("trade_date").parquet(f"{out}/session_agg")
-    sessions = spark.read.parquet(f"{out}/session_agg")
+
+    def store(name: str, view: DataFrame) -> DataFrame:
+        path = f"{out}/{name}"
+        views.with_labels(view).write.options(**mode).mode("overwrite").partitionBy(STORED[name]).parquet(path)
+        return spark.read.parquet(path)
+
+    sessions = store("session_agg", views.session_agg(md if dates is None else of_days(md, dates)))
     touched = sessions if dates is None else sessions.filter(F.col("trade_date").isin(dates))
-    update_daily_patterns(views.daily_agg(touched)).write.options(**mode).mode("overwrite").partitionBy("trade_date").parquet(f"{out}/daily_agg")
-    daily = spark.read.parquet(f"{out}/daily_agg")
-    for name in ("weekday_agg", "weekly_agg", "monthly_agg"):
-        views.with_labels(getattr(views, name)(daily)).write.mode("overwrite").parquet(f"{out}/{name}")
+    daily = store("daily_agg", update_daily_patterns(views.daily_agg(touched)))
+    weeks, months = daily, daily
+    if dates is not None:
+        mondays = sorted({d - dt.timedelta(days=d.weekday()) for d in dates})
+        firsts = sorted({d.replace(day=1) for d in dates})
+        days = {m + dt.timedelta(days=i) for m in mondays for i in range(7)}
+        weeks = daily.filter(F.col("trade_date").isin(sorted(days)))
+        in_month = F.lit(False)
+        for f in firsts:
+            in_month = in_month | ((F.col("trade_date") >= F.lit(f)) & (F.col("trade_date") < F.add_months(F.lit(f), 1)))
+        months = daily.filter(in_month)
+    store("weekday_agg", views.weekday_agg(weeks))
+    store("weekly_agg", views.weekly_agg(weeks))
+    store("monthly_agg", views.monthly_agg(months))

@@ -63,8 +63,20 @@ def define_views(md: DataFrame) -> dict[str, DataFrame]:
     return {name: with_labels(v) for name, v in views.items()}
 
 
+KEYS = ["asset_id", "trade_date", "session", "week_start", "weekday", "month_start", "week", "month"]
+
+
+def all_rows(views: dict[str, DataFrame]) -> DataFrame:
+    """Every row of several labelled views under one another, led by the view's name; keys that a view lacks are null. The
+    views share what they are built from: session bars are aggregated and exchanged once."""
+    out = None
+    for name, v in views.items():
+        rows = v.withColumn("view", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.select("view", *[c for c in KEYS if c in out.columns], *[c for c in out.columns if c not in ("view", *KEYS)])
+
+
 def projection(view: DataFrame, variant: str) -> DataFrame:
     """A labelled view's columns as ``thin`` (high, low, volume), ``hm`` (pattern, HH:mm times) or ``ts`` (pattern, timestamps)."""
     extra = {"thin": THIN, "hm": [*THIN, "candle_pattern", "high_hm", "low_hm"], "ts": [*THIN, "candle_pattern", "high_ts", "low_ts"]}[variant]
-    keys = [c for c in ("asset_id", "trade_date", "session", "week_start", "weekday", "month_start", "week", "month") if c in view.columns]
-    return view.select(*keys, *extra)
+    return view.select(*[c for c in KEYS if c in view.columns], *extra)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
-from tidemark.functions.candle import Thresholds, candle_pattern
+from tidemark.functions.candle import Thresholds, candle_pattern, register_sql_functions
 from tidemark.functions.session import session_label, session_parse
 from tidemark.operators import bars, jobs, reads, views
 from tidemark.sources.adapters import md_events, md_lineitem, md_orders
 from tidemark.sources.bars_csv import parse_bars
+from tidemark.sources.schemas import conform
+from tidemark.sources.storage import shared_dir
 
 NTZ = "timestamp_ntz"
 WIDE = Thresholds(doji=0.2, long=0.7, short=0.4, ratio=0.9, eps=1e-6)
@@ -56,6 +61,11 @@ def labelled_sql(inner: str) -> str:
 HOURLY = f"""SELECT asset_id, date_trunc('hour', ts) AS ts, first(open ORDER BY ts, seq, open) AS open, max(high) AS high, min(low) AS low,
  last(close ORDER BY ts, seq, close) AS close, sum(volume) AS volume, min(seq) AS seq FROM ({EVENTS}) AS md GROUP BY asset_id, date_trunc('hour', ts)"""
 
+ASSETS = """SELECT 'asset:' || symbol AS id, symbol, min(name) AS name, min(kind) AS asset_class, min(currency) AS currency, 0.1::DOUBLE AS tick_size, 0.1::DOUBLE AS lot_size, 1 AS price_decimals,
+ min(exchange) AS exchange, min(zone) AS timezone, TRUE AS active, min(listed) AS first_listed_ts
+ FROM (SELECT event_type AS symbol, 'Event ' || event_type AS name, 'index' AS kind, 'USD' AS currency, 'X' AS exchange, 'UTC' AS zone, TIMESTAMP '2020-01-01 00:00:00' AS listed FROM events
+ UNION ALL SELECT o_orderpriority, NULL, NULL, NULL, NULL, NULL, TIMESTAMP '2024-06-01 00:00:00' FROM orders) AS s GROUP BY symbol"""
+
 # ---- queries
 
 
@@ -125,13 +135,18 @@ def q_daily_pattern_update(spark: SparkSession, d: str) -> DataFrame:
 
 def q_asset_get_or_create(spark: SparkSession, d: str) -> DataFrame:
     listed = F.to_timestamp(F.lit("2020-01-01 00:00:00"))
-    events = md_events(spark, d).select(F.col("asset_id").alias("symbol"))
-    existing = jobs.assets_get_or_create(spark.createDataFrame([], "id string, symbol string, tick_size double, lot_size double, price_decimals short, active boolean, first_listed_ts timestamp"), events, listed)[0]
-    incoming = events.union(md_orders(spark, d).select("asset_id"))
+    events = md_events(spark, d).select(F.col("asset_id").alias("symbol"), F.concat(F.lit("Event "), "asset_id").alias("name"), F.lit("index").alias("asset_class"), F.lit("USD").alias("currency"), F.lit("X").alias("exchange"), F.lit("UTC").alias("timezone"))
+    existing = jobs.assets_get_or_create(conform(events.limit(0), "assets"), events, listed)[0]
+    incoming = events.select("symbol").union(md_orders(spark, d).select("asset_id"))
     found, _ = jobs.assets_get_or_create(existing, incoming, F.to_timestamp(F.lit("2024-06-01 00:00:00")))
     return found.withColumn("first_listed_ts", F.col("first_listed_ts").cast(NTZ)).withColumn("price_decimals", F.col("price_decimals").cast("int"))
 
 
+def q_asset_by_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """One asset: the filter is the feature."""
+    return reads.by_symbol(q_asset_get_or_create(spark, d), "click").select("id", "symbol", "name", "first_listed_ts")
+
+
 def q_time_formats(spark: SparkSession, d: str) -> DataFrame:
     ts = F.col("ts")
     return md_events(spark, d).select("seq", times.weekday_name(ts).alias("weekday"), times.month_name(ts).alias("month"), times.hour_minute(ts).alias("hm"), times.week_label(ts).alias("week"), times.iso_seconds(ts).alias("iso"))
@@ -160,12 +175,92 @@ def q_order_is_buy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_all_views(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and volume of each of the five views: one job over all of them."""
-    out = None
-    for name, v in views.define_views(md_orders(spark, d)).items():
-        part = v.agg(F.count("*").alias("n_bars"), F.sum("volume").alias("volume")).select(F.lit(name).alias("view"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every row and column of the five views, in one job."""
+    return views.all_rows(views.define_views(md_orders(spark, d)))
+
+
+def _by_asset(build):
+    """One asset's rows of a view: the filter is the feature, and reaches the scan."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return reads.by_asset(bars.with_labels(build(_daily(md_orders(spark, d)))), "1-URGENT")
+
+    return run
+
+
+def q_latest_n_bound(spark: SparkSession, d: str) -> DataFrame:
+    """The same read as SQL text with bound parameters."""
+    md_events(spark, d).createOrReplaceTempView("latest_n_events")
+    return reads.latest_n_sql(spark, "latest_n_events", "view", 40)
+
+
+def q_sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Both SQL functions, over hourly bars."""
+    register_sql_functions(spark)
+    return q_hourly_bars(spark, d).select("asset_id", "ts", F.expr("session_from_timestamp(CAST(ts AS TIMESTAMP))").alias("session"), F.expr("candle_pattern(open, high, low, close)").alias("candle_pattern"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars written as bar files with their columns in another order, one folder for each asset, ingested with their
+    asset, twice for one of them, then a file of only a header; what the stored table then holds."""
+    out = _folder(spark, "csv")
+    text = q_hourly_bars(spark, d).select("asset_id", F.date_format("ts", "HH:mm").alias("Time"), F.date_format("ts", "yyyy.MM.dd").alias("Date"), *[F.col(c.lower()).cast("string").alias(c) for c in ("Close", "Open", "High", "Low", "Volume")])
+    text.write.partitionBy("asset_id").csv(f"{out}/files", header=True)
+    text.drop("asset_id").limit(0).coalesce(1).write.csv(f"{out}/none", header=True)
+    # the types of events, which are few: one load each
+    symbols = [r[0] for r in text.select("asset_id").distinct().orderBy("asset_id").limit(100).collect()]
+    for symbol in [*symbols, symbols[0]]:
+        jobs.ingest_csv(spark, f"{out}/files/asset_id={symbol}", symbol, f"{out}/assets", f"{out}/market_data", source="file", currency="USD")
+    jobs.ingest_csv(spark, f"{out}/none", symbols[0], f"{out}/assets", f"{out}/market_data")
+    assets = spark.read.parquet(f"{out}/assets").select(F.col("id").alias("asset_id"), "symbol", "currency")
+    rows = conform(spark.read.parquet(f"{out}/market_data").withColumn("ts", F.col("ts").cast("timestamp")), "market_data")
+    return rows.join(assets, "asset_id").select("asset_id", "symbol", "currency", F.col("ts").cast(NTZ).alias("ts"), "open", "high", "low", "close", "volume", "seq", "source")
+
+
+def q_conform(table: str):
+    """The given tables made to conform to a declared schema; every row."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        events, orders = spark.read.parquet(f"{d}/events.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+        if table == "market_data":
+            out = conform(md_events(spark, d).drop("open"), table)
+        elif table == "orders":
+            status = F.when(F.col("o_orderstatus") == "O", "New").when(F.col("o_orderstatus") == "F", "Filled")
+            out = conform(orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("asset_id"), F.lit("Buy").alias("side"), F.col("o_totalprice").cast("string").alias("price"), status.alias("status"), F.col("o_orderdate").alias("created_ts")), table).drop("meta")
+        elif table == "predictions":
+            out = conform(events.select(F.col("event_id").alias("id"), F.col("event_type").alias("asset_id"), "ts", F.lit(60_000).alias("horizon_ms"), F.col("value").alias("predicted_price")), table)
+        else:
+            regions = spark.read.parquet(f"{d}/region.parquet")
+            out = conform(regions.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), table).drop("params")
+        return out.select(*[F.col(c).cast(NTZ).alias(c) if k == "timestamp" else F.col(c) for c, k in out.dtypes])
+
+    return run
+
+
+def q_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The stored views after a load of all days and a reload of three days whose volumes have doubled since."""
+    out, md = _folder(spark, "refresh"), md_orders(spark, d)
+    jobs.refresh(md, out)
+    again = md.withColumn("volume", F.when(times.day(F.col("ts")).isin(RELOADED), F.col("volume") * 2).otherwise(F.col("volume")))
+    jobs.refresh(again, out, RELOADED)
+    return views.all_rows({name: spark.read.parquet(f"{out}/{name}") for name in jobs.STORED})
+
+
+RELOADED = [dt.date(1995, 1, 2), dt.date(1997, 12, 31), dt.date(1998, 1, 1)]
+RELOADED_SQL = f"""SELECT * REPLACE (CASE WHEN CAST(ts AS DATE) IN ({", ".join(f"DATE '{d}'" for d in RELOADED)}) THEN 2 * volume ELSE volume END AS volume) FROM ({{}}) AS md"""
+
+
+def all_rows_sql(md: str, daily: str = "") -> str:
+    """The five views under one another; ``daily`` is what the stored daily view has besides."""
+    parts = []
+    for name, keys in (("session_agg", S), ("daily_agg", D), ("weekday_agg", {"week_start": WEEK, "weekday": WEEKDAY}), ("weekly_agg", {"week_start": WEEK}), ("monthly_agg", {"month_start": MONTH})):
+        more = f", {candle_sql() if name == 'daily_agg' else 'NULL::VARCHAR'} AS day_candle_pattern" if daily else ""
+        parts.append(f"SELECT '{name}' AS view, *{more} FROM ({labelled_sql(bars_sql(md, keys))}) AS v")
+    return " UNION ALL BY NAME ".join(parts)
 
 
 S, D = {"trade_date": DAY, "session": SESSION}, {"trade_date": DAY, "weekday": WEEKDAY}
@@ -193,24 +288,33 @@ TABLE = {
     "bars_by_asset": (q_bars_by_asset, f"SELECT * FROM ({bars_sql(EVENTS, S)}) AS b WHERE asset_id = 'view'"),
     "daily_ordered": (q_daily_ordered, f"SELECT * FROM ({bars_sql(EVENTS, D)}) AS b WHERE asset_id = 'view' ORDER BY trade_date"),
     "daily_pattern_update": (q_daily_pattern_update, f"SELECT *, {candle_sql()} AS day_candle_pattern FROM ({bars_sql(ORDERS, D)}) AS b"),
-    "asset_get_or_create": (
-        q_asset_get_or_create,
-        """SELECT 'asset:' || symbol AS id, symbol, 0.1::DOUBLE AS tick_size, 0.1::DOUBLE AS lot_size, 1 AS price_decimals, TRUE AS active, min(listed) AS first_listed_ts
- FROM (SELECT event_type AS symbol, TIMESTAMP '2020-01-01 00:00:00' AS listed FROM events UNION ALL SELECT o_orderpriority, TIMESTAMP '2024-06-01 00:00:00' FROM orders) AS s
- GROUP BY symbol""",
-    ),
+    "asset_get_or_create": (q_asset_get_or_create, ASSETS),
+    "asset_by_symbol": (q_asset_by_symbol, f"SELECT id, symbol, name, first_listed_ts FROM ({ASSETS}) AS a WHERE symbol = 'click'"),
     "time_formats": (q_time_formats, "SELECT event_id AS seq, strftime(ts, '%a') AS weekday, strftime(ts, '%b') AS month, strftime(ts, '%H:%M') AS hm, 'Week ' || CAST(weekofyear(ts) AS VARCHAR) AS week, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events"),
     "time_floor": (q_time_floor, f"SELECT o_orderkey AS seq, {DAY.replace('ts', 'o_orderdate')} AS day, CAST(date_trunc('week', o_orderdate) AS DATE) AS week_start, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start FROM orders"),
     "parse_ymd_hms": (q_parse_ymd_hms, "SELECT event_id AS seq, date_trunc('second', ts) AS at FROM events"),
     "bar_rows": (q_bar_rows, f"SELECT asset_id, ts, open, high, low, close, volume, 0::BIGINT AS seq, 'csv' AS source FROM ({HOURLY}) AS h"),
     "order_is_buy": (q_order_is_buy, "SELECT o_orderkey, side, side = 'Buy' AS is_buy FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Buy' WHEN 'F' THEN 'Sell' END AS side FROM orders) AS o"),
-    "all_views": (
-        q_all_views,
-        " UNION ALL ".join(
-            f"SELECT '{name}' AS view, count(*) AS n_bars, sum(volume) AS volume FROM ({bars_sql(ORDERS, keys)}) AS b"
-            for name, keys in (("session_agg", S), ("daily_agg", D), ("weekday_agg", {"week_start": WEEK, "weekday": WEEKDAY}), ("weekly_agg", {"week_start": WEEK}), ("monthly_agg", {"month_start": MONTH}))
-        ),
+    "all_views": (q_all_views, all_rows_sql(ORDERS)),
+    "weekday_by_asset": (_by_asset(views.weekday_agg), f"SELECT * FROM ({labelled_sql(bars_sql(ORDERS, {'week_start': WEEK, 'weekday': WEEKDAY}))}) AS v WHERE asset_id = '1-URGENT'"),
+    "weekly_by_asset": (_by_asset(views.weekly_agg), f"SELECT * FROM ({labelled_sql(bars_sql(ORDERS, {'week_start': WEEK}))}) AS v WHERE asset_id = '1-URGENT'"),
+    "monthly_by_asset": (_by_asset(views.monthly_agg), f"SELECT * FROM ({labelled_sql(bars_sql(ORDERS, {'month_start': MONTH}))}) AS v WHERE asset_id = '1-URGENT'"),
+    "latest_n_bound": (q_latest_n_bound, f"SELECT * FROM ({EVENTS}) AS md WHERE asset_id = 'view' ORDER BY ts DESC, seq DESC LIMIT 40"),
+    "sql_functions": (q_sql_functions, f"SELECT asset_id, ts, {SESSION} AS session, {candle_sql()} AS candle_pattern FROM ({HOURLY}) AS h"),
+    "csv_round_trip": (
+        q_csv_round_trip,
+        f"""SELECT 'asset:' || asset_id AS asset_id, asset_id AS symbol, 'USD' AS currency, ts, open, high, low, close, volume, 0::BIGINT AS seq, 'file' AS source
+ FROM (SELECT * FROM ({HOURLY}) AS h UNION ALL SELECT * FROM ({HOURLY}) AS h WHERE asset_id = (SELECT min(event_type) FROM events)) AS twice""",
+    ),
+    "conform_market_data": (q_conform("market_data"), "SELECT NULL::VARCHAR AS id, event_type AS asset_id, ts, NULL::DOUBLE AS open, value AS high, value AS low, value AS close, CAST(json_extract(props, '$.k') AS DOUBLE) AS volume, event_id AS seq, NULL::VARCHAR AS source FROM events"),
+    "conform_orders": (
+        q_conform("orders"),
+        """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS asset_id, NULL::VARCHAR AS client_order_id, 'Buy' AS side, NULL::DOUBLE AS qty, o_totalprice AS price, NULL::VARCHAR AS order_type,
+ CASE o_orderstatus WHEN 'O' THEN 'New' WHEN 'F' THEN 'Filled' ELSE 'Pending' END AS status, o_orderdate AS created_ts, NULL::TIMESTAMP AS updated_ts, NULL::VARCHAR[] AS tags FROM orders""",
     ),
+    "conform_predictions": (q_conform("predictions"), "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS asset_id, ts, 60000::BIGINT AS horizon_ms, value AS predicted_price, NULL::FLOAT AS confidence, NULL::VARCHAR AS model_id, NULL::VARCHAR AS input_market_data_id, NULL::VARCHAR AS notes FROM events"),
+    "conform_strategies": (q_conform("strategies"), "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS name, NULL::VARCHAR AS description, NULL::VARCHAR[] AS applicable_assets, TRUE AS active, NULL::TIMESTAMP AS created_ts FROM region"),
+    "refresh": (q_refresh, all_rows_sql(RELOADED_SQL.format(ORDERS), "daily")),
 }
 QUERIES = {name: query for name, (query, _) in TABLE.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in TABLE.items()}

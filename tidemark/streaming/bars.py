@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import session_label
-from tidemark.operators.bars import roll_up
+from tidemark.operators.bars import roll_up, tick_columns
 
 #: A week's window starts on Monday; plain weeks start on Thursday, as the epoch did.
 WEEK = ("7 days", "7 days", "4 days")
@@ -14,16 +14,7 @@ WEEK = ("7 days", "7 days", "4 days")
 
 def _windowed(ticks: DataFrame, window: Column, keys: list[Column | str], late: str) -> DataFrame:
     ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    first, last = F.struct("ts", "seq", "open"), F.struct("ts", "seq", "close")
-    return ticks.groupBy(window.alias("w"), "asset_id", *keys).agg(
-        F.min_by("open", first).alias("open"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        F.max_by("close", last).alias("close"),
-        F.sum("volume").alias("volume"),
-        F.min_by("ts", F.when(F.col("high").isNotNull(), F.struct((-F.col("high")).alias("h"), "ts"))).alias("high_ts"),
-        F.min_by("ts", F.when(F.col("low").isNotNull(), F.struct("low", "ts"))).alias("low_ts"),
-    )
+    return ticks.groupBy(window.alias("w"), "asset_id", *keys).agg(*tick_columns())
 
 
 def session_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
