@@ -231,6 +231,37 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_index_finds_links_across_cells(spark, monkeypatch):
+    """A grid of at least 16 x 16 cells, links of cosines close to the least one across cell borders, fewer visits than cells."""
+    monkeypatch.setattr(neighbours, "PER_CELL", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.99, (1500, 1))
+    near = cosine * x + np.sqrt(1 - cosine**2) * side
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    entries = neighbours.packed(neighbours.entries_of(df)).cache()
+    index = neighbours.codebooks(entries)
+    assert all(len(c) >= 16 for c in index.books[12])
+    placed = neighbours.with_cells(entries, index).cache()
+    index.visits, recall = neighbours.measured_visits(placed, index, 0.93)
+    if recall is not None:
+        assert recall >= neighbours.TARGET_RECALL
+    assert 1 < index.visits < len(index.books[12][0]) * len(index.books[12][1])
+    # ranks are places in the traversal
+    cells = index.cells(near[:20])
+    assert index.rank(x[:20], cells).tolist() == [1 + t.index(c) for t, c in zip([neighbours.multi_sequence(a, b, 10**6) for a, b in zip(*index.distances(x[:20]), strict=True)], cells, strict=True)]
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+    expected = plain_neighbours(rows, 0.93)
+    crossing = (index.cells(x) != index.cells(near)).sum()
+    assert crossing > 500 and all(got[i] <= expected[i][0] for i in got)
+    assert sum(got.values()) >= 0.9 * sum(e[0] for e in expected.values()) > 2000
+
+
 def test_multi_sequence_is_in_order_of_distance():
     rng = np.random.default_rng(2)
     a, b = rng.random(9), rng.random(7)

@@ -167,11 +167,26 @@ def test_label_model_weighs_echoes_once():
     voter = lambda p, q: np.where(y, rng.random(4000) < p, rng.random(4000) < q)
     a, b = voter(0.6, 0.01), voter(0.5, 0.02)
     x = np.stack([a, a, b], axis=1).astype(float)
-    given = np.where(rng.random(4000) < 0.02, ~y, y)
-    given = np.stack([given, ~given], axis=1)
-    model = toxicity.label_model(np.hstack([x, given, x.sum(axis=1, keepdims=True) == 0]), 0.2)
-    assert model.share[0] == model.share[1] == 0.5 and model.share[2] == 1
-    assert abs(model.on[0] - 0.6) < 0.1 and model.off[0] < 0.05
+    given = np.where(rng.random(4000) < 0.02, ~y, y).astype(float)
+    given[rng.random(4000) < 0.6] = np.nan  # most are unlabelled
+    model = toxicity.label_model(np.hstack([x, x.sum(axis=1, keepdims=True) == 0]), given)
+    assert abs(model.share[0] - 0.5) < 0.02 and abs(model.share[1] - 0.5) < 0.02 and model.share[2] > 0.9
+    assert abs(model.on[0] - 0.6) < 0.1 and model.off[0] < 0.05 and abs(model.prior - 0.2) < 0.05
+    assert model.given[0] > 0.85 and model.given[1] < 0.06
+
+
+def test_posteriors_are_those_of_the_plain_sum():
+    """Bayes' rule row by row, voter by voter."""
+    rng = np.random.default_rng(3)
+    x, given = (rng.random((50, 4)) < 0.3).astype(float), np.array([1.0, 0.0, np.nan] * 17)[:50]
+    m = toxicity.LabelModel(0.1, np.array([0.5, 0.4, 0.3, 0.2]), np.array([0.1, 0.2, 0.05, 0.6]), np.array([1, 0.5, 0.5, 1]), (0.9, 0.02))
+    for row, g, got in zip(x, given, m.posterior(x, given), strict=True):
+        hot, cold = 0.1, 0.9
+        for v, a, b, s in zip(row, m.on, m.off, m.share, strict=True):
+            hot, cold = hot * (a**s if v else 1), cold * (b**s if v else 1)
+        if not np.isnan(g):
+            hot, cold = hot * (0.9 if g else 0.1), cold * (0.02 if g else 0.98)
+        assert abs(got - hot / (hot + cold)) < 1e-9
 
 
 def plain_statistics(t):

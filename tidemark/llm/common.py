@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import shared_dir
+
 #: Word of the contracts: a run of anything but space and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -19,18 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. Where it names none, a session within this one
-    process gets a temporary folder, and a cluster an error: no folder of this machine would be right there."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 #: What Python workers get at a time: whole texts are long, and workers' memory is short. Shuffle files go with the query
 #: that made them, as every intermediate table is written and read again. A session that sets other values keeps them.
 SETTINGS = {
@@ -91,3 +79,11 @@ PART_BYTES = 64 << 20
 def parts_of(spark: SparkSession, size: int) -> int:
     """How many parts to deal ``size`` bytes out to: as many as the session asks for, and more where these would be large."""
     return max(partitions(spark), -(-size // PART_BYTES))
+
+
+def drawn(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most ``most`` rows, chosen by the hash of their key. A filter on the hash leaves about twice as many where they lie,
+    so that no task sorts or sends more than its share."""
+    share, h = 2 * most / max(1, df.count()), F.xxhash64(*key)
+    few = df.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else df
+    return few.orderBy(h, *key).limit(most)

@@ -24,8 +24,9 @@ from .common import cut, remove, table
 from .components import components
 from .hashing import mix, shingle_sets, slices
 
-#: Shingles are counted by hash in so many counters, 4 MB whatever the input: enough to tell which are frequent.
-COUNTERS, CHUNK = 1 << 20, 1 << 10
+#: Shingles are counted by hash in so many counters, 16 MB whatever the input: enough to tell which are frequent. A task
+#: counts up to 255 in each, and a counter takes in so many shingles at a time.
+COUNTERS, CHUNK, AT_ONCE = 1 << 22, 1 << 12, 1 << 21
 SKETCH = 256
 #: Bits for each thing that a bit set marks, and bits at most (16 MB). A fuller set lets more pass, and joins do the rest.
 BITS_EACH, MOST_BITS = 16, 1 << 27
@@ -55,16 +56,39 @@ def set_hash(hashes: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return _per_text(mix(hashes ^ np.uint64(k)), sizes).view(np.int64)
 
 
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int32)
+
+
+def fresh(ids: pa.Array, h1: np.ndarray, seen: set) -> np.ndarray:
+    """Which rows a task hasn't met before: rows that repeat id and set are worth one."""
+    out = np.zeros(len(h1), bool)
+    for i, key in enumerate(zip(ids.to_pylist(), h1.tolist(), strict=True)):
+        if key not in seen:
+            seen.add(key)
+            out[i] = True
+    return out
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (set size), two hashes of the set, its sketch; and rows with ``chunk`` and ``counts``: how often shingles occur."""
     names = ["doc_id", "n", "h1", "h2", "sketch", "chunk", "counts"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int32)
+        counts, waiting = np.zeros(COUNTERS, np.uint8), []
+
+        def count() -> None:
+            slots, n = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[slots] = np.minimum(counts[slots] + n, 255)
+            waiting.clear()
+
         for ids, texts in _batches(batches):
             hashes, sizes = shingle_sets(texts, size)
-            counts += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+            waiting.append(slot_of(hashes))
+            if sum(map(len, waiting)) > AT_ONCE:
+                count()
             owner = np.repeat(np.arange(len(sizes)), sizes)
             odd = np.bincount(owner * SKETCH + (hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=len(sizes) * SKETCH) & 1
             bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -72,6 +96,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             h1, h2 = (set_hash(hashes, sizes, k) for k in (1, 2))
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(h1), pa.array(h2), sketch, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        if waiting:
+            count()
         for at in range(0, COUNTERS, CHUNK * 64):
             rows = [counts[i : i + CHUNK].tobytes() for i in range(at, at + CHUNK * 64, CHUNK)]
             none = pa.nulls(len(rows))
@@ -87,7 +113,7 @@ def counters(signed: DataFrame) -> np.ndarray:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for raw in group.column("counts"):
-            total += np.frombuffer(raw.as_buffer(), np.int32)
+            total += np.frombuffer(raw.as_buffer(), np.uint8)
         total = np.minimum(total, (1 << 31) - 1).astype(np.int32)
         return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
@@ -104,18 +130,22 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequency: np.ndarray) ->
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, seen = shared.value, set()
         for ids, texts in _batches(batches):
             hashes, sizes = shingle_sets(texts, size)
-            count = often[(hashes >> np.uint64(44)).astype(np.int64)]
+            h1 = set_hash(hashes, sizes, 1)
+            new = fresh(ids, h1, seen) & (sizes > 0)
+            count = often[slot_of(hashes)]
             keep, take, end = [], sizes - -(-percent * sizes // 100) + 1, np.cumsum(sizes)
-            take[sizes == 0] = 0
+            take[~new] = 0
             for n, p, e in zip(sizes.tolist(), take.tolist(), end.tolist(), strict=True):
-                if n:
+                if p:
                     keep.append(e - n + np.lexsort((hashes[e - n : e], count[e - n : e]))[:p])
-            tokens = hashes[np.concatenate(keep)] if keep else hashes
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)).astype(np.int32)), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(set_hash(hashes, sizes, 1)), lists], schema=schema)
+            if not keep:
+                continue
+            tokens = hashes[np.concatenate(keep)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take[new])).astype(np.int32)), pa.array(tokens.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(new)), pa.array(h1[new]), lists], schema=schema)
 
     return _texts(docs).mapInArrow(run, "doc_id long, h1 long, tokens array<long>")
 
@@ -146,16 +176,18 @@ def passing(rows: DataFrame, key: str, marks: np.ndarray) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, h1 and the whole set of every document, once for each distinct pair of id and set."""
+    """doc_id, h1 and the whole set of every document, from each task once for each distinct pair of id and set."""
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for ids, texts in _batches(batches):
             hashes, sizes = shingle_sets(texts, size)
+            h1 = set_hash(hashes, sizes, 1)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(set_hash(hashes, sizes, 1)), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h1), lists], schema=schema).filter(pa.array(fresh(ids, h1, seen)))
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, set array<long>").dropDuplicates(["doc_id", "h1"])
+    return docs.mapInArrow(run, "doc_id long, h1 long, set array<long>")
 
 
 def may_link(percent: int) -> Column:
@@ -229,8 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     usable = seen.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = classes_of(usable)
     # of each class one document's prefix
-    tokens = prefixes(docs, size, percent, frequency).filter(F.size("tokens") > 0).groupBy("doc_id", "h1").agg(F.first("tokens").alias("tokens"))
-    rows = tokens.join(classes.select("doc_id", "h1", "node", "n"), ["doc_id", "h1"]).select("node", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+    rows = prefixes(docs, size, percent, frequency).join(classes.select("doc_id", "h1", "node", "n"), ["doc_id", "h1"]).select("node", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token"))
     prefix = cut(rows, "jaccard-prefixes")
     # most shingles stand in one prefix only; they go where they lie
     twice = cut(prefix.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"), "jaccard-twice")

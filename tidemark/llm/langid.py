@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .common import fold, table
 
@@ -161,47 +160,54 @@ def mixtures(log_w: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     return full, best
 
 
-FOUND = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("langs", pa.list_(pa.string())), pa.field("shares", pa.list_(pa.float64()))]
+MIXTURE = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("shares", pa.list_(pa.float64())), ("margin", pa.float64())])
+KINDS = "struct<lang_pred string, score double, langs array<string>, shares array<double>, margin double>"
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score (share of that language among all learned), langs and shares of the chosen set; all
-    columns of ``docs`` stay.
+    """``docs`` with lang_pred, score (share of that language among all learned), langs and shares of the chosen set, and
+    margin: by how much a trigram's mean log likelihood under that mixture is above that of no language at all, where every
+    trigram is as likely as any other. All columns of ``docs`` stay, but for columns of these names, which are replaced.
 
-    ``und`` with score 0 and empty arrays: a null text, one without a letter, or no language learned. Repeated rows stay,
-    ties go to the language first by name, an empty table gives an empty one.
+    ``und`` with score and margin 0 and empty arrays: a null text, one without a letter, or no language learned. Repeated
+    rows stay, ties go to the language first by name, a very long text is handled alone, an empty table gives an empty one.
     """
     langs, log_p = model.langs, model.log_p
 
-    def rated(texts: pa.Array, known: np.ndarray) -> list[pa.Array]:
+    def rated(texts: pa.Array) -> pa.Array:
         n, names = len(texts), np.array(langs, object)
         code, owner, begins = trigrams(texts)
+        margin = np.zeros(n)
         if not len(code) or not langs:
             best = full = np.full((n, max(1, len(langs))), 1 / max(1, len(langs)))
         else:
             word = np.flatnonzero(begins)
             log_w = np.add.reduceat(log_p[code], word, axis=0) * np.float32(TEMPER)
-            full, best = mixtures(log_w, owner[word], n)
+            doc = owner[word]
+            full, best = mixtures(log_w, doc, n)
+            top = log_w.max(axis=1)
+            likely = np.log((best.astype(np.float32)[doc] * np.exp(log_w - top[:, None])).sum(axis=1) + 1e-30) + top
+            size = np.maximum(1, np.bincount(owner, minlength=n))
+            margin = np.bincount(doc, likely, n) / TEMPER / size + np.log(BUCKETS)
         top = best.argmax(axis=1)
-        known = known & bool(langs)
+        known = np.bincount(owner, minlength=n) > 0 if langs else np.zeros(n, bool)
         pred = np.where(known, names[top], "und") if langs else np.full(n, "und", object)
         score = np.where(known, np.clip(full[np.arange(n), top], 0, 1), 0.0)
         kept = [[(names[k], float(row[k])) for k in np.argsort(-row, kind="stable") if row[k] > 0] if ok else [] for row, ok in zip(best, known, strict=True)]
-        return [pa.array(pred, FOUND[0].type), pa.array(score), pa.array([[a for a, _ in x] for x in kept], FOUND[2].type), pa.array([[b for _, b in x] for x in kept], FOUND[3].type)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").fill_null("")
-            for lo, hi in slices(texts):
-                part = batch.slice(lo, hi - lo)
-                made = rated(texts.slice(lo, hi - lo), np.array(part.column("_known").to_pylist(), bool))
-                own = [f for f in part.schema if f.name != "_known"]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in own), *made], schema=pa.schema([*own, *FOUND]))
-
-    rows = docs.withColumn("_known", F.coalesce(F.regexp("text", F.lit(r"\p{L}")), F.lit(False)))
-    kinds = "lang_pred string, score double, langs array<string>, shares array<double>"
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(kinds).fields])
-    return rows.mapInArrow(run, schema)
+        columns = [pred, score, [[a for a, _ in x] for x in kept], [[b for _, b in x] for x in kept], np.where(known, margin, 0.0)]
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MIXTURE, strict=True)], fields=list(MIXTURE))
+
+    def mixture(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            texts = texts.fill_null("")
+            parts = [rated(texts.slice(lo, hi - lo)) for lo, hi in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], MIXTURE)
+
+    # a text without a letter goes as the empty one, so it has no trigram
+    lettered = F.when(F.regexp("text", F.lit(r"\p{L}")), F.col("text"))
+    # marked so, it isn't moved into filters and run again
+    found = docs.withColumn("_mixture", F.arrow_udf(mixture, KINDS).asNondeterministic()(lettered))
+    return found.withColumns({f.name: F.col("_mixture")[f.name] for f in MIXTURE}).drop("_mixture")
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near duplicates among embeddings with an inverted multi-index.
 
 Two codebooks, one for each half of the vectors, make a grid of cells. Each vector visits the cells in order of its
-distance to their centroids (multi-sequence traversal) until the share of neighbours that a sample calls for is reached;
+distance to their centroids (multi-sequence traversal) until the share of links is reached that a set of queries against all vectors calls for;
 what it finds there is verified by cosine in double precision. Equal vectors are one entry with a multiplicity.
 
 A cell's vectors are dealt to blocks of bounded size, and blocks that visit each other are compared as matrices, each
@@ -19,13 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drawn, remove, table
 from .components import components
 
-#: Vectors that codebooks and visits are fitted on, at most (chosen by hash), and how many of them ask for neighbours.
-SAMPLE_ROWS, ASKING = 20_000, 1_000
-#: Share of a sample's links that visits must find; vectors of a label in a cell aimed at; vectors in a block; centroids at most.
-TARGET_RECALL, PER_CELL, BLOCK, MOST_CENTROIDS = 0.999, 64, 128, 256
+#: Vectors that codebooks are fitted on, at most (chosen by hash), and how many of those with an id divisible by EVERY ask
+#: all vectors for their links, at most, to measure how many cells must be visited.
+SAMPLE_ROWS, ASKING, EVERY = 20_000, 1_000, 50
+#: Share of the asked vectors' links that visits must find; vectors of a label in a cell aimed at; vectors in a block.
+TARGET_RECALL, PER_CELL, BLOCK = 0.999, 64, 128
+#: A centroid needs so many vectors of the sample, so codebooks have up to SAMPLE_ROWS / LEAST_ROWS of them.
+LEAST_ROWS = 8
+#: Links that must be measured; with fewer, visits are learned from made neighbours at the least cosine.
+LEAST_LINKS, MADE_RECALL = 100, 0.95
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -33,14 +38,14 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     start = np.random.Generator(np.random.PCG64(7)).permutation(len(x))[:k]
     c = x[np.sort(start)].copy()
     for _ in range(rounds):
-        near = nearest(x, c).argmin(axis=1)
+        near = np.concatenate([nearest(x[i : i + 1000], c).argmin(axis=1) for i in range(0, len(x), 1000)])
         for j in np.unique(near):
             c[j] = x[near == j].mean(axis=0)
     return c
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances."""
+    """Squared distances of every row of x to every row of c."""
     return (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
 
 
@@ -62,6 +67,17 @@ class Index:
         a, b = self.distances(x)
         return a.argmin(axis=1) * b.shape[1] + b.argmin(axis=1)
 
+    def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """As the how manieth each row of x visits the cell that is named beside it."""
+        if x.shape[1] not in self.books:
+            return np.ones(len(x), np.int64)
+        out = np.empty(len(x), np.int64)
+        for i, (a, b) in enumerate(zip(*self.distances(x), strict=True)):
+            far = a[cells[i] // len(b)] + b[cells[i] % len(b)]
+            # for each cell row, how many of the sorted columns are nearer
+            out[i] = np.searchsorted(np.sort(b), far - a - 1e-9 * (1 + abs(far)), "left").sum() + 1
+        return out
+
     def traverse(self, x: np.ndarray) -> list[list[int]]:
         """The cells that each vector visits, nearest first."""
         if x.shape[1] not in self.books:
@@ -89,28 +105,76 @@ def unit(raw: list[bytes] | pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def fit(entries: DataFrame, least: float) -> Index:
-    """Codebooks, and the visits that find TARGET_RECALL of the links within the sample."""
-    largest = entries.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    rows = entries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("label", "dim", "raw").collect()
-    k = int(max(1, min(MOST_CENTROIDS, round((largest / PER_CELL) ** 0.5))))
-    index, ranks = Index({}, 1), [1]
+def codebooks(entries: DataFrame) -> Index:
+    """Two codebooks for each vector length, from a sample."""
+    sizes = entries.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n"))
+    sizes = {r.dim: r.n for r in sizes.orderBy(F.desc("n"), "dim").limit(1000).collect()}
+    rows = drawn(entries.filter(F.col("dim") > 1), SAMPLE_ROWS, "id").select("dim", "raw").collect()
+    index = Index({}, 1)
     for dim in {r.dim for r in rows}:
-        if dim < 2:
-            continue
-        of = [r for r in rows if r.dim == dim]
-        x, labels = unit([bytes(r.raw) for r in of], dim), np.array([r.label for r in of])
-        index.books[dim] = kmeans(x[:, : dim // 2], min(k, len(x))), kmeans(x[:, dim // 2 :], min(k, len(x)))
-        cells, a, b = index.cells(x), *index.distances(x)
-        for q in range(min(ASKING, len(x))):
-            found = np.flatnonzero((x @ x[q] >= least) & (labels == labels[q]))
-            grid = (a[q][:, None] + b[q]).ravel()
-            ranks += [int((grid < grid[c]).sum()) + 1 for c in cells[found[found != q]]]
-    # one more cell than the sample needs, and a few where the sample has no links to learn from
-    index.visits = int(np.quantile(ranks, TARGET_RECALL, method="higher")) + 1 if len(ranks) > 100 else 8
+        x = unit([bytes(r.raw) for r in rows if r.dim == dim], dim)
+        k = int(max(1, min(len(x) // LEAST_ROWS, round((sizes.get(dim, 1) / PER_CELL) ** 0.5))))
+        index.books[dim] = kmeans(x[:, : dim // 2], k), kmeans(x[:, dim // 2 :], k)
     return index
 
 
+def asked(entries: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of the asking vectors, by label and length."""
+    few = drawn(entries.filter((F.col("dim") > 1) & (F.pmod("id", F.lit(EVERY)) == 0)), ASKING, "id").select("id", "label", "dim", "raw").collect()
+    out = {}
+    for key in sorted({(r.label, r.dim) for r in few}):
+        of = [r for r in few if (r.label, r.dim) == key]
+        out[key] = np.array([r.id for r in of]), unit([bytes(r.raw) for r in of], key[1])
+    return out
+
+
+def ranks(placed: DataFrame, index: Index, asking: dict, least: float) -> DataFrame:
+    """rank, n: how many links of the asking vectors, among all vectors, lie in the cell that they visit as the rank-th.
+    Ranks are rounded up to powers of 1.1."""
+    shared = placed.sparkSession.sparkContext.broadcast((index, asking))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, asking = shared.value
+        for batch in batches:
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
+            for key in sorted(set(keys) & set(asking)):
+                of = np.array([i for i, k in enumerate(keys) if k == key])
+                x, ids, cells = unit(batch.column("raw").take(pa.array(of)), key[1]), *(np.array(batch.column(c).to_pylist())[of] for c in ("id", "cell"))
+                own, q = asking[key]
+                i, j = np.nonzero((q @ x.T >= least) & (own[:, None] != ids))
+                if len(i):
+                    rank = np.ceil(1.1 ** np.ceil(np.log(index.rank(q[i], cells[j])) / np.log(1.1))).astype(np.int64)
+                    found, n = np.unique(rank, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["rank", "n"])
+
+    return placed.select("id", "label", "dim", "raw", "cell").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+
+
+def made_ranks(index: Index, asking: dict, least: float) -> np.ndarray:
+    """The ranks of the cells of made neighbours: each asking vector turned to the least cosine in a random direction."""
+    out, rng = [1], np.random.Generator(np.random.PCG64(11))
+    for _, q in asking.values():
+        side = rng.normal(size=q.shape)
+        side -= (side * q).sum(axis=1, keepdims=True) * q
+        side /= np.sqrt((side * side).sum(axis=1, keepdims=True))
+        near = least * q + np.sqrt(1 - least**2) * side
+        out += index.rank(q, index.cells(near)).tolist()
+    return np.array(out)
+
+
+def measured_visits(placed: DataFrame, index: Index, least: float) -> tuple[int, float | None]:
+    """(cells to visit so that TARGET_RECALL of the asking vectors' links among all vectors are found from their side alone,
+    the share found), or from made neighbours where fewer than LEAST_LINKS links are there to measure (and None)."""
+    asking = asked(placed)
+    rows = sorted((r["rank"], r["n"]) for r in ranks(placed, index, asking, least).collect())
+    total = sum(n for _, n in rows)
+    if total >= LEAST_LINKS:
+        at, n = np.array([r for r, _ in rows]), np.cumsum([n for _, n in rows])
+        k = int(np.searchsorted(n, TARGET_RECALL * total))
+        return int(at[k]), float(n[k] / total)
+    return max(int(np.quantile(made_ranks(index, asking, least), MADE_RECALL, method="higher")), *(r for r, _ in rows), 1), None
+
+
 def entries_of(vectors: DataFrame) -> DataFrame:
     """Distinct usable vectors: id (the least vec_id of equal ones), label, dim, n (how many are equal), raw (doubles), and two hashes."""
     x = F.col("embedding").cast("array<double>")
@@ -203,8 +267,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     vec_id stays null and is kept. Other columns are dropped; an empty table gives an empty one.
     """
     entries = cut(packed(entries_of(vectors)), "neighbours-entries")
-    index = fit(entries, least)
+    index = codebooks(entries)
     placed = cut(with_cells(entries, index), "neighbours-cells")
+    index.visits, _ = measured_visits(placed, index, least)
     blocks = cut(blocks_of(placed, index).withColumn("bid", F.struct("label", "dim", "cell", "block")), "neighbours-blocks")
     asks = blocks.select("label", "dim", F.explode("visits").alias("cell"), F.col("bid").alias("b1"))
     met = asks.join(blocks.select("label", "dim", "cell", F.col("bid").alias("b2")), ["label", "dim", "cell"])
@@ -212,6 +277,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     side = lambda k: blocks.select(F.col("bid").alias(f"b{k}"), F.col("ids").alias(f"i{k}"), F.col("ns").alias(f"n{k}"), F.col("matrix").alias(f"m{k}"))
     full = pairs.join(side(1), "b1").join(side(2), "b2").select((F.col("b1") == F.col("b2")).alias("same"), F.col("b1.dim").alias("dim"), "i1", "n1", "m1", "i2", "n2", "m2")
     found = cut(compare(full, least), "neighbours-links")
+    remove(blocks, placed)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "component")
     known = entries.select("label", "h1", "h2", "id", "n").join(links, "id", "left").join(parts, "id", "left")

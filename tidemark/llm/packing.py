@@ -21,6 +21,8 @@ from .common import cut, parts_of
 from .splitting import lower_parts
 
 DIMS, BITS = 3, 16
+#: Ids in a row of the range sort, at most.
+STRETCH = 4096
 #: Outside these characters lower case and normal forms aren't plain; such texts go whole to the tokenizer.
 PLAIN = r"[^\x{0}-\x{12F}\x{131}-\x{17F}\x{2010}-\x{2027}\x{20AC}]"
 
@@ -97,18 +99,23 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, special: tuple[str, ...]) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 16-bit, the end id last), n_ids and the document's place on the curve."""
+    """doc_id, start, ids (little-endian unsigned 16-bit, the document's end id last), n_ids of the whole document and its
+    place on the curve. A document of more than STRETCH ids has a row for each stretch, so rows are alike in size and a range
+    sort deals out bytes, not documents."""
     path = tokenizer_path
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int32()), ("key", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int64()), ("key", pa.int64())])
 
     def place(total: np.ndarray, parts: np.ndarray) -> np.ndarray:
         spot = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(parts, 1))[:, None], -30, 30)))
         return hilbert_key(np.minimum((spot * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
     def made(keys: pa.Array, ids: np.ndarray, size: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        offsets = np.append(0, np.cumsum(size) * 2).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-        return pa.RecordBatch.from_arrays([keys, packed, pa.array(size.astype(np.int32)), pa.array(key)], schema=schema)
+        rows = -(-size // STRETCH)
+        doc = np.repeat(np.arange(len(size)), rows)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)) * STRETCH
+        offsets = np.append((np.repeat(np.cumsum(size) - size, rows) + start) * 2, 2 * len(ids)).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.array(start), packed, pa.array(size[doc]), pa.array(key[doc])], schema=schema)
 
     def by_table(table: PartTable, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         """Texts of plain characters: each distinct part is encoded once, ids come back by position."""
@@ -149,7 +156,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, special: tuple[s
             yield (by_library if whole else by_table)(table, part.column("doc_id"), part.column("text"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_ids int, key long")
+    return rows.mapInArrow(run, "doc_id long, start long, ids binary, n_ids long, key long")
 
 
 def powers(n: int) -> list[int]:
@@ -161,8 +168,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """Pieces of documents in sequences of at most ``capacity`` ids: doc_id, start, length, ids (16-bit), ids_crc32,
     doc_tokens, sequence_id, offset. ``capacity`` is a power of two, so full sequences and the tails need no padding.
 
-    A null or empty text is the end id alone. Ties on the curve go by doc_id; repeated rows are packed as often as they
-    occur; a null doc_id stays null; other columns are dropped; an empty table gives no piece.
+    A null or empty text is the end id alone. Ties on the curve go by doc_id and start; repeated rows are packed as often as
+    they occur; a null doc_id stays null; a very long text is sorted in stretches; other columns are dropped; an empty table
+    gives no piece.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -199,13 +207,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             return made
 
         for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids, start = np.frombuffer(raw.as_buffer(), "<u2"), 0
-                total = len(ids)
-                while start < total:
-                    take = min(capacity - fill, total - start)
-                    held.append((doc, start, ids[start : start + take], total))
-                    start, fill = start + take, fill + take
+            for doc, start, total, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "n_ids")), batch.column("ids"), strict=True):
+                ids, at = np.frombuffer(raw.as_buffer(), "<u2"), 0
+                while at < len(ids):
+                    take = min(capacity - fill, len(ids) - at)
+                    held.append((doc, start + at, ids[at : at + take], total))
+                    at, fill = at + take, fill + take
                     if fill == capacity:
                         close(held, [capacity])
                         held, fill = [], 0
@@ -216,8 +223,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             yield flush()
 
     placed = cut(tokenize(docs, tokenizer_path, end_id, special), "packing")
-    size = placed.agg(F.sum("n_ids")).first()[0] or 0
-    along = placed.repartitionByRange(parts_of(docs.sparkSession, 2 * size), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    size = placed.agg(F.sum(F.length("ids"))).first()[0] or 0
+    along = placed.repartitionByRange(parts_of(docs.sparkSession, size), "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start")
     return along.mapInArrow(run, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

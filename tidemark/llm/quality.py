@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from .common import cut, remove, table, words
 
 WINDOW = 8
-#: Thresholds tried for each statistic, rules, literals in a rule, and what a rule must reach on the documents that prune it.
-QUANTILES, MAX_RULES, MAX_LITERALS = 24, 8, 3
-LEAST_PRECISION, LEAST_COVERED = 0.8, 10
+#: Quantiles of all and of bad documents that are tried as thresholds of each statistic.
+QUANTILES = 24
+#: What a rule must reach on the documents that prune it: a precision (smoothed by Laplace's rule), and a share of bad
+#: documents that chance gives with no more than this probability.
+LEAST_PRECISION, CHANCE = 0.8, 0.01
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the text's statistics. Null text: no words. Repeated rows stay; other columns are dropped."""
+    """doc_id and the text's statistics. Null or empty text: no words. A null doc_id stays null; repeated rows stay; a very long
+    text is one text like any other; other columns are dropped; an empty table gives an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -114,13 +117,30 @@ def gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2((p + 1e-9) / (p + n + 1e-9)) - math.log2((p0 + 1e-9) / (p0 + n0 + 1e-9))) if p else 0.0
 
 
+def chance(bad: int, good: int, share: float) -> float:
+    """Probability that among so many documents at least ``bad`` are bad, where ``share`` of all are: the binomial tail."""
+    n, p = bad + good, min(max(share, 1e-12), 1 - 1e-12)
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
+    return min(1.0, sum(math.exp(log(k)) for k in range(bad, n + 1)) if n - bad < 10_000 else math.exp(log(bad)) * n)
+
+
+def holds(bad: int, good: int, share: float) -> bool:
+    """Whether a rule that covers so many is to be believed."""
+    return bad > 0 and (bad + 1) / (bad + good + 2) >= LEAST_PRECISION and chance(bad, good, share) <= CHANCE
+
+
 def learn(labelled: DataFrame) -> DecisionList:
-    """``labelled``: statistics with ``doc_id`` and ``quality`` 0 or 1. All its rows count; no label of quality 0, no rule."""
+    """``labelled``: statistics with ``doc_id`` and ``quality`` 0 or 1. All its rows count, null qualities aside; no label of
+    quality 0, no rule. Covering ends when the best rule left covers too few documents to differ from chance; a rule that
+    fails on the documents that prune it is left out, and covering goes on with those that it didn't cover."""
     names = list(ratios())
-    flat = cut(labelled.select(*[c.alias(k) for k, c in ratios().items()], (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow")).repartition(8), "quality")
+    rows = labelled.filter(F.col("quality").isNotNull())
+    flat = cut(rows.select(*[c.alias(k) for k, c in ratios().items()], (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("grow")), "quality")
     features = {k: F.col(k) for k in names}
-    cuts = flat.select(*[F.percentile_approx(k, [i / QUANTILES for i in range(1, QUANTILES)], 10_000).alias(k) for k in names]).first()
-    thresholds = {k: sorted(set(cuts[k] or [])) for k in names}
+    at = [i / QUANTILES for i in range(QUANTILES + 1)]
+    cuts = flat.select(*[F.percentile_approx(k, at[1:-1], 10_000).alias(k) for k in names]).first()
+    edges = flat.filter("bad").select(*[F.percentile_approx(k, at, 10_000).alias(k) for k in names]).first()
+    thresholds = {k: sorted({*(cuts[k] or []), *(edges[k] or [])}) for k in names}
     # bin b of a feature: above its first b thresholds, so bins up to b mean "<= threshold b"
 
     def bin_of(k: str) -> Column:
@@ -129,52 +149,55 @@ def learn(labelled: DataFrame) -> DecisionList:
 
     bins = F.array(*map(bin_of, names))
     binned = cut(flat.withColumn("bins", bins), "quality-bins")
+    overall = binned.groupBy("grow").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).collect()
+    share = {r.grow: r.bad / r.n for r in overall}
 
-    def counts(df: DataFrame) -> dict[tuple[str, int], list[float]]:
+    def counts(df: DataFrame) -> dict[tuple[str, int], list[int]]:
         """(bad, good) of each feature and bin."""
-        out: dict[tuple[str, int], list[float]] = {}
+        out: dict[tuple[str, int], list[int]] = {}
         for r in df.select("bad", F.posexplode("bins")).groupBy("pos", "col", "bad").count().collect():
             out.setdefault((names[r.pos], r["col"]), [0, 0])[0 if r.bad else 1] += r["count"]
         return out
 
-    rules: list[list[Literal]] = []
-    rest = binned
-    while len(rules) < MAX_RULES:
+    def grown(df: DataFrame) -> tuple[list[Literal], int, int]:
+        """A rule, and how many bad and good documents it covers."""
         rule: list[Literal] = []
-        while len(rule) < MAX_LITERALS:
-            by = counts(rest.filter(F.col("grow") & all_of(rule, features)))
+        while True:
+            by = counts(df.filter(all_of(rule, features)))
             p0, n0 = (sum(v[i] for (k, _), v in by.items() if k == names[0]) for i in (0, 1))
-            if not p0 or p0 / (p0 + n0) > 0.99:
-                break
             best, choice = 0.0, None
-            for k in names:
-                p = n = 0.0
+            for k in names if p0 and n0 else []:
+                p = n = 0
                 for b, t in enumerate(thresholds[k]):
                     p, n = p + by.get((k, b), [0, 0])[0], n + by.get((k, b), [0, 0])[1]
                     for above, (x, y) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
                         if (g := gain(x, y, p0, n0)) > best + 1e-9:
                             best, choice = g, Literal(k, above, float(t))
             if choice is None:
-                break
+                return rule, p0, n0
             rule.append(choice)
-        if not rule:
+
+    rules: list[list[Literal]] = []
+    open_rows, held = binned.filter("grow"), binned.filter("not grow")
+    while True:
+        rule, p, n = grown(open_rows)
+        if not rule or chance(p, n, share[True]) > CHANCE:
             break
-        held = rest.filter(~F.col("grow"))
         tried = held.agg(*[F.sum((all_of(rule[: i + 1], features) & (F.col("bad") == b)).cast("long")).alias(f"{'p' if b else 'n'}{i}") for i in range(len(rule)) for b in (True, False)]).first()
-        score = lambda i: ((tried[f"p{i}"] or 0) - (tried[f"n{i}"] or 0)) / max(1, (tried[f"p{i}"] or 0) + (tried[f"n{i}"] or 0))  # noqa: B023, E731
-        keep = max(range(len(rule)), key=lambda i: (round(score(i), 3), -i))
-        p, n = tried[f"p{keep}"] or 0, tried[f"n{keep}"] or 0
-        if p + n < LEAST_COVERED or p / (p + n) < LEAST_PRECISION:
-            break
-        rules.append(rule[: keep + 1])
-        rest = rest.filter(~all_of(rules[-1], features))
-    remove(flat)
-    remove(binned)
+        found = [(tried[f"p{i}"] or 0, tried[f"n{i}"] or 0) for i in range(len(rule))]
+        keep = max(range(len(rule)), key=lambda i: (round((found[i][0] - found[i][1]) / max(1, sum(found[i])), 3), -i))  # noqa: B023
+        pruned = rule[: keep + 1]
+        if holds(*found[keep], share.get(False, 0.0)):
+            rules.append(pruned)
+            held = held.filter(~all_of(pruned, features))
+        open_rows = open_rows.filter(~all_of(pruned, features))
+    remove(flat, binned)
     return DecisionList(rules)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = cut(statistics(table(spark, sf_dir, "documents")), "quality-stats")
     labels = table(spark, sf_dir, "labels").filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rules = learn(stats.join(labels, "doc_id"))
+    # rules are for what the base lets through
+    rules = learn(stats.filter(~base_failed()).join(labels, "doc_id"))
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & rules.keeps(ratios())).alias("kept"))

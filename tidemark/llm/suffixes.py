@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, partitions, remove, table
+from .common import cut, drawn, partitions, remove, table
 from .hashing import BLANK, BYTE, STEP, buffer, mix, slices, word_hashes
 
 #: A passage counts from so many bytes on.
@@ -40,8 +40,10 @@ WINDOW, KMER = 129, 16
 KEY = LENGTH - WINDOW + 1
 #: Classes that share KEY bytes and still meet in one task; suffixes of one run; stretch of a very long text handled at a time.
 CROWD, RUN, STRETCH = 256, 20_000, 1 << 20
-#: Splitters are drawn from so many classes, chosen by hash; parts for each shuffle partition.
-SAMPLE, PARTS = 4096, 4
+#: Classes drawn by hash for each splitter; parts for each shuffle partition, and suffixes in a part on average at most.
+SAMPLE, PARTS, PART_ROWS = 16, 4, 20_000
+#: Drawn classes (two numbers each) that every executor gets; more of them are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Bytes of a word's hash.
 SYMBOL = 8
 
@@ -377,8 +379,8 @@ def splitters_of(several: DataFrame, docs: DataFrame, parts: int, rule: Rule = B
                 raw = rule.read(batch.column("text").slice(k, 1))[0].as_buffer().to_pybytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[at : at + rule.key]], pa.binary())], names=["k"])
 
-    drawn = several.orderBy(F.xxhash64("mh", "sh"), "mh", "sh").limit(SAMPLE).select("key", "at")  # at most SAMPLE pairs of numbers
-    text = docs.select("key", "text").join(F.broadcast(drawn), "key")
+    some = drawn(several, SAMPLE * parts, "mh", "sh").select("key", "at")  # pairs of numbers
+    text = docs.select("key", "text").join(F.broadcast(some) if SAMPLE * parts <= MOST_BROADCAST else some, "key")
     if rule.step == 1:
         found = text.select(F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.lit(rule.key)))
     else:
@@ -393,7 +395,7 @@ def candidates(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     # stored, so that the join below stands right on two exchanges and Spark can split a passage that very many texts share
     twice = cut(rows.groupBy("mh").count().filter("count > 1").select("mh"), "suffix-twice")
     found = cut(rows.join(twice, "mh", "left_semi"), "suffix-candidates")
-    remove(rows)
+    remove(rows, twice)
     return found
 
 
@@ -407,7 +409,8 @@ def repeated_stretches(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     several = cut(classes.join(sizes, "mh").withColumn("crowded", F.col("k") > CROWD), "suffix-several")
     lists = several.groupBy("key").agg(F.collect_list(F.struct("n", "key", "at", "back", "width", "crowded")).alias("classes"))
     texts = docs.select("key", "text").join(lists, "key")
-    runs = cut(sorted_runs(texts, splitters_of(several, docs, PARTS * partitions(spark), rule), rule), "suffix-runs")
+    parts = max(PARTS * partitions(spark), several.count() // PART_ROWS)
+    runs = cut(sorted_runs(texts, splitters_of(several, docs, parts, rule), rule), "suffix-runs")
     once = merged(runs.filter("part >= 0"), rule)
     windows = runs.filter("part < 0").select(F.col("run").alias("window"), "n", "key", F.col("seq").alias("i"), "at")
     twice = windows.groupBy("window").agg(F.sum("n").alias("k")).filter("k > 1").select("window")
@@ -416,26 +419,27 @@ def repeated_stretches(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     first = F.col("at") - F.col("back")
     copies = cands.join(classes.filter("n > 1").select("mh", "sh"), ["mh", "sh"], "left_semi").select("key", first.alias("start"), (first + F.col("width") + rule.length).alias("end"))
     found = cut(copies.unionByName(once).unionByName(crowd), "suffix-stretches")
-    for done in (cands, classes, sizes, several, runs):
-        remove(done)
+    remove(cands, classes, sizes, several, runs)
     return found
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), length: int = LENGTH, words: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes) of every document, and the columns named in
-    ``carry`` led by "_": every byte goes that a string of ``length`` bytes covers which starts anywhere else too, in whatever
-    document; with ``words`` also what a run of so many words covers that stands anywhere else too, whatever blanks are
-    between them and however A to Z are written. All is judged on the input.
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), length: int = LENGTH, words: int | None = None, count_only: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_passages and ``kept`` (the remaining bytes) of every document, and the columns
+    named in ``carry`` led by "_": every byte goes that a string of ``length`` bytes covers which starts anywhere else too, in
+    whatever document; with ``words`` also what a run of so many words covers that stands anywhere else too, whatever blanks
+    are between them and however A to Z are written. n_passages counts the maximal stretches that such runs of words cover;
+    with ``count_only`` they are counted but stay. All is judged on the input.
 
     A null text is empty; a null doc_id stays null. Rows that repeat a document repeat each other, so texts of ``length`` bytes
-    or more vanish from both. Other columns are dropped; an empty table gives an empty one.
+    or more vanish from both. A very long text is read in stretches. Other columns are dropped; an empty table gives an empty one.
     """
     docs = keyed(docs, carry)
     spans = repeated_stretches(docs, Rule(length)).withColumn("worded", F.lit(False))
     if words is not None:
         spans = spans.unionByName(repeated_stretches(docs, word_rule(words)).withColumn("worded", F.lit(True)))
-    by = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end", "worded")).alias("spans"))
-    made = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept", pa.binary())]
+    # a set: rows that repeat a document find the same stretches
+    by = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end", "worded")).alias("spans"))
+    made = [pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("n_passages", pa.int64()), pa.field("kept", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,25 +447,33 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), length: int = L
             for text, *spans in zip(batch.column("text"), *(batch.column(c) for c in ("starts", "ends", "worded")), strict=True):
                 raw, at, kept = text.as_buffer().to_pybytes(), 0, []
                 found = list(zip(*(x.as_py() or [] for x in spans), strict=True))
+                worded = []
                 if any(w for _, _, w in found):
                     first, last = word_places(raw)
-                    found = [(int(first[a // SYMBOL]), int(last[b // SYMBOL - 1]), w) if w else (a, b, w) for a, b, w in found]
-                cuts = stretches([(a, b) for a, b, _ in found])
+                    worded = stretches([(int(first[a // SYMBOL]), int(last[b // SYMBOL - 1])) for a, b, w in found if w])
+                cuts = stretches([(a, b) for a, b, w in found if not w] + (worded if not count_only else []))
                 for a, b in cuts:
                     kept.append(raw[at:a])
                     at = b
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                rows.append((len(raw), len(raw) - len(rest), len(cuts), rest))
+                rows.append((len(raw), len(raw) - len(rest), len(cuts), len(worded), rest))
             own = [f for f in batch.schema if f.name not in ("text", "starts", "ends", "worded")]
             new = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(made)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), *new], schema=pa.schema([*own, *made]))
 
     joined = docs.join(by, "key", "left").select("doc_id", *[f"_{c}" for c in carry], "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), F.col("spans.worded").alias("worded"))
-    kinds = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary")
+    kinds = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, n_passages long, kept binary")
     schema = StructType([*joined.drop("text", "starts", "ends", "worded").schema.fields, *kinds.fields])
     return joined.mapInArrow(run, schema)
 
 
+#: A passage of over 50 words.
+PASSAGE_WORDS = 51
+
+
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, and n_passages: stretches covered by runs of over 50 words that stand elsewhere too, of which
+    those under 400 bytes stay in the text."""
+    found = remove_repeats(table(spark, sf_dir, "documents"), words=PASSAGE_WORDS, count_only=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: one for each lexicon word and one for each writing pattern. A generative label model
-estimates, from how they agree, each voter's rates under either class and which voters echo each other; it turns the
-votes of a bounded sample into posterior labels. A linear classifier learns from those posteriors and scores every
-text as one Spark expression.
+estimates, from how they agree on labelled and unlabelled texts alike, each voter's rates under either class, the rates
+of the given labels, and the voters' correlations within a class; it turns the votes of a bounded sample into posterior
+labels. Given labels are one more voter, silent on unlabelled texts, and anchor which class is which. A linear classifier
+learns from those posteriors and scores every text as one Spark expression.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import cut, drawn, fold, remove, table
 
-#: Labelled rows that lexicon and models are fitted on, at most; chosen by a hash of doc_id.
+#: Labelled rows that lexicon and models are fitted on, at most, and as many unlabelled ones; chosen by a hash of doc_id.
 SAMPLE_ROWS = 20_000
 #: Words learned for the lexicon, at most; each is in so many of the sample's toxic documents, and in such a share of them.
 LEARNED_WORDS, LEAST_DOCS, LEAST_SHARE = 400, 8, 0.01
 
-#: How a given label votes: P(toxic, not toxic given | toxic) and the same for texts that aren't.
-GIVEN_ON, GIVEN_OFF = (0.85, 0.15), (0.01, 0.99)
+#: How often a given label is 1 under either class, to begin with, and how many documents this counts for.
+GIVEN, GIVEN_ROWS = (0.8, 0.01), 50
+#: Correlations below this many standard errors count as none; what is added to the diagonal before they are inverted.
+NOISE, RIDGE = 4.0, 0.02
 
 # A general lexicon of insults, by language.
 LEXICON = {
@@ -58,15 +61,21 @@ def votes(text: Column, words: list[str]) -> list[Column]:
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most SAMPLE_ROWS labelled documents with doc_id, text, toxic. Where a document has several labels the highest counts."""
-    ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    # SAMPLE_ROWS pairs of numbers: under half a megabyte
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """At most SAMPLE_ROWS labelled rows and SAMPLE_ROWS others, with doc_id, text and toxic (null: no label). Where a
+    document has several labels the highest counts."""
+    ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    labelled = drawn(ids, SAMPLE_ROWS, "doc_id")  # pairs of numbers: under half a megabyte
+    labelled = texts.join(F.broadcast(labelled), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    # of the rest, each document that has no label at all
+    others = drawn(texts.join(ids, "doc_id", "left_anti").select("doc_id").distinct(), SAMPLE_ROWS, "doc_id")
+    others = texts.join(F.broadcast(others), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    return cut(labelled.select("doc_id", "text", "toxic").unionByName(others.select("doc_id", "text", F.lit(None).cast("int").alias("toxic"))), "toxicity-sample")
 
 
 def learned_words(sample: DataFrame) -> list[str]:
     """Words that mark toxic sample documents: by how surely, over how many."""
+    sample = sample.filter(F.col("toxic").isNotNull())
     total = sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()
     n = {r.toxic: r.n for r in total}
     if not n.get(1) or not n.get(0):
@@ -81,41 +90,63 @@ def learned_words(sample: DataFrame) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """A voter that doesn't vote abstains, which is no evidence; the last voter speaks where the text's voters all abstain."""
+    """A voter that doesn't vote abstains, which is no evidence; the last voter speaks where all others abstain."""
 
     prior: float
     on: np.ndarray  # P(voter votes | toxic)
     off: np.ndarray  # P(voter votes | not toxic)
-    share: np.ndarray  # weight of each voter: 1 over the voters that echo it, itself included
-
-    def posterior(self, x: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + x @ (self.share * np.log(self.on / self.off))
+    share: np.ndarray  # weight of each voter beside those that it is correlated with
+    given: tuple[float, float]  # P(given label is 1 | toxic), P(given label is 1 | not toxic)
+
+    def posterior(self, x: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Of votes (rows x voters) and given labels (1, 0, or nan where none is given)."""
+        on, off = self.given
+        label = np.where(np.isnan(given), 0.0, np.where(given == 1, np.log(on / off), np.log((1 - on) / (1 - off))))
+        z = np.log(self.prior / (1 - self.prior)) + x @ (self.share * np.log(self.on / self.off)) + label
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def label_model(x: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
-    """Accuracies by expectation-maximisation from votes (rows x voters; of the last three, two are the given label, toxic or
-    not, with accuracies that are known, and one speaks where the text's voters are silent), starting from the given
-    labels; then correlations: voters whose votes co-vary within a class share one weight, and accuracies are estimated
-    again."""
+def shares(rest: np.ndarray) -> np.ndarray:
+    """Each voter's weight from the correlations R of what is left of votes within the classes: R^-1 1, between 0 and 1. A
+    voter without a correlation weighs 1, each of k that always agree 1 / k."""
+    scale = np.sqrt((rest**2).mean(axis=0))
+    alive = scale > 1e-3  # a voter that is always or never right has no rest to compare
+    r = (rest.T @ rest) / len(rest) / np.outer(np.maximum(scale, 1e-9), np.maximum(scale, 1e-9))
+    r[r < NOISE / np.sqrt(len(rest))] = 0  # voters that exclude each other add no weight
+    r[~alive, :], r[:, ~alive] = 0, 0
+    np.fill_diagonal(r, 1)
+    n = r.shape[0]
+    return np.clip(np.linalg.solve(r + RIDGE * np.eye(n), np.full(n, 1 + RIDGE)), 0, 1)
+
+
+def label_model(x: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelModel:
+    """Expectation-maximisation over votes (rows x voters, the last of which speaks where the text's voters are silent) and
+    given labels. It starts where voters' rates are those among given labels; prior, rates, the labels' own rates and the
+    correlations are all estimated again in each round."""
+    labelled = ~np.isnan(given)
+    known = given[labelled]
     share = np.ones(x.shape[1])
-    q = np.where(x[:, -3] > 0, 0.9, 0.05)
-    on = off = share
-    for echo in (False, True):
-        for _ in range(3 if echo else rounds):  # few voters of one echo can't tell the classes apart for long
-            on = np.clip((q @ x + 0.5) / (q.sum() + 1), 1e-5, 1 - 1e-5)
-            off = np.clip(((1 - q) @ x + 0.1) / ((1 - q).sum() + 1), 1e-5, 1 - 1e-5)
-            on[-3:-1], off[-3:-1] = GIVEN_ON, GIVEN_OFF
-            q = LabelModel(prior, on, off, share).posterior(x)
-        if not echo:
-            means = np.stack([((1 - q) @ x) / max((1 - q).sum(), 1e-9), (q @ x) / max(q.sum(), 1e-9)])
-            rest = x - np.outer(q, means[1]) - np.outer(1 - q, means[0])
-            scale = np.sqrt((rest**2).mean(axis=0))
-            alive = scale > 1e-3  # a voter that is always or never right has no rest to compare
-            alive[-3:] = False  # these are no echo of words
-            alike = np.abs(rest.T @ rest) / len(x) > 0.5 * np.outer(scale, scale)
-            share = 1 / np.maximum(1, (alike & alive & alive[:, None]).sum(axis=0))
-    return LabelModel(prior, on, off, share)
+    prior = float(np.clip(known.mean() if len(known) else 0.01, 1e-3, 0.5))
+    q = np.where(labelled, np.where(given == 1, 0.95, 0.02), prior)
+    weight = labelled.astype(float)  # the first estimates are from labelled rows alone
+    model = None
+    for k in range(rounds):
+        hot, cold = q * weight, (1 - q) * weight
+        on = np.clip((hot @ x + 0.5) / (hot.sum() + 1), 1e-5, 1 - 1e-5)
+        off = np.clip((cold @ x + 0.1) / (cold.sum() + 1), 1e-5, 1 - 1e-5)
+        rate = [float((w[labelled] @ known + GIVEN_ROWS * g) / (w[labelled].sum() + GIVEN_ROWS)) for w, g in ((q, GIVEN[0]), (1 - q, GIVEN[1]))]
+        prior = float(np.clip(hot.sum() / max(weight.sum(), 1e-9), 1e-3, 0.999))
+        if k:
+            rest = x - np.outer(q, on) - np.outer(1 - q, off)
+            share = shares(rest[:, :-1])
+            share = np.append(share, 1.0)
+        model = LabelModel(prior, on, off, share, tuple(np.clip(rate, 1e-4, 1 - 1e-4)))
+        new = model.posterior(x, given)
+        weight = np.ones(len(x))
+        if k and np.abs(new - q).max() < 1e-3:
+            break
+        q = new
+    return model
 
 
 def logistic(x: np.ndarray, q: np.ndarray, decay: float = 1e-5, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -151,28 +182,30 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """From labelled documents only; without any toxic label every score is near 0."""
+    """From a bounded sample of labelled and unlabelled documents; without any toxic label every score is near 0. ``labels`` has
+    the labels to learn from; documents that have none of them are unlabelled here."""
     sample = sampled(docs, labels)
     words = sorted({*lexicon(), *learned_words(sample)})
     rows = sample.select("doc_id", "toxic", *votes(F.col("text"), words)).orderBy("doc_id").collect()
+    remove(sample)
     at = {w: i for i, w in enumerate(words)}
     x = np.zeros((len(rows), len(words) + len(PATTERNS)))
     for i, r in enumerate(rows):
         for w in r.hits:
             x[i, at[w]] = 1
         x[i, len(words) :] = [float(r[name]) for name in PATTERNS]
-    prior = float(np.clip(np.mean([r.toxic for r in rows]) if rows else 0, 0.001, 0.999))
-    if not rows or not any(r.toxic for r in rows):
+    if not any(r.toxic for r in rows):
         return Classifier(words, np.zeros(x.shape[1]), -5.0)
-    given = np.array([[float(r.toxic == 1), float(r.toxic != 1)] for r in rows])
-    voters = np.hstack([x, given, x.sum(axis=1, keepdims=True) == 0])
-    weights, bias = logistic(x, label_model(voters, prior).posterior(voters))
+    given = np.array([np.nan if r.toxic is None else float(r.toxic == 1) for r in rows])
+    voters = np.hstack([x, x.sum(axis=1, keepdims=True) == 0])
+    weights, bias = logistic(x, label_model(voters, given).posterior(voters, given))
     return Classifier(words, weights, bias)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score and hits of every document. A null or empty text scores what a text without any vote scores; a null
-    doc_id stays null; repeated rows stay; other columns are dropped; an empty table gives an empty one."""
+    doc_id stays null; repeated rows stay; a very long text is one text like any other; other columns are dropped; an empty
+    table gives an empty one."""
     seen = docs.select("doc_id", *votes(F.col("text"), model.words))
     return seen.select("doc_id", model.score().alias("score"), "hits")
 
