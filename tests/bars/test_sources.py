@@ -43,8 +43,18 @@ def test_asset_survives_a_bad_file(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         jobs.ingest_csv(spark, bad, "ABC", assets, market)
     assert [r.symbol for r in spark.read.parquet(assets).collect()] == ["ABC"]
-    jobs.ingest_csv(spark, write(tmp_path, HEAD + GOOD, "g.csv"), "ABC", assets, market)
-    assert spark.read.parquet(assets).count() == 1
+    jobs.ingest_csv(spark, write(tmp_path, HEAD + GOOD, "g.csv"), "ABC", assets, market, name="ignored, as the asset is there")
+    jobs.ingest_csv(spark, write(tmp_path, HEAD, "h.csv"), "NEW", assets, market, name="New", asset_class="index", currency="USD", exchange="X", timezone="UTC")
+    new = spark.read.parquet(assets).filter("symbol = 'NEW'").first()
+    assert (new.name, new.asset_class, new.currency, new.exchange, new.timezone, new.tick_size) == ("New", "index", "USD", "X", "UTC", 0.1)
+    assert spark.read.parquet(assets).columns == [c for c, _, _ in schemas.columns("assets")]
+    with pytest.raises(ValueError, match="not an attribute"):
+        jobs.ingest_csv(spark, bad, "ABC", assets, market, colour="red")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        jobs.ingest_csv(spark, bad, "ABC", str(tmp_path / "broken"), market)
+    assert spark.read.parquet(assets).filter("symbol = 'ABC'").count() == 1
     assert spark.read.parquet(market).select("asset_id").first()[0] == "asset:ABC"
 
 

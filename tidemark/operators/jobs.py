@@ -85,7 +85,7 @@ def refresh(md: DataFrame, out: str, dates: list[dt.date] | None = None) -> None
 
     def store(name: str, view: DataFrame) -> DataFrame:
         path = f"{out}/{name}"
-        views.with_labels(view).write.options(**mode).mode("overwrite").partitionBy(STORED[name]).parquet(path)
+        views.with_labels(view).hint("rebalance", STORED[name]).write.options(**mode).mode("overwrite").partitionBy(STORED[name]).parquet(path)
         return spark.read.parquet(path)
 
     sessions = store("session_agg", views.session_agg(md if dates is None else of_days(md, dates)))

@@ -243,14 +243,14 @@ def q_conform(table: str):
 
 def q_refresh(spark: SparkSession, d: str) -> DataFrame:
     """The stored views after a load of all days and a reload of three days whose volumes have doubled since."""
-    out, md = _folder(spark, "refresh"), md_orders(spark, d)
+    out, md = _folder(spark, "refresh"), md_events(spark, d)
     jobs.refresh(md, out)
     again = md.withColumn("volume", F.when(times.day(F.col("ts")).isin(RELOADED), F.col("volume") * 2).otherwise(F.col("volume")))
     jobs.refresh(again, out, RELOADED)
     return views.all_rows({name: spark.read.parquet(f"{out}/{name}") for name in jobs.STORED})
 
 
-RELOADED = [dt.date(1995, 1, 2), dt.date(1997, 12, 31), dt.date(1998, 1, 1)]
+RELOADED = [dt.date(2024, 1, 2), dt.date(2024, 1, 7), dt.date(2024, 1, 29)]
 RELOADED_SQL = f"""SELECT * REPLACE (CASE WHEN CAST(ts AS DATE) IN ({", ".join(f"DATE '{d}'" for d in RELOADED)}) THEN 2 * volume ELSE volume END AS volume) FROM ({{}}) AS md"""
 
 
@@ -314,7 +314,7 @@ TABLE = {
     ),
     "conform_predictions": (q_conform("predictions"), "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS asset_id, ts, 60000::BIGINT AS horizon_ms, value AS predicted_price, NULL::FLOAT AS confidence, NULL::VARCHAR AS model_id, NULL::VARCHAR AS input_market_data_id, NULL::VARCHAR AS notes FROM events"),
     "conform_strategies": (q_conform("strategies"), "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS name, NULL::VARCHAR AS description, NULL::VARCHAR[] AS applicable_assets, TRUE AS active, NULL::TIMESTAMP AS created_ts FROM region"),
-    "refresh": (q_refresh, all_rows_sql(RELOADED_SQL.format(ORDERS), "daily")),
+    "refresh": (q_refresh, all_rows_sql(RELOADED_SQL.format(EVENTS), "daily")),
 }
 QUERIES = {name: query for name, (query, _) in TABLE.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in TABLE.items()}

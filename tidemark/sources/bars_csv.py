@@ -44,12 +44,8 @@ def read_bars_csv(spark: SparkSession, path: str, asset_id: str, source: str = "
     return raw.select(F.lit(asset_id).alias("asset_id"), ts.alias("ts"), *[v.alias(p.lower()) for p, v in zip(PRICES, values, strict=True)], F.lit(0).cast("long").alias("seq"), F.lit(source).alias("source"), bad.alias("bad"))
 
 
-#: Tasks that share the writing of one day; assets are dealt out to them.
-TASKS_A_DAY = 16
-
-
 def append_market_data(bars: DataFrame, path: str) -> None:
-    """Append to the stored table, partitioned by day and clustered by asset; loading a file twice doubles its rows. Each day
-    is written by at most TASKS_A_DAY tasks, so as many files, and no one task gets a whole load of one day."""
-    dealt = bars.withColumn("trade_date", times.day(F.col("ts"))).repartition("trade_date", F.pmod(F.xxhash64("asset_id", F.date_trunc("hour", "ts")), F.lit(TASKS_A_DAY)))
+    """Append to the stored table, partitioned by day and clustered by asset; loading a file twice doubles its rows. Rows are
+    rebalanced by day first: small days share a task, a large one is split among several, and no day has a file of each task."""
+    dealt = bars.withColumn("trade_date", times.day(F.col("ts"))).hint("rebalance", "trade_date")
     dealt.sortWithinPartitions("trade_date", "asset_id", "ts").write.mode("append").partitionBy("trade_date").parquet(path)
