@@ -293,9 +293,10 @@ def test_pipeline(spark, make):
             groups = plain_groups(seen.items(), 5, 80)
             assert set(now) == {i for i in seen if groups[i][1] == i}
         if name == "repeated_passages":
-            removed = {r[0]: r for r in plain_repeats([(i, t.encode()) for i, t in seen.items()])}
-            assert all(now[i] == t for i, t in seen.items() if removed[i][2] == 0)
-            assert all(len(now[i].encode()) <= removed[i][1] - removed[i][2] for i in now)
+            kept = dict(plain_word_repeats(list(seen.items()), corpus_pipeline.PASSAGE_WORDS).keys())
+            assert set(now) == {i for i, b in kept.items() if b == seen[i].encode() or b.strip(b" \t\n\x0b\x0c\r")}
+            assert all(now[i] == t for i, t in seen.items() if kept[i] == t.encode())
+            assert all(len(now[i].encode()) <= len(kept[i]) for i in now)
         if name == "personal_data":
             assert "[email]" in now[10**6 + 2] and not any(re.search(r"\w@\w+\.\w", t) for t in now.values())
         docs, seen = spark.createDataFrame(out.collect(), out.schema), now
@@ -310,3 +311,39 @@ def test_jaccard_of_one_id_with_several_texts(make):
     for order in (rows, rows[::-1]):
         got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(make(order), 3, 90).collect())
         assert got == {(1, 1): 3, (2, 1): 1, (3, 1): 1, (4, 4): 1}
+
+
+def test_pipeline_stages_take_odd_tables(spark, make):
+    """Empty tables, repeated rows, nulls, very long texts and columns whose names the operators use inside."""
+    import corpus_pipeline
+
+    names = ["email", "spans", "base", "score", "margin", "component_id", "_h", "n_removed", "kept", "key", "node", "token"]
+    long = " ".join(f"w{i}x" for i in range(60_000))
+    rows = ODD + [(70, long), (70, long), (71, "some words of a text that stands alone in here")]
+    docs = make(rows).withColumns({c: F.lit(1) for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, docs, SF)
+        got = collections.Counter(r[0] for r in out.select("doc_id").collect())
+        if name != "packing":
+            assert out.columns == corpus_pipeline.COLUMNS
+        if name == "language":
+            assert got[9] == 2 and got[70] == 2 and not got[1] and not got[2] and not got[3]
+        if name == "near_duplicates":
+            assert got[9] == 1 and got[70] == 1 and got[None] == 1 and got[1] == got[2] == got[3] == 1
+        if name == "repeated_passages":
+            assert got[9] == 2 and got[70] == 0 and got[1] == got[2] == 1 and got[71] == 1
+        if name == "personal_data":
+            assert got == collections.Counter(i for i, _ in rows)
+
+
+def test_language_stage_rejects_what_no_language_explains(spark, make):
+    """A text of another alphabet than any that was learned goes; lang becomes the language found."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = "\u0442\u0435\u043a\u0441\u0442 \u043d\u0430 \u0434\u0440\u0443\u0433\u043e\u043c \u044f\u0437\u044b\u043a\u0435 " * 20
+    german = docs.filter("lang = 'de'").orderBy(F.desc("n_chars")).first().text
+    more = make([(10**6, foreign), (10**6 + 1, german)]).select(docs.columns).withColumn("lang", F.lit("en"))
+    out = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs.union(more), SF).collect()}
+    assert 10**6 not in out and out[10**6 + 1] == "de" and len(out) == docs.count() + 1

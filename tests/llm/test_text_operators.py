@@ -40,6 +40,21 @@ def test_bpe_matches_the_library(make, sf_docs):
     assert bpe.encode_decode(make(ODD).limit(0), BYTE_BPE).count() == 0
 
 
+def test_frequent_words_are_encoded_once_in_spark(make, sf_docs, monkeypatch):
+    """The distinct-word table holds the most frequent words with the library's ids, and texts decode by it and beyond it."""
+    monkeypatch.setattr(bpe, "FREQUENT", 50)
+    table = bpe.distinct_words(sf_docs, BYTE_BPE, ("<|endoftext|>",)).collect()
+    tokenizer, count = Tokenizer.from_file(BYTE_BPE), collections.Counter()
+    for r in sf_docs.collect():
+        count.update(re.findall(r" [^\W\d_]+", r.text))
+    assert len(table) == 50 and all(r.ids == tokenizer.encode(r.word, add_special_tokens=False).ids for r in table)
+    likely = {w for w, _ in count.most_common(20)}
+    assert likely <= {r.word for r in table}
+    got = rows(bpe.encode_decode(make(ODD + HARD), BYTE_BPE))
+    for i, t in ODD + HARD:
+        assert got[i][0].ids == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 def test_word_table_starts_afresh(make, monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_WORDS", 1)
     table = bpe.WordTable(BYTE_BPE)
@@ -142,12 +157,14 @@ def test_mixture_bound_leaves_out_no_better_set():
 
 
 def test_toxicity_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("held_out", "score", "toxic").collect()
     assert all(0 <= r.score <= 1 for r in got)
     hot, cold = [r.score for r in got if r.toxic], [r.score for r in got if r.toxic == 0]
-    assert np.mean([(a > b) + (a == b) / 2 for a in hot for b in cold]) > 0.75
+    assert np.mean(np.array(hot)[:, None] > np.array(cold)) > 0.75
     assert np.mean([s >= 0.5 for s in cold]) < 0.05
+    held = [(r.score >= 0.5, r.toxic) for r in got if r.held_out]
+    assert np.mean([p for p, t in held if t]) > 0.8 and np.mean([p for p, t in held if not t]) < 0.01
 
 
 def test_toxicity_of_odd_texts(make, spark):
@@ -172,7 +189,7 @@ def test_label_model_weighs_echoes_once():
     model = toxicity.label_model(np.hstack([x, x.sum(axis=1, keepdims=True) == 0]), given)
     assert abs(model.share[0] - 0.5) < 0.02 and abs(model.share[1] - 0.5) < 0.02 and model.share[2] > 0.9
     assert abs(model.on[0] - 0.6) < 0.1 and model.off[0] < 0.05 and abs(model.prior - 0.2) < 0.05
-    assert model.given[0] > 0.85 and model.given[1] < 0.06
+    assert model.given[0] > 0.8 and model.given[1] < 0.06
 
 
 def test_posteriors_are_those_of_the_plain_sum():
@@ -206,6 +223,72 @@ def test_quality_statistics(make, sf_docs):
             assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == plain_statistics(r.text or "")
 
 
+def test_quality_rules_from_few_labels(spark):
+    """The base lets 28 bad documents of the sample through; the rules find most of them, and no good one."""
+    from tidemark.llm.common import table
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    got = quality.op9_quality_rules(spark, sf).join(labels, "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
+    by = {(r.quality, r.kept): r["count"] for r in got}
+    assert by[0, False] >= 20 and by.get((1, False), 0) == 0
+
+
+def plain_list(rows, names, alpha):
+    """Sequential covering row by row: the same thresholds, growth by the same gain, pruning and tests."""
+    cuts = {}
+    for j, k in enumerate(names):
+        values, bad = sorted(r[0][j] for r in rows), sorted(r[0][j] for r in rows if r[1])
+        cuts[k] = sorted({*values, *bad})
+    grow, held = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+    share = {True: np.mean([r[1] for r in grow]), False: np.mean([r[1] for r in held])}
+    test = lambda lit, r: (r[0][names.index(lit[0])] > lit[2]) == lit[1]
+    rules = []
+    while True:
+        rule, inside = [], grow
+        while True:
+            p0, n0 = sum(r[1] for r in inside), sum(not r[1] for r in inside)
+            best, choice = 0.0, None
+            for k in names if p0 and n0 else []:
+                for t in cuts[k]:
+                    for above in (False, True):
+                        sub = [r for r in inside if test((k, above, t), r)]
+                        p = sum(r[1] for r in sub)
+                        if (g := quality.gain(p, len(sub) - p, p0, n0)) > best + 1e-9:
+                            best, choice = g, (k, above, t)
+            if choice is None:
+                break
+            rule.append(choice)
+            inside = [r for r in inside if test(choice, r)]
+        if not rule or quality.chance(p0, n0, share[True]) > alpha:
+            return rules
+        found = []
+        for i in range(len(rule)):
+            sub = [r for r in held if all(test(x, r) for x in rule[: i + 1])]
+            found.append((sum(r[1] for r in sub), sum(not r[1] for r in sub)))
+        keep = max(range(len(rule)), key=lambda i: (round((found[i][0] - found[i][1]) / max(1, sum(found[i])), 3), -i))
+        pruned = rule[: keep + 1]
+        if quality.holds(*found[keep], share[False]):
+            rules.append(pruned)
+            held = [r for r in held if not all(test(x, r) for x in pruned)]
+        grow = [r for r in grow if not all(test(x, r) for x in pruned)]
+
+
+def test_covering_is_that_of_the_plain_version(spark, monkeypatch):
+    """Few distinct values, so quantiles hit every value and both versions try the same thresholds."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(quality, "QUANTILES", 400)
+    names = ["a", "b", "c"]
+    monkeypatch.setattr(quality, "ratios", lambda: {k: F.col(k).cast("double") for k in names})
+    x = rng.integers(0, 4, (600, 3)).astype(float)
+    bad = ((x[:, 0] > 2) & (x[:, 1] <= 1)) | ((x[:, 2] > 2) & (x[:, 0] <= 0)) | (rng.random(600) < 0.01)
+    df = spark.createDataFrame([(i, *map(float, r), int(not b)) for i, (r, b) in enumerate(zip(x, bad, strict=True))], "doc_id long, a double, b double, c double, quality int")
+    grow = [r[0] for r in df.orderBy("doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).collect()]
+    expected = plain_list([(r.tolist(), bool(b), g) for r, b, g in zip(x, bad, grow, strict=True)], names, quality.CHANCE)
+    got = [[(lit.feature, lit.above, lit.threshold) for lit in r] for r in quality.learn(df).rules]
+    assert len(got) >= 2 and got == expected
+
+
 def test_decision_list_finds_a_conjunction(spark, make):
     word = lambda i, j: f"word{i * 7 + j}" + ("##" if i % 4 == 0 else "ab")
     data = [(i, " ".join(word(i, j) for j in range(40))) for i in range(400)]
@@ -240,7 +323,7 @@ def test_base_spans(make, sf_docs):
     more = [
         (30, "a@b.c_x@y.z.. 1.2.3.4.5.6.7.8 300.1.1.1 +1 (743) 555-3824 4111 1111 1111 1111  4111-1111-1111-1111"), (31, "é😀 x@y.de, 😀 1.2.3.4"),
         (32, "1" * 20_000 + " " + "a" * 20_000 + "@b.c " + "1 2 3 4 5 6 7 8 9 0 " * 500), (33, "a@" + "b." * 900 + "c ..d@e.f a@b.c..d@e.f +1234567890123456 +1 2 (3)-4.567890 45"),
-        (34, "10.0.0.1 " * 1500), (35, "0004111111111111111100 4111111111111111 +4111111111111111"),
+        (36, "x@" + "ab." * 1500 + "c y@" + "z." * 100_000 + "d"), (34, "10.0.0.1 " * 1500), (35, "0004111111111111111100 4111111111111111 +4111111111111111"),
     ]
     docs = make(ODD + more).select("doc_id", "text").union(sf_docs.select("doc_id", "text").filter("doc_id > 100"))
     got = rows(pii.with_base(docs))
@@ -263,6 +346,50 @@ def test_candidates_add_spans_and_redaction_replaces_them(make):
     assert empty.count() == 0 and none.thresholds == {}
 
 
+def test_secrets_in_a_thousand_documents(spark):
+    found, model = pii.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert "secret" in model.thresholds
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.with_spans(found, model).collect()}
+    planted = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.regexp("text", F.lit('token = "[0-9a-f]{40}"'))).collect()}
+    assert len(planted) > 5 and all("secret" in got[i] for i in planted)
+
+
+def test_trees_are_those_of_a_plain_search():
+    """The split that histograms find is the best of all cuts, tried one by one."""
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        x, g, h = rng.integers(0, 6, (80, 4)).astype(float), rng.normal(size=80), rng.random(80) + 0.1
+        cuts = pii.cuts_of(x)
+        bins = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
+        part = lambda left: g[left].sum() ** 2 / (h[left].sum() + 1)  # noqa: B023, E731
+        value = lambda j, t: part(x[:, j] <= t) + part(x[:, j] > t)  # noqa: B023, E731
+        best = max((value(j, t), j, t) for j in range(4) for t in np.unique(x[:, j])[:-1])
+        j, t = pii._split(bins, cuts, g, h)
+        assert abs(value(j, t) - best[0]) < 1e-9
+    y = (x[:, 0] > 2).astype(float)
+    model = pii.calibrated(x, y, np.arange(80) % 3, list("abcd"))
+    assert ((model.predict(x, list("abcd")) >= model.threshold) == (y == 1)).all()
+    assert pii.calibrated(x, rng.integers(0, 2, 80).astype(float), np.arange(80) % 3, list("abcd")).threshold == np.inf
+
+
+def test_clashing_columns(make, spark):
+    """Names that operators use inside or give to what they find."""
+    names = ["email", "ip", "card", "phone", "secret", "number", "handle", "base", "candidates", "spans", "_own", "_t", "score", "langs", "margin", "lang_pred", "shares"]
+    docs = make([(i, f'mail a{i}@b.com and token = "{hashlib.sha1(str(i).encode()).hexdigest()}" here') for i in range(40)]).withColumns({c: F.lit(7) for c in names})
+    _, model = pii.find(docs)
+    out = pii.redact(docs, model)
+    assert out.columns == docs.columns
+    row = out.filter("doc_id = 3").first()
+    assert row.text.startswith("mail [email] and") and all(row[c] == 7 for c in names)
+    found = langid.with_language(docs, langid.fit(docs))
+    assert sorted(found.columns) == sorted(docs.columns)
+    row = found.filter("doc_id = 3").first()
+    assert row.lang_pred == "en" and row.score == 1.0 and row.email == 7
+    assert quality.statistics(docs.withColumn("words", F.lit(1)).withColumn("lines", F.lit(1))).count() == 40
+    assert packing.pack(docs.withColumn("ids", F.lit(1)).withColumn("start", F.lit(1)), WORD_BPE).count() >= 1
+    assert bpe.encode_decode(docs.withColumn("ids", F.lit(1)).withColumn("word", F.lit(1)), BYTE_BPE).count() == 40
+
+
 def test_licences(spark, make, sf_docs):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/COPYING", "# Licensed under the Apache License,\n# Version 2.0."), (4, "a/b/c/d/y", "code"), (5, "a/z", "Foo.\nThis work is licensed under the GNU General Public License, version 3.\nBar"), (6, "q", "a driving licence"), (7, None, None), (8, "", ""), (2, "a/b/x.py", "code")]
     got = licences.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()
@@ -299,6 +426,51 @@ def test_licence_headers_and_files(spark):
     assert [(t, got[i]) for i, (t, n) in enumerate(cases + filler) if got[i] != n] == []
 
 
+def plain_cosines(texts):
+    """The best template of either kind for each piece of each text, by dictionaries."""
+    count = lambda t: collections.Counter(re.findall(licences.TOKEN, t.lower()))
+    df = collections.Counter(t for text in texts for t in set(count(text)))
+    idf = lambda t: np.log((1 + len(texts)) / (1 + max(1, df[t]))) + 1
+    out = []
+    for text in texts:
+        lines, joined = text.split("\n"), re.sub(r"\s*\n[ \t#*/;-]*", " ", text)
+        parts = {*lines, *re.split(r"(?<=[.;:!?])\s+", joined), *re.split(r"(?<=[.!?])\s+", joined), *re.split(r"\n[ \t#*/;-]*\n", text)}
+        best = (0.0, "")
+        for piece in parts:
+            p = {t: n * idf(t) for t, n in count(piece).items()}
+            for name, wordings in licences.TEMPLATES.items():
+                for wording in wordings:
+                    w = {t: n * idf(t) for t, n in count(wording).items()}
+                    dot = sum(v * w.get(t, 0) for t, v in p.items())
+                    best = max(best, (round(dot / (np.linalg.norm([*p.values(), 0]) * np.linalg.norm([*w.values()]) or 1), 9), name))
+        out.append(best if best[0] >= licences.LEAST else None)
+    return out
+
+
+def test_licence_cosines_are_those_of_plain_vectors(spark):
+    rng = np.random.default_rng(2)
+    pool = [w for texts in licences.TEMPLATES.values() for t in texts for w in t.split()] + ["bird", "song", "night"] * 30
+    texts = [" ".join(rng.choice(pool, rng.integers(3, 15))) + rng.choice([".\n", "\n\n"]) + str(rng.choice(licences.TEMPLATES["MIT"] + ["A quiet line."])) for _ in range(40)]
+    texts += [t for name in ("GPL-2.0", "CC0-1.0") for t in licences.TEMPLATES[name][:3]]
+    files = spark.createDataFrame([(i, f"d/{i}", t) for i, t in enumerate(texts)], "file_id long, path string, text string")
+    counts, n = licences.frequencies(files).cache(), len(texts)
+    templates = licences.weigh({r.term: r.n for r in counts.collect()}, n)
+    found = licences.cut(licences.prepared(files, templates.anchors), "test")
+    got = {r.file_id: r.one for r in found.join(licences.scores(found, counts, n, templates), "row", "left").collect()}
+    for i, e in enumerate(plain_cosines(texts)):
+        assert (got[i] is None) == (e is None) and (e is None or abs(got[i].score - e[0]) < 1e-6)
+
+
+def test_licences_are_inherited_in_the_query(spark):
+    got = {r.origin: r["count"] for r in licences.op1_license_scan(spark, "/root/testdata/sf0.1").groupBy("origin").count().collect()}
+    assert got["own"] > 200 and got["inherited"] > 0
+
+
+def test_licences_of_nothing(spark):
+    none = spark.createDataFrame([], "file_id long, path string, text string, row int, n int")
+    assert licences.scan(none).count() == 0
+
+
 @pytest.mark.parametrize("buckets", [4, 5])
 def test_fold(make, buckets):
     got = rows(make(ODD).select("doc_id", fold("doc_id", buckets).alias("f")))

@@ -25,7 +25,7 @@ from .splitting import byte_level_words, holds, matches
 #: Scripts whose letters are assigned alike in every Unicode version in use; other texts go whole to the tokenizer.
 SETTLED = r"[^\x{0}-\x{52F}\x{2000}-\x{206F}\x{20A0}-\x{20BF}]"
 #: Words in a worker's table before it starts afresh, and bytes of text handled at a time: both bound a worker's memory.
-TABLE_WORDS, SLICE_BYTES = 800_000, 2 << 20
+TABLE_WORDS, SLICE_BYTES = 400_000, 1 << 20
 #: Words of the distinct-word table, which every executor gets: some 3 MB at any size of the input.
 FREQUENT = 1 << 16
 LONG_WORD = 64

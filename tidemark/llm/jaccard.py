@@ -169,25 +169,35 @@ def passing(rows: DataFrame, key: str, marks: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("_at").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1 == 1)).select(own)
+            yield _passing(batch, shared.value).select(own)
 
-    return rows.withColumn("_at", F.pmod(F.xxhash64(key), F.lit(8 * len(marks)))).mapInArrow(run, rows.schema)
+    return _placed(rows, key, marks).mapInArrow(run, rows.schema)
 
 
-def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, h1 and the whole set of every document, from each task once for each distinct pair of id and set."""
+def _placed(rows: DataFrame, key: str, marks: np.ndarray) -> DataFrame:
+    return rows.withColumn("_at", F.pmod(F.xxhash64(key), F.lit(8 * len(marks))))
+
+
+def _passing(batch: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
+    at = batch.column("_at").to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array((marks[at >> 3] >> (at & 7)) & 1 == 1))
+
+
+def whole_sets(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
+    """doc_id, h1 and the whole set of the documents whose id has its bit set, and of few others, from each task once for each
+    distinct pair of id and set."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for ids, texts in _batches(batches):
+        for ids, texts in _batches(_passing(batch, shared.value) for batch in batches):
             hashes, sizes = shingle_sets(texts, size)
             h1 = set_hash(hashes, sizes, 1)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(h1), lists], schema=schema).filter(pa.array(fresh(ids, h1, seen)))
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, set array<long>")
+    return _placed(docs, "doc_id", marks).mapInArrow(run, "doc_id long, h1 long, set array<long>")
 
 
 def may_link(percent: int) -> Column:
@@ -208,7 +218,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
         close = close.groupBy("a").agg(F.min(F.struct("b", *[c for c in close.columns if c not in "ab"])).alias("m")).select("a", "m.*")
     close = cut(close, "jaccard-pairs")
     ids = cut(close.select(F.col("doc_id_a").alias("doc_id")).union(close.select("doc_id_b")).distinct(), "jaccard-wanted")
-    sets = cut(whole_sets(passing(_texts(docs), "doc_id", marked(ids)), size), "jaccard-sets")
+    sets = cut(whole_sets(_texts(docs), size, marked(ids)), "jaccard-sets")
     of = lambda x: sets.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("h1").alias(f"h1_{x}"), F.col("set").alias(f"set_{x}"))
     full = close.join(of("a"), ["doc_id_a", "h1_a"]).join(of("b"), ["doc_id_b", "h1_b"])
     shared = full.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("i"))

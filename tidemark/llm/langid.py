@@ -21,7 +21,7 @@ from .common import fold, table
 BUCKETS = 1 << 15
 ROUNDS = 6
 #: Bytes handled at a time in a task, which bounds its memory; a single longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: A further language must gain this many times half the log of the number of words.
 PENALTY = 6.0
 #: Trigrams overlap; their log likelihoods are scaled so that a letter counts about once.

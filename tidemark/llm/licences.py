@@ -1,18 +1,21 @@
 """Licence scans.
 
-Lines and sentences that sound like a licence are compared with templates by the cosine of sparse TF-IDF vectors, with
-document frequencies counted over all files. A file that names no licence inherits that of the nearest directory above
-it that has a licence file. Everything is Spark expressions, one aggregation for the frequencies, and joins on paths.
+Lines, sentences, headers and whole files are compared with templates by the cosine of sparse TF-IDF vectors: rows of
+(piece, term, weight), with document frequencies counted over all terms of all files. Pieces that no template can reach
+are left out exactly: of each template the heaviest terms with over 1 - LEAST ** 2 of its squared length are anchors, and a
+piece without an anchor of a template has a cosine below LEAST with it. A file that names no licence inherits that of the
+nearest directory above it that has a licence file. Everything is Spark expressions, aggregations and joins.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, remove, table
 
 # Well-known wordings by licence, one sentence each.
 TEMPLATES = {
@@ -73,99 +76,119 @@ for _name, (_kind, _version) in GNU.items():
     TEMPLATES[_name] += [t for thing in ("program", "library") for t in _gnu(_kind, _version, thing)]
 for _name, _title in TITLES.items():
     TEMPLATES[_name] += [_title]
-CUE = r"(?i)licen[sc]|permission is hereby|redistribut|public domain|free software|\bCC[ -]?(?:BY|0)\b"
 TOKEN = r"spdx-license-identifier: [a-z0-9.+-]+|[a-z]+|[0-9]+(?:\.[0-9]+)?"
 LICENCE_FILE = r"(?i)^(?:licen[sc]e|copying|unlicense|notice)(?:[.-].*)?$"
 SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([a-z0-9.+() \t-]+)"
 #: What is compared as one piece besides the whole file: the comment at its start, and a BSD wording anywhere.
 COMMENT = r"^[ \t]*(?:$|#|//|/\*|\*|;|--|<!--)"
 BSD_PIECE = r"(?is)Redistribution\s+and\s+use\s.{0,4000}?such\W+damage"
-#: Least cosine, and how many candidate stretches of a file count as a licence file: all of its lines.
+#: Least cosine.
 LEAST = 0.6
 
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
+    """A text's terms in order, repeats included."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _template_tokens(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
+def _vectors(templates: dict[str, list[str]]) -> list[tuple[str, dict[str, int]]]:
+    """(licence, term counts) of each distinct wording."""
+    import collections
     import re
 
-    return [(name, list(words)) for name, words in sorted({(name, tuple(sorted(set(re.findall(TOKEN, text.lower()))))) for name, texts in templates.items() for text in texts})]
+    found = {(name, tuple(sorted(collections.Counter(re.findall(TOKEN, text.lower())).items()))) for name, texts in templates.items() for text in texts}
+    return [(name, dict(counts)) for name, counts in sorted(found)]
 
 
-def _terms() -> list[str]:
-    return sorted({t for templates in (TEMPLATES, WHOLE) for _, ts in _template_tokens(templates) for t in ts})
+def frequencies(files: DataFrame) -> DataFrame:
+    """term, n: in how many files each term stands, for terms of at least two files."""
+    terms = files.select(F.explode(F.array_distinct(tokens(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def stretches(text: Column) -> Column:
-    """Lines, sentences and paragraphs across lines that sound like a licence, and each identifier of SPDX lines."""
+@dataclass
+class Templates:
+    """Weighted templates: rows of (kind, template, licence, term, weight over the template's length), and the anchors."""
+
+    rows: list[tuple[int, int, str, str, float]]
+    anchors: list[str]
+
+
+def weigh(counts: dict[str, int], n_files: int) -> Templates:
+    """``counts``: in how many files each template term stands (absent: one at most)."""
+    idf = lambda t: math.log((1 + n_files) / (1 + max(1, counts.get(t, 1)))) + 1
+    rows, anchors, k = [], set(), 0
+    for kind, templates in enumerate((TEMPLATES, WHOLE)):
+        for name, tf in _vectors(templates):
+            weights = {t: n * idf(t) for t, n in tf.items()}
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            rows += [(kind, k, name, t, w / norm) for t, w in weights.items()]
+            left = 1.0
+            for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+                if left < LEAST**2 - 1e-6:
+                    break
+                anchors.add(t)
+                left -= (w / norm) ** 2
+            k += 1
+    return Templates(rows, sorted(anchors))
+
+
+def stretches(text: Column, sounds) -> Column:
+    """Lines, sentences and paragraphs across lines that ``sounds`` (a test of a text) picks."""
     lines = F.split(text, "\n")
     joined = F.regexp_replace(text, r"\s*\n[ \t#*/;-]*", " ")
     sentences = F.array_union(F.split(joined, r"(?<=[.;:!?])\s+"), F.split(joined, r"(?<=[.!?])\s+"))
     paragraphs = F.split(text, r"\n[ \t#*/;-]*\n")
-    sounding = F.filter(F.array_union(F.array_union(lines, sentences), paragraphs), lambda x: F.regexp(x, F.lit(CUE)))
-    expressions = F.regexp_extract_all(text, F.lit(SPDX_LINE), F.lit(1))
-    ids = F.flatten(F.transform(expressions, lambda e: F.transform(F.filter(F.split(e, r"[\s()]+"), lambda i: i != ""), lambda i: F.concat(F.lit("SPDX-License-Identifier: "), i))))
-    return F.when(F.regexp(text, F.lit(CUE)), F.array_union(sounding, ids)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array_union(F.array_union(lines, sentences), paragraphs), sounds)
 
 
-def pieces(text: Column) -> Column:
+def pieces(text: Column, sounds) -> Column:
     """What is compared as one piece: the file, the comment it starts with, BSD wordings in it."""
     lines = F.split(text, "\n")
     code = F.array_position(F.transform(lines, lambda x: ~F.regexp(x, F.lit(COMMENT))), True)
     header = F.when(code > 0, F.array_join(F.slice(lines, 1, F.greatest(code - 1, F.lit(0)).cast("int")), "\n")).otherwise(text)
     all_of = F.array_union(F.array(text, header), F.regexp_extract_all(text, F.lit(BSD_PIECE), F.lit(0)))
-    return F.when(F.regexp(text, F.lit(CUE)), F.filter(all_of, lambda x: F.regexp(x, F.lit(CUE)))).otherwise(F.array().cast("array<string>"))
-
-
-def prepared(files: DataFrame) -> DataFrame:
-    """file_id, path, the token sets of licence-like stretches and of pieces that are compared as a whole, the template terms in the whole text, and whether every
-    line is such a stretch."""
-    terms = _terms()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = files.select("file_id", "path", text.alias("_t")).withColumn("_s", stretches(F.col("_t")))
-    known = F.array_intersect(tokens(F.col("_t")), F.array(*map(F.lit, terms)))
+    return F.filter(all_of, sounds)
+
+
+def spdx_licence(text: Column) -> Column:
+    """The licence that an SPDX line names; of several the one that comes last by name."""
+    table = F.create_map(*[F.lit(v) for name, ids in SPDX.items() for i in ids for v in (i.lower(), name)])
+    expressions = F.regexp_extract_all(F.lower(text), F.lit(SPDX_LINE), F.lit(1))
+    ids = F.flatten(F.transform(expressions, lambda e: F.split(e, r"[\s()]+")))
+    return F.array_max(F.filter(F.transform(ids, lambda i: F.try_element_at(table, i)), lambda x: x.isNotNull()))
+
+
+def prepared(files: DataFrame, anchors: list[str]) -> DataFrame:
+    """row (a number of its own), file_id, path, spdx, whether every line has an anchor, and pieces: (kind, terms) of those
+    that have one; kind 0 is compared with TEMPLATES, 1 with WHOLE."""
+    known = F.array(*map(F.lit, anchors))
+    sounds = lambda x: F.arrays_overlap(tokens(x), known)
+    df = files.select("file_id", "path", F.coalesce(F.col("text"), F.lit("")).alias("_t")).withColumn("_able", sounds(F.col("_t")))
+    of = lambda kind, texts: F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), tokens(x).alias("terms")))
+    empty = F.array().cast("array<struct<kind:int,terms:array<string>>>")
+    found = F.when(F.col("_able"), F.concat(of(0, stretches(F.col("_t"), sounds)), of(1, pieces(F.col("_t"), sounds)))).otherwise(empty)
     filled = F.filter(F.split("_t", "\n"), lambda x: F.regexp(x, F.lit(r"\S")))
-    only = (F.size("_s") > 0) & F.forall(filled, lambda x: F.regexp(x, F.lit(CUE)))
-    return df.select("file_id", "path", F.transform("_s", tokens).alias("stretches"), F.transform(pieces(F.col("_t")), tokens).alias("pieces"), known.alias("terms"), only.alias("only"))
-
-
-def weights(files: DataFrame) -> tuple[dict[str, float], float]:
-    """Squared IDF of each template term over all files, and that of a term in no template (their median)."""
-    n = files.count()
-    rows = files.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
-    seen = {r["t"]: r["count"] for r in rows}
-    terms = _terms()
-    idf2 = {t: (math.log((1 + n) / (1 + seen.get(t, 0))) + 1) ** 2 for t in terms}
-    return idf2, sorted(idf2.values())[len(idf2) // 2]
-
-
-def best_template(stretches: Column, idf2: dict[str, float], other: float, templates: dict[str, list[str]] = TEMPLATES) -> Column:
-    """(score, licence) of the stretch and template with the largest cosine; null without a stretch. Of equal scores the
-    licence that comes last by name. Stretches that can't reach LEAST with any template are left out: a cosine is at most
-    the root of the share that template terms have in the stretch's squared length."""
-    spdx = F.create_map(*[F.lit(v) for name, ids in SPDX.items() for i in ids for v in (f"spdx-license-identifier: {i}".lower(), name)])
-    terms = F.array(*map(F.lit, idf2))
-    table = F.create_map(*[F.lit(v) for t, w in idf2.items() for v in (t, w)])
-    total = lambda words: F.aggregate(words, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(table, t), F.lit(other)))
-
-    def measured(stretch: Column) -> Column:
-        known = F.array_intersect(stretch, terms)
-        part = total(known)
-        return F.struct(known.alias("known"), part.alias("part"), (part + other * (F.size(stretch) - F.size(known))).alias("norm2"), F.when(F.size(stretch) == 1, F.try_element_at(spdx, stretch[0])).alias("spdx"))
-
-    def against(m: Column) -> Column:
-        scores = []
-        for name, words in _template_tokens(templates):
-            own = math.sqrt(sum(idf2[t] for t in words))
-            shared = total(F.array_intersect(m["known"], F.array(*map(F.lit, words))))
-            scores.append(F.struct(F.round(shared / (F.sqrt(m["norm2"]) * own), 9).alias("score"), F.lit(name).alias("licence")))
-        return F.when(m["spdx"].isNotNull(), F.struct(F.lit(1.0).alias("score"), m["spdx"].alias("licence"))).otherwise(F.array_max(F.array(*scores)))
-
-    found = F.transform(F.filter(stretches, lambda s: F.size(s) > 0), measured)
-    able = F.filter(found, lambda m: m["spdx"].isNotNull() | (m["part"] >= (LEAST - 1e-6) ** 2 * m["norm2"]))
-    return F.array_max(F.transform(able, against))
+    only = F.when(F.col("_able"), F.forall(filled, sounds)).otherwise(False)
+    spdx = F.when(F.contains(F.lower("_t"), F.lit("spdx-license-identifier")), spdx_licence(F.col("_t")))
+    return df.select(F.monotonically_increasing_id().alias("row"), "file_id", "path", spdx.alias("spdx"), only.alias("only"), found.alias("pieces"))
+
+
+def scores(found: DataFrame, counts: DataFrame, n_files: int, templates: Templates) -> DataFrame:
+    """row, one, whole: the (score, licence) of the best piece and template of either kind, where it reaches LEAST. Of equal
+    scores the licence that comes last by name."""
+    spark = found.sparkSession
+    terms = found.select("row", F.posexplode("pieces").alias("piece", "p")).select("row", "piece", "p.kind", F.explode("p.terms").alias("term"))
+    tf = terms.groupBy("row", "piece", "kind", "term").agg(F.count("*").alias("tf"))
+    idf = F.log(F.lit(1.0 + n_files) / (1 + F.coalesce("n", F.lit(1)))) + 1
+    weighted = cut(tf.join(counts, "term", "left").select("row", "piece", "kind", "term", (F.col("tf") * idf).alias("w")), "licences-weights")
+    norms = weighted.groupBy("row", "piece").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    rows = spark.createDataFrame(templates.rows, "kind int, template int, licence string, term string, tw double")
+    dots = weighted.join(F.broadcast(rows), ["kind", "term"]).groupBy("row", "piece", "kind", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    near = dots.join(norms, ["row", "piece"]).select("row", "kind", F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("score"), "licence").alias("s")).filter(F.col("s.score") >= LEAST)
+    best = cut(near.groupBy("row").agg(F.max(F.when(F.col("kind") == 0, F.col("s"))).alias("one"), F.max(F.when(F.col("kind") == 1, F.col("s"))).alias("whole")), "licences-scores")
+    remove(weighted)
+    return best
 
 
 def ancestors(path: Column) -> Column:
@@ -175,23 +198,27 @@ def ancestors(path: Column) -> Column:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """file_id, path, licence, score, origin of every file (file_id, path, text). origin is ``own`` where a stretch reaches
+    """file_id, path, licence, score, origin of every file (file_id, path, text). origin is ``own`` where a piece reaches
     LEAST, ``inherited`` (with the distance in ``levels`` and no score) where a licence file stands in a directory above,
     else null. A licence file is one by its name or by holding nothing but licence-like lines; of several in a directory
     the best-scored counts, then the licence last by name.
 
-    Null text: no own licence. Null path: nothing to inherit. Repeated rows stay; other columns are dropped; an empty
-    table gives an empty one.
+    Null or empty text: no own licence. Null path: nothing to inherit. Repeated rows stay; a very long text is compared like
+    any other; other columns are dropped; an empty table gives an empty one.
     """
-    found = cut(prepared(files), "licences")
-    idf2, other = weights(found)
-    best = best_template(F.col("stretches"), idf2, other)
-    whole = best_template(F.col("pieces"), idf2, other, WHOLE)
-    rated = found.select("file_id", "path", "only", F.when(F.size("stretches") > 0, best).alias("one"), F.when(F.size("pieces") > 0, whole).alias("whole"))
+    n_files = files.count()
+    counts = cut(frequencies(files), "licences-frequencies")
+    known = sorted({t for texts in (TEMPLATES, WHOLE) for _, tf in _vectors(texts) for t in tf})
+    templates = weigh({r.term: r.n for r in counts.filter(F.col("term").isin(known)).collect()}, n_files)
+    found = cut(prepared(files, templates.anchors), "licences")
+    best = scores(found, counts, n_files, templates)
+    rated = found.drop("pieces").join(best, "row", "left")
     # an SPDX line or a title is exact; else a whole wording tells more than the sentences it shares with others
-    rated = rated.withColumn("best", F.when((F.col("whole.score") >= LEAST) & ((F.col("one.score") < 1) | F.col("whole.licence").startswith("BSD") & F.col("one.licence").startswith("BSD")), F.col("whole")).otherwise(F.col("one")))
-    own = F.when(F.col("best.score") >= LEAST, F.col("best"))
-    rated = cut(rated.select("file_id", "path", "only", own.alias("best")), "licences-own")
+    one, whole = F.col("one"), F.col("whole")
+    exact = F.when(F.col("spdx").isNotNull(), F.struct(F.lit(1.0).alias("score"), F.col("spdx").alias("licence")))
+    text = F.when(whole.isNotNull() & (one.isNull() | (one["score"] < 1) | whole["licence"].startswith("BSD") & one["licence"].startswith("BSD")), whole).otherwise(one)
+    rated = cut(rated.select("file_id", "path", "only", F.coalesce(exact, text).alias("best")), "licences-own")
+    remove(counts, found, best)
     name = F.regexp_extract("path", "[^/]*$", 0)
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     bearers = rated.filter(F.col("path").isNotNull() & F.col("best").isNotNull() & (F.col("only") | F.regexp(name, F.lit(LICENCE_FILE))))
@@ -206,8 +233,14 @@ def scan(files: DataFrame) -> DataFrame:
     return owners.unionByName(heirs)
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files: fifty in a directory, twenty directories in one above it, by source; the first of each fifty stands
+    for the directory's licence file. A null source or doc_id leaves its part of the path out."""
+    whole = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.col("doc_id").cast("string"))
+    return docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", whole(1000), whole(50), name).alias("path"), "text")
+
+
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Documents as files of their source's directory."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+    """Documents as files of their source's directories."""
+    return scan(document_paths(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")

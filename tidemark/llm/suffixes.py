@@ -39,9 +39,9 @@ LENGTH = 400
 WINDOW, KMER = 129, 16
 KEY = LENGTH - WINDOW + 1
 #: Classes that share KEY bytes and still meet in one task; suffixes of one run; stretch of a very long text handled at a time.
-CROWD, RUN, STRETCH = 256, 20_000, 1 << 20
+CROWD, RUN, STRETCH = 256, 10_000, 1 << 18
 #: Classes drawn by hash for each splitter; parts for each shuffle partition, and suffixes in a part on average at most.
-SAMPLE, PARTS, PART_ROWS = 16, 4, 20_000
+SAMPLE, PARTS, PART_ROWS = 16, 4, 10_000
 #: Drawn classes (two numbers each) that every executor gets; more of them are joined by a shuffle.
 MOST_BROADCAST = 100_000
 #: Bytes of a word's hash.
@@ -96,7 +96,7 @@ class Hasher:
     def __init__(self, raw: np.ndarray):
         n = len(raw) + 1
         if n > len(Hasher.powers):
-            size = max(n, 2 << 20)
+            size = max(n, 2 << 18)
             step, back = int(STEP[0]), pow(int(STEP[0]), -1, 1 << 64)
             for name, base in (("powers", step), ("inverse", back)):
                 table = np.full(size, base, np.uint64)

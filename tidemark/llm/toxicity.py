@@ -26,6 +26,8 @@ LEARNED_WORDS, LEAST_DOCS, LEAST_SHARE = 400, 8, 0.01
 GIVEN, GIVEN_ROWS = (0.8, 0.01), 50
 #: Correlations below this many standard errors count as none; what is added to the diagonal before they are inverted.
 NOISE, RIDGE = 4.0, 0.02
+#: Unlabelled documents teach the classifier where their posterior is this near to 0 or 1.
+DOUBT = 0.02
 
 # A general lexicon of insults, by language.
 LEXICON = {
@@ -198,7 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         return Classifier(words, np.zeros(x.shape[1]), -5.0)
     given = np.array([np.nan if r.toxic is None else float(r.toxic == 1) for r in rows])
     voters = np.hstack([x, x.sum(axis=1, keepdims=True) == 0])
-    weights, bias = logistic(x, label_model(voters, given).posterior(voters, given))
+    q = label_model(voters, given).posterior(voters, given)
+    sure = ~np.isnan(given) | (np.minimum(q, 1 - q) < DOUBT)
+    weights, bias = logistic(x[sure], q[sure])
     return Classifier(words, weights, bias)
 
 
