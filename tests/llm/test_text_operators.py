@@ -113,6 +113,20 @@ def test_language_of_odd_and_mixed_texts(make, sf_docs):
     assert {r.lang_pred for r in langid.detect(make(ODD), nothing).collect()} == {"und"}
 
 
+def test_trigrams_are_those_of_a_plain_walk():
+    """Byte by byte, text by text; no trigram crosses texts."""
+    import pyarrow as pa
+
+    texts = ["", "a", "Ab 1c", "é-ü", " x", "y ", "zz9zz\nq", "\u4f60 b"]
+    expected = []
+    for k, text in enumerate(texts):
+        seen = [0, *(int(langid.LETTERS[b]) for b in text.encode()), 0]
+        for a, m, z in zip(seen, seen[1:], seen[2:], strict=False):
+            if m:
+                expected.append((((a * 0x9E3779B1 + m * 0x85EBCA77 + z * 0xC2B2AE3D) & 0xFFFFFFFF) >> 17, k, a == 0))
+    assert [(int(c), int(o), bool(b)) for c, o, b in zip(*langid.trigrams(pa.array(texts)), strict=True)] == expected
+
+
 def test_mixture_estimates_shares():
     rng = np.random.default_rng(0)
     langs = rng.choice(3, 500, p=[0.7, 0.3, 0])
