@@ -318,7 +318,7 @@ def test_pipeline_stages_take_odd_tables(spark, make):
     import corpus_pipeline
 
     names = ["email", "spans", "base", "score", "margin", "component_id", "_h", "n_removed", "kept", "key", "node", "token"]
-    long = " ".join(f"w{i}x" for i in range(60_000))
+    long = " ".join(f"w{i}x" for i in range(15_000))
     rows = ODD + [(70, long), (70, long), (71, "some words of a text that stands alone in here")]
     docs = make(rows).withColumns({c: F.lit(1) for c in names})
     for name, stage in corpus_pipeline.STAGES:

@@ -451,10 +451,10 @@ def plain_cosines(texts):
         parts = {*lines, *re.split(r"(?<=[.;:!?])\s+", joined), *re.split(r"(?<=[.!?])\s+", joined), *re.split(r"\n[ \t#*/;-]*\n", text)}
         best = (0.0, "")
         for piece in parts:
-            p = {t: n * idf(t) for t, n in count(piece).items()}
+            p = {t: (1 + np.log(n)) * idf(t) for t, n in count(piece).items()}
             for name, wordings in licences.TEMPLATES.items():
                 for wording in wordings:
-                    w = {t: n * idf(t) for t, n in count(wording).items()}
+                    w = {t: (1 + np.log(n)) * idf(t) for t, n in count(wording).items()}
                     dot = sum(v * w.get(t, 0) for t, v in p.items())
                     best = max(best, (round(dot / (np.linalg.norm([*p.values(), 0]) * np.linalg.norm([*w.values()]) or 1), 9), name))
         out.append(best if best[0] >= licences.LEAST else None)

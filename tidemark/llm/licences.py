@@ -1,9 +1,9 @@
 """Licence scans.
 
 Lines, sentences, headers and whole files are compared with templates by the cosine of sparse TF-IDF vectors: rows of
-(piece, term, weight), with document frequencies counted over all terms of all files. Pieces that no template can reach
-are left out exactly: of each template the heaviest terms with over 1 - LEAST ** 2 of its squared length are anchors, and a
-piece without an anchor of a template has a cosine below LEAST with it. A file that names no licence inherits that of the
+(piece, term, weight), with term frequencies by their logarithm and document frequencies counted over all terms of all files.
+Pieces that no template can reach are left out exactly: of each template the rarest terms that hold over 1 - LEAST ** 2 of its
+squared length are anchors, and a piece without an anchor of a template has a cosine below LEAST with it. A file that names no licence inherits that of the
 nearest directory above it that has a licence file. Everything is Spark expressions, aggregations and joins.
 """
 
@@ -120,11 +120,11 @@ def weigh(counts: dict[str, int], n_files: int) -> Templates:
     rows, anchors, k = [], set(), 0
     for kind, templates in enumerate((TEMPLATES, WHOLE)):
         for name, tf in _vectors(templates):
-            weights = {t: n * idf(t) for t, n in tf.items()}
+            weights = {t: (1 + math.log(n)) * idf(t) for t, n in tf.items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
             rows += [(kind, k, name, t, w / norm) for t, w in weights.items()]
             left = 1.0
-            for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+            for t, w in sorted(weights.items(), key=lambda x: (counts.get(x[0], 1), -x[1], x[0])):  # rarest first
                 if left < LEAST**2 - 1e-6:
                     break
                 anchors.add(t)
@@ -181,7 +181,7 @@ def scores(found: DataFrame, counts: DataFrame, n_files: int, templates: Templat
     terms = found.select("row", F.posexplode("pieces").alias("piece", "p")).select("row", "piece", "p.kind", F.explode("p.terms").alias("term"))
     tf = terms.groupBy("row", "piece", "kind", "term").agg(F.count("*").alias("tf"))
     idf = F.log(F.lit(1.0 + n_files) / (1 + F.coalesce("n", F.lit(1)))) + 1
-    weighted = cut(tf.join(counts, "term", "left").select("row", "piece", "kind", "term", (F.col("tf") * idf).alias("w")), "licences-weights")
+    weighted = cut(tf.join(counts, "term", "left").select("row", "piece", "kind", "term", ((1 + F.log("tf")) * idf).alias("w")), "licences-weights")
     norms = weighted.groupBy("row", "piece").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     rows = spark.createDataFrame(templates.rows, "kind int, template int, licence string, term string, tw double")
     dots = weighted.join(F.broadcast(rows), ["kind", "term"]).groupBy("row", "piece", "kind", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
