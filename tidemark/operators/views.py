@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import times
 from tidemark.functions.session import session_label
 
-from .bars import base_bars, roll_up, with_labels
+from .bars import base_bars, roll_up, shown, with_labels
 
 THIN = ["high", "low", "volume"]
 
@@ -55,9 +55,15 @@ def month_of_year_profile(daily: DataFrame) -> DataFrame:
     return roll_up(daily, ["asset_id", times.month_name(F.col("trade_date")).alias("month")], "trade_date")
 
 
+def by_one_asset(sessions: DataFrame) -> DataFrame:
+    """Session bars dealt out by asset: day, week and month bars of these need no further exchange. An asset's bars are some
+    five a day, however many its rows."""
+    return sessions.repartition("asset_id")
+
+
 def define_views(md: DataFrame) -> dict[str, DataFrame]:
-    """The five calendar views, labelled, over one shared plan of session bars."""
-    sessions = session_agg(md)
+    """The five calendar views, labelled, over one shared plan of session bars, which all the others take as they lie."""
+    sessions = by_one_asset(session_agg(md))
     daily = daily_agg(sessions)
     views = {"session_agg": sessions, "daily_agg": daily, "weekday_agg": weekday_agg(daily), "weekly_agg": weekly_agg(daily), "monthly_agg": monthly_agg(daily)}
     return {name: with_labels(v) for name, v in views.items()}
@@ -71,7 +77,7 @@ def all_rows(views: dict[str, DataFrame]) -> DataFrame:
     views share what they are built from: session bars are aggregated and exchanged once."""
     out = None
     for name, v in views.items():
-        rows = v.withColumn("view", F.lit(name))
+        rows = shown(v).withColumn("view", F.lit(name))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out.select("view", *[c for c in KEYS if c in out.columns], *[c for c in out.columns if c not in ("view", *KEYS)])
 

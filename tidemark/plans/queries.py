@@ -103,7 +103,7 @@ def _view(source, build):
     """A view over a source, labelled."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return bars.with_labels(build(source(spark, d)))
+        return bars.shown(bars.with_labels(build(source(spark, d))))
 
     return run
 
@@ -122,15 +122,15 @@ def q_latest_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_bars_by_asset(spark: SparkSession, d: str) -> DataFrame:
-    return reads.by_asset(_sessions(md_events(spark, d)), "view")
+    return bars.shown(reads.by_asset(_sessions(md_events(spark, d)), "view"))
 
 
 def q_daily_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return reads.daily_ordered(_daily(md_events(spark, d)), "view")
+    return bars.shown(reads.daily_ordered(_daily(md_events(spark, d)), "view"))
 
 
 def q_daily_pattern_update(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.update_daily_patterns(_daily(md_orders(spark, d)))
+    return bars.shown(jobs.update_daily_patterns(_daily(md_orders(spark, d))))
 
 
 def q_asset_get_or_create(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def _by_asset(build):
     """One asset's rows of a view: the filter is the feature, and reaches the scan."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return reads.by_asset(bars.with_labels(build(_daily(md_orders(spark, d)))), "1-URGENT")
+        return bars.shown(reads.by_asset(bars.with_labels(build(_daily(md_orders(spark, d)))), "1-URGENT"))
 
     return run
 

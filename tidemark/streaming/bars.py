@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import session_label
-from tidemark.operators.bars import roll_up, tick_columns
+from tidemark.operators.bars import grouped, roll_up, tick_aggregates
 
 #: A week's window starts on Monday; plain weeks start on Thursday, as the epoch did.
 WEEK = ("7 days", "7 days", "4 days")
@@ -14,7 +14,7 @@ WEEK = ("7 days", "7 days", "4 days")
 
 def _windowed(ticks: DataFrame, window: Column, keys: list[Column | str], late: str) -> DataFrame:
     ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return ticks.groupBy(window.alias("w"), "asset_id", *keys).agg(*tick_columns())
+    return grouped(ticks, [window.alias("w"), "asset_id", *keys], tick_aggregates())
 
 
 def session_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
