@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .session import session_sql
+
 # The labels.
 DOJI, UNKNOWN = "Doji/SpinningTop", "Unknown"
 
@@ -46,24 +48,21 @@ def candle_pattern(o: Column, h: Column, l: Column, c: Column, at: Thresholds =
     )
 
 
-def register_sql_functions(spark: SparkSession) -> None:
-    """``session_from_timestamp`` and ``candle_pattern`` as SQL functions, which Catalyst inlines."""
-    at = Thresholds()
-    spark.sql(
-        """CREATE OR REPLACE TEMPORARY FUNCTION session_from_timestamp(ts TIMESTAMP) RETURNS STRING RETURN
-        CASE WHEN hour(ts) >= 20 THEN 'NYPM' WHEN hour(ts) >= 18 THEN 'NYL' WHEN hour(ts) >= 15 THEN 'NYAM'
-             WHEN hour(ts) >= 8 THEN 'LN' WHEN hour(ts) >= 0 THEN 'AS' END"""
-    )
-    body, upper, lower = "try_divide(abs(c - o), h - l)", "try_divide(h - greatest(o, c), h - l)", "try_divide(least(o, c) - l, h - l)"
-    bull = "CASE WHEN c > o AND NOT isnan(c) THEN 'Bullish' ELSE 'Bearish' END"
-    spark.sql(
-        f"""CREATE OR REPLACE TEMPORARY FUNCTION candle_pattern(o DOUBLE, h DOUBLE, l DOUBLE, c DOUBLE) RETURNS STRING RETURN
-        CASE WHEN o IS NULL OR h IS NULL OR l IS NULL OR c IS NULL THEN NULL
-             WHEN h - l < {at.eps} THEN '{UNKNOWN}'
+def pattern_sql(o: str = "open", h: str = "high", l: str = "low", c: str = "close", at: Thresholds = Thresholds()) -> str:  # noqa: E741, B008
+    """``candle_pattern`` as SQL text."""
+    body, upper, lower = f"try_divide(abs({c} - {o}), {h} - {l})", f"try_divide({h} - greatest({o}, {c}), {h} - {l})", f"try_divide(least({o}, {c}) - {l}, {h} - {l})"
+    bull = f"CASE WHEN {c} > {o} AND NOT isnan({c}) THEN 'Bullish' ELSE 'Bearish' END"
+    return f"""CASE WHEN {o} IS NULL OR {h} IS NULL OR {l} IS NULL OR {c} IS NULL THEN NULL
+             WHEN {h} - {l} < {at.eps} THEN '{UNKNOWN}'
              WHEN isnan({body}) THEN concat('Mild ', {bull})
              WHEN {body} <= {at.doji} THEN '{DOJI}'
              WHEN {body} < {at.short} AND try_divide({upper}, {lower} + {at.eps}) < {at.ratio} THEN concat({bull}, ' Hammer')
              WHEN {body} < {at.short} AND try_divide({lower}, {upper} + {at.eps}) < {at.ratio} THEN concat({bull}, ' Shooting Star')
              WHEN {body} >= {at.long} THEN concat({bull}, ' Long Body')
              ELSE concat('Mild ', {bull}) END"""
-    )
+
+
+def register_sql_functions(spark: SparkSession) -> None:
+    """``session_from_timestamp`` and ``candle_pattern`` as SQL functions, which Catalyst inlines."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION session_from_timestamp(ts TIMESTAMP) RETURNS STRING RETURN {session_sql('ts')}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION candle_pattern(o DOUBLE, h DOUBLE, l DOUBLE, c DOUBLE) RETURNS STRING RETURN {pattern_sql('o', 'h', 'l', 'c')}")

@@ -19,6 +19,12 @@ def session_label(ts: Column) -> Column:
     return label
 
 
+def session_sql(ts: str) -> str:
+    """``session_label`` as SQL text."""
+    cases = " ".join(f"WHEN hour({ts}) >= {start} THEN '{name}'" for name, start in reversed(SESSION_STARTS))
+    return f"CASE {cases} END"
+
+
 def session_parse(text: Column, strict: bool = False) -> Column:
     """The session that ``text`` names in any case; else null, or an error if ``strict``. "None" names no session."""
     upper = F.upper(text)

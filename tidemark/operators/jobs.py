@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import times
 from tidemark.functions.candle import candle_pattern
-from tidemark.sources.bars_csv import append_market_data, read_bars_csv
+from tidemark.sources.bars_csv import append_market_data, parse_bars, read_bars_csv, read_bars_files
+from tidemark.sources.commits import Commits
+from tidemark.sources.market_store import CLUSTERED, MarketStore
 from tidemark.sources.schemas import conform
 from tidemark.sources.storage import stored
 
@@ -57,6 +59,21 @@ def ingest_csv(spark: SparkSession, path: str, symbol: str, assets_path: str, ma
     append_market_data(read_bars_csv(spark, path, asset_id, source), market_path)
 
 
+def ingest_files(store: MarketStore, files: list[dict[str, str]], source: str = "csv", load_id: str | None = None) -> str:
+    """Many bar files in one load: ``files`` has a path (a file, or a folder of such), a symbol and any of ATTRIBUTES for each. The
+    assets come first, all in one commit, then all rows, in another: one bad row in any file leaves the assets and no
+    rows. A retry with the same id adds nothing twice."""
+    spark = store.spark
+    if unknown := {k for f in files for k in f} - {"path", "symbol", *ATTRIBUTES}:
+        raise ValueError(f"not an attribute of an asset: {sorted(unknown)}")
+    kinds = ", ".join(f"{c} string" for c in ("path", "symbol", *ATTRIBUTES))
+    given = spark.createDataFrame([tuple(f.get(c) for c in ("path", "symbol", *ATTRIBUTES)) for f in files], kinds)
+    assets = store.get_or_create(given.drop("path"), assets_get_or_create)
+    named = given.select("path", "symbol").join(assets.select("symbol", F.col("id").alias("asset_id")), "symbol").drop("symbol")
+    rows = read_bars_files(spark, [f["path"] for f in files]).join(F.broadcast(named), "path")
+    return store.append(parse_bars(rows, F.col("asset_id"), source), load_id)
+
+
 def update_daily_patterns(daily: DataFrame) -> DataFrame:
     """Daily bars with ``day_candle_pattern``."""
     return daily.withColumn("day_candle_pattern", candle_pattern(*[F.col(c) for c in ("open", "high", "low", "close")]))
@@ -76,22 +93,30 @@ STORED = {"session_agg": "trade_date", "daily_agg": "trade_date", "weekday_agg":
 
 
 def refresh(md: DataFrame, out: str, dates: list[dt.date] | None = None) -> None:
-    """Recompute the stored views, each with its labels. With ``dates``, only those dates' session and day partitions and the
-    weeks and months that they lie in are overwritten, and only their rows and days are read."""
+    """Recompute the stored views, each with its labels, clustered by asset within its partitions. With ``dates``, only those dates'
+    session and day partitions and the weeks and months that they lie in are replaced, and only their rows and days are
+    read; a partition that has no rows any more goes."""
     spark = md.sparkSession
     if dates is not None and not dates:
         return
     mode = {"partitionOverwriteMode": "dynamic" if dates is not None else "static"}
 
-    def store(name: str, view: DataFrame) -> DataFrame:
-        path = f"{out}/{name}"
-        views.with_labels(view).hint("rebalance", STORED[name]).write.options(**mode).mode("overwrite").partitionBy(STORED[name]).parquet(path)
-        return spark.read.parquet(path)
-
-    sessions = store("session_agg", views.session_agg(md if dates is None else of_days(md, dates)))
-    touched = sessions if dates is None else sessions.filter(F.col("trade_date").isin(dates))
-    daily = store("daily_agg", update_daily_patterns(views.daily_agg(touched)))
-    weeks, months = daily, daily
+    def store(name: str, view: DataFrame, touched: list[dt.date] | None) -> DataFrame:
+        path, by, rows = f"{out}/{name}", STORED[name], views.with_labels(view)
+        rows.hint("rebalance", by).sortWithinPartitions(by, "asset_id").write.options(**mode, **CLUSTERED).mode("overwrite").partitionBy(by).parquet(path)
+        made = spark.read.schema(rows.schema).parquet(path)
+        if touched is not None:
+            # at most one row for each of the dates
+            kept = {r[0] for r in view.filter(F.col(by).isin(touched)).select(by).distinct().collect()}
+            for gone in sorted(set(touched) - kept):
+                Commits(spark, out).drop(f"{out.rstrip('/')}/{name}/{by}={gone}")
+            made = spark.read.schema(rows.schema).parquet(path).filter(F.col(by).isin(touched))
+        return made
+
+    sessions = store("session_agg", views.session_agg(md if dates is None else of_days(md, dates)), dates)
+    store("daily_agg", update_daily_patterns(views.daily_agg(views.by_one_asset(sessions))), dates)
+    daily = spark.read.schema(update_daily_patterns(views.with_labels(views.daily_agg(sessions))).schema).parquet(f"{out}/daily_agg")
+    weeks, months, mondays, firsts = daily, daily, None, None
     if dates is not None:
         mondays = sorted({d - dt.timedelta(days=d.weekday()) for d in dates})
         firsts = sorted({d.replace(day=1) for d in dates})
@@ -101,6 +126,19 @@ def refresh(md: DataFrame, out: str, dates: list[dt.date] | None = None) -> None
         for f in firsts:
             in_month = in_month | ((F.col("trade_date") >= F.lit(f)) & (F.col("trade_date") < F.add_months(F.lit(f), 1)))
         months = daily.filter(in_month)
-    store("weekday_agg", views.weekday_agg(weeks))
-    store("weekly_agg", views.weekly_agg(weeks))
-    store("monthly_agg", views.monthly_agg(months))
+    weeks, months = views.by_one_asset(weeks), views.by_one_asset(months)
+    store("weekday_agg", views.weekday_agg(weeks), mondays)
+    store("weekly_agg", views.weekly_agg(weeks), mondays)
+    store("monthly_agg", views.monthly_agg(months), firsts)
+
+
+def refresh_changed(store: MarketStore, out: str) -> list[dt.date]:
+    """Bring the stored views up to date with the loads and retractions since the last call, which the views' own commits name;
+    the days that were looked at. A refresh that dies is done again by the next."""
+    marks = Commits(store.spark, out)
+    done = marks.read()
+    days, number = store.changed_days(done[-1]["loads"] if done else 0)
+    if days:
+        refresh(store.market_data(days), out, days)
+        marks.add(lambda before: {"loads": number})
+    return days

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import times
 from tidemark.functions.candle import Thresholds, candle_pattern, register_sql_functions
 from tidemark.functions.session import session_label, session_parse
-from tidemark.operators import bars, jobs, reads, views
+from tidemark.operators import bars, jobs, named_views, reads, views
 from tidemark.sources.adapters import md_events, md_lineitem, md_orders
-from tidemark.sources.bars_csv import parse_bars
-from tidemark.sources.schemas import conform
+from tidemark.sources.bars_csv import checked, parse_bars
+from tidemark.sources.market_store import MarketStore
+from tidemark.sources.schemas import ALLOWED, conform
 from tidemark.sources.storage import shared_dir
 
 NTZ = "timestamp_ntz"
@@ -205,53 +206,110 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def q_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly bars written as bar files with their columns in another order, one folder for each asset, ingested with their
-    asset, twice for one of them, then a file of only a header; what the stored table then holds."""
+    """Hourly bars written as bar files with their columns in two orders, one folder for each asset; all loaded in one job with
+    their assets, then one of them again with a file of only a header, then the first load once more under its own
+    id, which adds nothing; what the store then holds."""
     out = _folder(spark, "csv")
     text = q_hourly_bars(spark, d).select("asset_id", F.date_format("ts", "HH:mm").alias("Time"), F.date_format("ts", "yyyy.MM.dd").alias("Date"), *[F.col(c.lower()).cast("string").alias(c) for c in ("Close", "Open", "High", "Low", "Volume")])
-    text.write.partitionBy("asset_id").csv(f"{out}/files", header=True)
+    early = F.col("asset_id") < "p"
+    text.filter(early).write.partitionBy("asset_id").csv(f"{out}/files", header=True)
+    turned = ["asset_id", "Volume", "Low", "High", "Open", "Close", "Date", "Time"]
+    text.filter(~early).select(*turned).write.mode("append").partitionBy("asset_id").csv(f"{out}/files", header=True)
     text.drop("asset_id").limit(0).coalesce(1).write.csv(f"{out}/none", header=True)
-    # the types of events, which are few: one load each
-    symbols = [r[0] for r in text.select("asset_id").distinct().orderBy("asset_id").limit(100).collect()]
-    for symbol in [*symbols, symbols[0]]:
-        jobs.ingest_csv(spark, f"{out}/files/asset_id={symbol}", symbol, f"{out}/assets", f"{out}/market_data", source="file", currency="USD")
-    jobs.ingest_csv(spark, f"{out}/none", symbols[0], f"{out}/assets", f"{out}/market_data")
-    assets = spark.read.parquet(f"{out}/assets").select(F.col("id").alias("asset_id"), "symbol", "currency")
-    rows = conform(spark.read.parquet(f"{out}/market_data").withColumn("ts", F.col("ts").cast("timestamp")), "market_data")
+    symbols = sorted(r[0] for r in text.select("asset_id").distinct().collect())  # what a user lists: one file for each
+    files = [{"path": f"{out}/files/asset_id={s}", "symbol": s, "currency": "USD"} for s in symbols]
+    store = MarketStore(spark, f"{out}/store")
+    jobs.ingest_files(store, files, source="file", load_id="first")
+    jobs.ingest_files(store, [files[0], {"path": f"{out}/none", "symbol": symbols[0]}], source="file")
+    jobs.ingest_files(store, files, source="file", load_id="first")
+    assets = store.all_assets().select(F.col("id").alias("asset_id"), "symbol", "currency")
+    rows = conform(store.market_data(), "market_data")
     return rows.join(assets, "asset_id").select("asset_id", "symbol", "currency", F.col("ts").cast(NTZ).alias("ts"), "open", "high", "low", "close", "volume", "seq", "source")
 
 
+def q_csv_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of bar files, derived as text from hourly bars and some of them spoiled: what can be read of each, and why others
+    are rejected."""
+    price = lambda c, n, bad: F.when(F.col("seq") % n == 0, F.lit(bad)).otherwise(F.col(c.lower()).cast("string")).alias(c)
+    date = F.when(F.col("seq") % 13 == 0, F.lit("2024.13.01")).otherwise(F.date_format("ts", "yyyy.MM.dd")).alias("Date")
+    text = q_hourly_bars(spark, d).select("asset_id", "seq", date, F.date_format("ts", "HH:mm").alias("Time"), price("Open", 11, "x"), price("High", 17, ""), price("Low", 19, "1,5"), F.col("close").cast("string").alias("Close"), price("Volume", 11, None))
+    return checked(text).select("asset_id", "seq", F.col("ts").cast(NTZ).alias("ts"), "open", "high", "low", "close", "volume", "reason")
+
+
+def _loaded(spark: SparkSession, d: str, name: str) -> MarketStore:
+    """Events stored as two loads."""
+    store, md = MarketStore(spark, _folder(spark, name)), md_events(spark, d)
+    store.append(md.filter("seq % 2 = 0"), "even")
+    store.append(md.filter("seq % 2 <> 0"), "odd")
+    return store
+
+
+def q_latest_n_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 25 bars of stored market data, found from the newest partition back: the limit is the feature."""
+    rows = _loaded(spark, d, "latest").latest("click", 25)
+    return rows.select("asset_id", F.col("ts").cast(NTZ).alias("ts"), "open", "high", "low", "close", "volume", "seq")
+
+
+def q_named_views(spark: SparkSession, d: str) -> DataFrame:
+    """The five views by their names in the catalogue, as another session reads them, over stored market data."""
+    store, prefix = _loaded(spark, d, "named"), f"v{uuid.uuid4().hex}_"
+    store.market_data().select("asset_id", F.col("ts").cast(NTZ).alias("ts"), "open", "high", "low", "close", "volume", "seq").write.parquet(f"{store.root}/rows")
+    named_views.define(spark, f"parquet.`{store.root}/rows`", prefix)
+    other = spark.newSession()
+    rows = views.all_rows({name: other.table(f"{prefix}{name}") for name in named_views.order()})
+    rows.schema  # names are resolved by now
+    named_views.drop(spark, prefix)
+    return rows
+
+
 def q_conform(table: str):
-    """The given tables made to conform to a declared schema; every row."""
+    """The given tables made to conform to a declared schema; every row. Variants are compared as JSON text."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        events, orders = spark.read.parquet(f"{d}/events.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+        read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
         if table == "market_data":
             out = conform(md_events(spark, d).drop("open"), table)
         elif table == "orders":
-            status = F.when(F.col("o_orderstatus") == "O", "New").when(F.col("o_orderstatus") == "F", "Filled")
-            out = conform(orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("asset_id"), F.lit("Buy").alias("side"), F.col("o_totalprice").cast("string").alias("price"), status.alias("status"), F.col("o_orderdate").alias("created_ts")), table).drop("meta")
+            key = F.col("o_orderkey")
+            pick = lambda column: F.element_at(F.array(*[F.lit(v) for v in ALLOWED["orders", column]]), F.pmod(key, F.lit(len(ALLOWED["orders", column]))).cast("int") + 1)
+            status = F.when(key % 5 != 0, pick("status"))
+            meta = F.concat(F.lit('{"priority":"'), "o_orderpriority", F.lit('","customer":'), F.col("o_custkey").cast("string"), F.lit("}"))
+            out = conform(read("orders").select(key.alias("id"), F.col("o_orderpriority").alias("asset_id"), pick("side").alias("side"), F.col("o_totalprice").cast("string").alias("price"), pick("order_type").alias("order_type"), status.alias("status"), F.col("o_orderdate").alias("created_ts"), F.array("o_orderstatus", "o_orderpriority").alias("tags"), meta.alias("meta")), table)
+            out = out.withColumns({"tags": F.array_join("tags", "|"), "meta": F.to_json("meta")})
         elif table == "predictions":
-            out = conform(events.select(F.col("event_id").alias("id"), F.col("event_type").alias("asset_id"), "ts", F.lit(60_000).alias("horizon_ms"), F.col("value").alias("predicted_price")), table)
+            out = conform(read("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("asset_id"), "ts", F.lit(60_000).alias("horizon_ms"), F.col("value").alias("predicted_price")), table)
+        elif table == "assets":
+            out = conform(read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("symbol"), F.col("s_acctbal").alias("tick_size"), F.pmod("s_suppkey", F.lit(9)).alias("price_decimals"), F.when(F.col("s_suppkey") % 3 == 0, False).alias("active")), table).withColumn("price_decimals", F.col("price_decimals").cast("int"))
         else:
-            regions = spark.read.parquet(f"{d}/region.parquet")
-            out = conform(regions.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), table).drop("params")
+            part = read("part")
+            params = F.concat(F.lit('{"size":'), F.col("p_size").cast("string"), F.lit("}"))
+            out = conform(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("applicable_assets"), params.alias("params"), F.when(F.col("p_partkey") % 2 == 0, False).alias("active")), table)
+            out = out.withColumns({"applicable_assets": F.array_join("applicable_assets", "|"), "params": F.to_json("params")})
         return out.select(*[F.col(c).cast(NTZ).alias(c) if k == "timestamp" else F.col(c) for c, k in out.dtypes])
 
     return run
 
 
 def q_refresh(spark: SparkSession, d: str) -> DataFrame:
-    """The stored views after a load of all days and a reload of three days whose volumes have doubled since."""
+    """The stored views after a load of most days and one of the rest, a refresh, then a retraction of the rest and a load of one of
+    its days with double volumes, and a refresh of what these changed."""
     out, md = _folder(spark, "refresh"), md_events(spark, d)
-    jobs.refresh(md, out)
-    again = md.withColumn("volume", F.when(times.day(F.col("ts")).isin(RELOADED), F.col("volume") * 2).otherwise(F.col("volume")))
-    jobs.refresh(again, out, RELOADED)
-    return views.all_rows({name: spark.read.parquet(f"{out}/{name}") for name in jobs.STORED})
+    store, day = MarketStore(spark, f"{out}/store"), times.day(F.col("ts"))
+    store.append(md.filter(~day.isin(TAKEN_BACK)), "most")
+    store.append(md.filter(day.isin(TAKEN_BACK)), "rest")
+    jobs.refresh_changed(store, f"{out}/views")
+    store.retract("rest")
+    store.append(md.filter(day == F.lit(AGAIN)).withColumn("volume", F.col("volume") * 2), "again")
+    jobs.refresh_changed(store, f"{out}/views")
+    rows = views.all_rows({name: spark.read.parquet(f"{out}/views/{name}") for name in jobs.STORED})
+    return rows.select(*[F.col(c).cast(NTZ).alias(c) if k == "timestamp" else F.col(c) for c, k in rows.dtypes])
 
 
-RELOADED = [dt.date(2024, 1, 2), dt.date(2024, 1, 7), dt.date(2024, 1, 29)]
-RELOADED_SQL = f"""SELECT * REPLACE (CASE WHEN CAST(ts AS DATE) IN ({", ".join(f"DATE '{d}'" for d in RELOADED)}) THEN 2 * volume ELSE volume END AS volume) FROM ({{}}) AS md"""
+#: Days that are loaded and taken back, two of them all that a week has, and the one that comes again.
+TAKEN_BACK = [dt.date(2024, 1, 2), dt.date(2024, 1, 7), dt.date(2024, 1, 29), dt.date(2024, 1, 30)]
+AGAIN = dt.date(2024, 1, 7)
+REFRESHED_SQL = f"""SELECT * REPLACE (CASE WHEN CAST(ts AS DATE) = DATE '{AGAIN}' THEN 2 * volume ELSE volume END AS volume) FROM ({EVENTS}) AS md
+ WHERE CAST(ts AS DATE) = DATE '{AGAIN}' OR CAST(ts AS DATE) NOT IN ({", ".join(f"DATE '{d}'" for d in TAKEN_BACK)})"""
 
 
 def all_rows_sql(md: str, daily: str = "") -> str:
@@ -263,6 +321,11 @@ def all_rows_sql(md: str, daily: str = "") -> str:
     return " UNION ALL BY NAME ".join(parts)
 
 
+def allowed_sql(column: str) -> str:
+    values = ALLOWED["orders", column]
+    return f"[{', '.join(repr(v) for v in values)}][o_orderkey % {len(values)} + 1]"
+
+
 S, D = {"trade_date": DAY, "session": SESSION}, {"trade_date": DAY, "weekday": WEEKDAY}
 #: name: (query, SQL)
 TABLE = {
@@ -309,12 +372,28 @@ TABLE = {
     "conform_market_data": (q_conform("market_data"), "SELECT NULL::VARCHAR AS id, event_type AS asset_id, ts, NULL::DOUBLE AS open, value AS high, value AS low, value AS close, CAST(json_extract(props, '$.k') AS DOUBLE) AS volume, event_id AS seq, NULL::VARCHAR AS source FROM events"),
     "conform_orders": (
         q_conform("orders"),
-        """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS asset_id, NULL::VARCHAR AS client_order_id, 'Buy' AS side, NULL::DOUBLE AS qty, o_totalprice AS price, NULL::VARCHAR AS order_type,
- CASE o_orderstatus WHEN 'O' THEN 'New' WHEN 'F' THEN 'Filled' ELSE 'Pending' END AS status, o_orderdate AS created_ts, NULL::TIMESTAMP AS updated_ts, NULL::VARCHAR[] AS tags FROM orders""",
+        f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS asset_id, NULL::VARCHAR AS client_order_id, {allowed_sql("side")} AS side, NULL::DOUBLE AS qty, o_totalprice AS price,
+ {allowed_sql("order_type")} AS order_type, CASE WHEN o_orderkey % 5 <> 0 THEN {allowed_sql("status")} ELSE 'Pending' END AS status, o_orderdate AS created_ts, NULL::TIMESTAMP AS updated_ts,
+ o_orderstatus || '|' || o_orderpriority AS tags, '{{"customer":' || o_custkey || ',"priority":"' || o_orderpriority || '"}}' AS meta FROM orders""",
+    ),
+    "conform_assets": (
+        q_conform("assets"),
+        """SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS symbol, NULL::VARCHAR AS name, NULL::VARCHAR AS asset_class, NULL::VARCHAR AS currency, s_acctbal AS tick_size, NULL::DOUBLE AS lot_size,
+ CAST(s_suppkey % 9 AS INTEGER) AS price_decimals, NULL::VARCHAR AS exchange, NULL::VARCHAR AS timezone, s_suppkey % 3 <> 0 AS active, NULL::TIMESTAMP AS first_listed_ts FROM supplier""",
     ),
     "conform_predictions": (q_conform("predictions"), "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS asset_id, ts, 60000::BIGINT AS horizon_ms, value AS predicted_price, NULL::FLOAT AS confidence, NULL::VARCHAR AS model_id, NULL::VARCHAR AS input_market_data_id, NULL::VARCHAR AS notes FROM events"),
-    "conform_strategies": (q_conform("strategies"), "SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS name, NULL::VARCHAR AS description, NULL::VARCHAR[] AS applicable_assets, TRUE AS active, NULL::TIMESTAMP AS created_ts FROM region"),
-    "refresh": (q_refresh, all_rows_sql(RELOADED_SQL.format(EVENTS), "daily")),
+    "conform_strategies": (q_conform("strategies"), """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, NULL::VARCHAR AS description, p_brand || '|' || p_type AS applicable_assets,
+ '{"size":' || p_size || '}' AS params, p_partkey % 2 <> 0 AS active, NULL::TIMESTAMP AS created_ts FROM part"""),
+    "refresh": (q_refresh, all_rows_sql(REFRESHED_SQL, "daily")),
+    "latest_n_stored": (q_latest_n_stored, f"SELECT * FROM ({EVENTS}) AS md WHERE asset_id = 'click' ORDER BY ts DESC, seq DESC LIMIT 25"),
+    "named_views": (q_named_views, all_rows_sql(EVENTS)),
+    "csv_quarantine": (
+        q_csv_quarantine,
+        f"""SELECT asset_id, seq, CASE WHEN seq % 13 <> 0 THEN ts END AS ts, CASE WHEN seq % 11 <> 0 THEN open END AS open, CASE WHEN seq % 17 <> 0 THEN high END AS high,
+ CASE WHEN seq % 19 <> 0 THEN low END AS low, close, CASE WHEN seq % 11 <> 0 THEN volume END AS volume,
+ nullif(concat_ws(', ', CASE WHEN seq % 13 = 0 THEN 'Date and Time' END, CASE WHEN seq % 11 = 0 THEN 'Open' END, CASE WHEN seq % 17 = 0 THEN 'High' END, CASE WHEN seq % 19 = 0 THEN 'Low' END,
+ CASE WHEN seq % 11 = 0 THEN 'Volume' END), '') AS reason FROM ({HOURLY}) AS h""",
+    ),
 }
 QUERIES = {name: query for name, (query, _) in TABLE.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in TABLE.items()}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import times
 
+from .market_store import write_days
+
 # The columns of a bar file.
 PRICES = ["Open", "High", "Low", "Close", "Volume"]
 
@@ -29,23 +34,65 @@ def parse_bars(rows: DataFrame, asset_id: str | Column, source: str = "csv") ->
     )
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """Adds what text columns say (ts and numbers; null where they can't be read) and ``reason``, the names of those that can't be
+    read, or null."""
+    ts = F.try_to_timestamp(F.concat_ws(" ", "Date", "Time"), F.lit("yyyy.MM.dd HH:mm"))
+    values = {"ts": ts} | {p.lower(): F.col(p).try_cast("double") for p in PRICES}
+    names = {"ts": "Date and Time"} | {p.lower(): p for p in PRICES}
+    bad = F.concat_ws(", ", *[F.when(v.isNull(), F.lit(names[k])) for k, v in values.items()])
+    return rows.withColumns({**values, "reason": F.when(bad != "", bad)})
+
+
 def read_bars_csv(spark: SparkSession, path: str, asset_id: str, source: str = "csv", mode: str = "strict") -> DataFrame:
     """A bar file as ``market_data`` rows. ``strict`` fails on any bad row; ``quarantine`` keeps every row, with
-    ``bad`` true and null values where something can't be read."""
+    ``bad`` true, null values and a ``reason`` where something can't be read. The texts NaN and Infinity are numbers."""
     raw = spark.read.csv(path, header=True, mode="FAILFAST" if mode == "strict" else "PERMISSIVE")
     raw = raw.select("Date", "Time", *PRICES)
     if mode == "strict":
         return parse_bars(raw, asset_id, source)
-    ts = F.try_to_timestamp(F.concat_ws(" ", "Date", "Time"), F.lit("yyyy.MM.dd HH:mm"))
-    values = [F.col(p).try_cast("double") for p in PRICES]
-    bad = ts.isNull()
-    for v in values:
-        bad = bad | v.isNull()
-    return raw.select(F.lit(asset_id).alias("asset_id"), ts.alias("ts"), *[v.alias(p.lower()) for p, v in zip(PRICES, values, strict=True)], F.lit(0).cast("long").alias("seq"), F.lit(source).alias("source"), bad.alias("bad"))
+    made = checked(raw)
+    return made.select(F.lit(asset_id).alias("asset_id"), "ts", *[p.lower() for p in PRICES], F.lit(0).cast("long").alias("seq"), F.lit(source).alias("source"), F.col("reason").isNotNull().alias("bad"), "reason")
+
+
+def read_bars_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of many bar files and folders of such as text, with ``path``, the one of ``paths`` that a row is from. Columns go by
+    each file's own header: the headers are looked up first, and files that have the same are read together, whatever
+    their number. A file without a header that has all columns is an error; one without a line has no rows."""
+    given = sorted({_full(spark, p): p for p in paths}.items())
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    names = F.split(F.regexp_replace("value", '"', ""), r"\s*,\s*")
+    header = F.when(F.forall(F.array(*[F.lit(c) for c in ("Date", "Time", *PRICES)]), lambda c: F.array_contains(names, c)), names)
+    heads = lines.groupBy("file").agg(F.max(header).alias("names")).collect()
+    if lost := [r.file for r in heads if r.names is None]:
+        raise ValueError(f"{len(lost)} files have no header with all columns, such as {min(lost)}")
+    layouts: dict[tuple, list[str]] = {}
+    for r in heads:
+        layouts.setdefault(tuple(r.names), []).append(r.file)
+    out = spark.createDataFrame([], "file string, " + ", ".join(f"`{c}` string" for c in ("Date", "Time", *PRICES)))
+    for layout, files in sorted(layouts.items()):
+        kinds = ", ".join(f"`{c}` string" for c in layout)
+        rows = spark.read.schema(kinds).csv([unquote(f) for f in files], header=True, mode="FAILFAST")
+        out = out.unionByName(rows.select(F.col("_metadata.file_path").alias("file"), "Date", "Time", *PRICES))
+    # a file belongs to the longest of the given paths that leads to it
+    owner = []
+    for r in heads:
+        at = _plain(r.file)
+        owner.append((r.file, max((f, p) for f, p in given if at == f or at.startswith(f"{f}/"))[1]))
+    return out.join(F.broadcast(spark.createDataFrame(owner, "file string, path string")), "file").drop("file")
+
+
+def _full(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as ``_plain`` writes those of scans."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return _plain(found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString())
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", unquote(path))
 
 
 def append_market_data(bars: DataFrame, path: str) -> None:
-    """Append to the stored table, partitioned by day and clustered by asset; loading a file twice doubles its rows. Rows are
-    rebalanced by day first: small days share a task, a large one is split among several, and no day has a file of each task."""
-    dealt = bars.withColumn("trade_date", times.day(F.col("ts"))).hint("rebalance", "trade_date")
-    dealt.sortWithinPartitions("trade_date", "asset_id", "ts").write.mode("append").partitionBy("trade_date").parquet(path)
+    """Append to a stored table at once; loading a file twice doubles its rows. ``MarketStore`` has loads that count whole or
+    not at all."""
+    write_days(bars, path, "append")
