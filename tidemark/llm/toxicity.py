@@ -9,6 +9,7 @@ learns from those posteriors and scores every text as one Spark expression.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,16 @@ PATTERNS = {
 }
 
 
+#: Rows of votes that are numbers of full width at a time; votes are kept as bytes.
+CHUNK = 2048
+
+
+def chunks(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The rows in turn, as doubles."""
+    for lo in range(0, len(x), CHUNK):
+        yield slice(lo, lo + CHUNK), x[lo : lo + CHUNK].astype(np.float64)
+
+
 def lexicon() -> list[str]:
     return sorted({w for words in LEXICON.values() for w in words.split()})
 
@@ -104,21 +115,22 @@ class LabelModel:
         """Of votes (rows x voters) and given labels (1, 0, or nan where none is given)."""
         on, off = self.given
         label = np.where(np.isnan(given), 0.0, np.where(given == 1, np.log(on / off), np.log((1 - on) / (1 - off))))
-        z = np.log(self.prior / (1 - self.prior)) + x @ (self.share * np.log(self.on / self.off)) + label
+        voice = self.share * np.log(self.on / self.off)
+        z = np.log(self.prior / (1 - self.prior)) + np.concatenate([part @ voice for _, part in chunks(x)]) + label
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def shares(rest: np.ndarray) -> np.ndarray:
+def shares(gram: np.ndarray, n: int) -> np.ndarray:
     """Each voter's weight from the correlations R of what is left of votes within the classes: R^-1 1, between 0 and 1. A
-    voter without a correlation weighs 1, each of k that always agree 1 / k."""
-    scale = np.sqrt((rest**2).mean(axis=0))
+    voter without a correlation weighs 1, each of k that always agree 1 / k. ``gram`` has the products of what is left, summed over n rows."""
+    scale = np.sqrt(np.diag(gram) / n)
     alive = scale > 1e-3  # a voter that is always or never right has no rest to compare
-    r = (rest.T @ rest) / len(rest) / np.outer(np.maximum(scale, 1e-9), np.maximum(scale, 1e-9))
-    r[r < NOISE / np.sqrt(len(rest))] = 0  # voters that exclude each other add no weight
+    r = gram / n / np.outer(np.maximum(scale, 1e-9), np.maximum(scale, 1e-9))
+    r[r < NOISE / np.sqrt(n)] = 0  # voters that exclude each other add no weight
     r[~alive, :], r[:, ~alive] = 0, 0
     np.fill_diagonal(r, 1)
-    n = r.shape[0]
-    return np.clip(np.linalg.solve(r + RIDGE * np.eye(n), np.full(n, 1 + RIDGE)), 0, 1)
+    k = r.shape[0]
+    return np.clip(np.linalg.solve(r + RIDGE * np.eye(k), np.full(k, 1 + RIDGE)), 0, 1)
 
 
 def label_model(x: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelModel:
@@ -134,14 +146,17 @@ def label_model(x: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelMode
     model = None
     for k in range(rounds):
         hot, cold = q * weight, (1 - q) * weight
-        on = np.clip((hot @ x + 0.5) / (hot.sum() + 1), 1e-5, 1 - 1e-5)
-        off = np.clip((cold @ x + 0.1) / (cold.sum() + 1), 1e-5, 1 - 1e-5)
+        seen = sum((np.stack([hot[at], cold[at]]) @ part for at, part in chunks(x)), np.zeros((2, x.shape[1])))
+        on = np.clip((seen[0] + 0.5) / (hot.sum() + 1), 1e-5, 1 - 1e-5)
+        off = np.clip((seen[1] + 0.1) / (cold.sum() + 1), 1e-5, 1 - 1e-5)
         rate = [float((w[labelled] @ known + GIVEN_ROWS * g) / (w[labelled].sum() + GIVEN_ROWS)) for w, g in ((q, GIVEN[0]), (1 - q, GIVEN[1]))]
         prior = float(np.clip(hot.sum() / max(weight.sum(), 1e-9), 1e-3, 0.999))
         if k:
-            rest = x - np.outer(q, on) - np.outer(1 - q, off)
-            share = shares(rest[:, :-1])
-            share = np.append(share, 1.0)
+            gram = np.zeros((x.shape[1] - 1,) * 2)
+            for at, part in chunks(x):
+                rest = (part - np.outer(q[at], on) - np.outer(1 - q[at], off))[:, :-1]
+                gram += rest.T @ rest
+            share = np.append(shares(gram, len(x)), 1.0)
         model = LabelModel(prior, on, off, share, tuple(np.clip(rate, 1e-4, 1 - 1e-4)))
         new = model.posterior(x, given)
         weight = np.ones(len(x))
@@ -153,13 +168,17 @@ def label_model(x: np.ndarray, given: np.ndarray, rounds: int = 30) -> LabelMode
 
 def logistic(x: np.ndarray, q: np.ndarray, decay: float = 1e-5, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton steps; rare toxicity isn't reweighted."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     penalty = np.full(len(w), decay * len(x))
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (p - q) + penalty * w)
+        bend, slope = np.diag(penalty), penalty * w
+        for at, part in chunks(x):
+            z = np.hstack([part, np.ones((len(part), 1))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            bend = bend + (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+            slope = slope + z.T @ (p - q[at])
+        step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -188,18 +207,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     the labels to learn from; documents that have none of them are unlabelled here."""
     sample = sampled(docs, labels)
     words = sorted({*lexicon(), *learned_words(sample)})
-    rows = sample.select("doc_id", "toxic", *votes(F.col("text"), words)).orderBy("doc_id").collect()
+    at = {w: i for i, w in enumerate([*words, *PATTERNS])}
+    seen, toxic = [], []
+    for r in sample.select("doc_id", "toxic", *votes(F.col("text"), words)).orderBy("doc_id").toLocalIterator():
+        seen.append(np.array([at[w] for w in r.hits] + [at[name] for name in PATTERNS if r[name]], np.int32))
+        toxic.append(r.toxic)
     remove(sample)
-    at = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(rows), len(words) + len(PATTERNS)))
-    for i, r in enumerate(rows):
-        for w in r.hits:
-            x[i, at[w]] = 1
-        x[i, len(words) :] = [float(r[name]) for name in PATTERNS]
-    if not any(r.toxic for r in rows):
+    x = np.zeros((len(seen), len(at)), np.uint8)
+    for row, own in zip(x, seen, strict=True):
+        row[own] = 1
+    if not any(toxic):
         return Classifier(words, np.zeros(x.shape[1]), -5.0)
-    given = np.array([np.nan if r.toxic is None else float(r.toxic == 1) for r in rows])
-    voters = np.hstack([x, x.sum(axis=1, keepdims=True) == 0])
+    given = np.array([np.nan if t is None else float(t == 1) for t in toxic])
+    voters = np.hstack([x, ~x.any(axis=1, keepdims=True)])
     q = label_model(voters, given).posterior(voters, given)
     sure = ~np.isnan(given) | (np.minimum(q, 1 - q) < DOUBT)
     weights, bias = logistic(x[sure], q[sure])
