@@ -25,6 +25,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
     "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304"),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+    # a writer holds a row group in memory and a reader a column of it: whole texts make either large
+    "parquet.block.size": ("134217728", "16777216"),
 }
 
 
