@@ -388,7 +388,7 @@ def test_trees_are_those_of_a_plain_search():
 
 def test_clashing_columns(make, spark):
     """Names that operators use inside or give to what they find."""
-    names = ["email", "ip", "card", "phone", "secret", "number", "handle", "base", "candidates", "spans", "_own", "_t", "score", "langs", "margin", "lang_pred", "shares"]
+    names = ["email", "ip", "card", "phone", "secret", "account", "handle", "base", "candidates", "spans", "_own", "_t", "score", "langs", "margin", "lang_pred", "shares"]
     docs = make([(i, f'mail a{i}@b.com and token = "{hashlib.sha1(str(i).encode()).hexdigest()}" here') for i in range(40)]).withColumns({c: F.lit(7) for c in names})
     _, model = pii.find(docs)
     out = pii.redact(docs, model)
@@ -489,3 +489,42 @@ def test_licences_of_nothing(spark):
 def test_fold(make, buckets):
     got = rows(make(ODD).select("doc_id", fold("doc_id", buckets).alias("f")))
     assert all(r.f == zlib.crc32(str(k if k is not None else "").encode()) % buckets for k, rs in got.items() for r in rs)
+
+
+def with_check_digits(country, rest):
+    number = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{rest}"
+
+
+def test_account_numbers_are_taken_by_format_and_context(make):
+    """Boosted trees learn from check digits which candidates are accounts; the spans they add lie outside base spans."""
+    rng = np.random.default_rng(6)
+    docs, real = [], {}
+    for i in range(240):
+        rest = "".join(rng.choice(list("0123456789"), 18))
+        number = with_check_digits("DE", rest)
+        code = "".join(rng.choice(list("ABCDEFGHJK"), 2)) + f"{i % 90 + 10}" + "".join(rng.choice(list("ABCDEFGHJK"), 13))
+        docs.append((i, f"pay to account {number} today, item {code} is ready") if i % 3 else (i, f"item {code} is ready"))
+        if i % 3:
+            real[i] = (15, 37)
+    found, model = pii.find(make(docs))
+    assert "account" in model.kinds
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "account"] for r in pii.with_spans(found, model).collect()}
+    assert all(got[i] == ([real[i]] if i in real else []) for i, _ in docs)
+
+
+def test_contexts_of_candidates_come_from_the_gaps_beside_them(make):
+    text = "é😀 key=" + "a1" * 12 + " \"" + "b2" * 12 + "\" x " + "c3" * 12
+    row = pii.with_matches(make([(1, text)]).withColumnRenamed("text", "_t"), {"secret": ("_t", pii.GENERATORS["secret"])}, around=True).first()
+    for m in row.secret:
+        assert text[m.start : m.end] == m.match and m.left == text[max(0, m.start - pii.CONTEXT) : m.start] and m.right == text[m.end : m.end + 2]
+
+
+def test_a_long_text_full_of_candidates_is_linear(make):
+    """One text of 1 MB with some 30 thousand candidates."""
+    import time
+
+    text = "".join(f"key = tok{i:05d}abcdefghij0123456789 " for i in range(28_000))
+    began = time.perf_counter()
+    found, _ = pii.find(make([(1, text)]))
+    assert len(found.first().candidates) == 28_000 and time.perf_counter() - began < 60
