@@ -28,6 +28,8 @@ from .hashing import mix, shingle_sets, slices
 #: counts up to 255 in each, and a counter takes in so many shingles at a time.
 COUNTERS, CHUNK, AT_ONCE = 1 << 22, 1 << 12, 1 << 21
 SKETCH = 256
+#: Rows of one chunk that are summed in one group, about: 4 to 16 KB each.
+FAN = 512
 #: Bits for each thing that a bit set marks, and bits at most (16 MB). A fuller set lets more pass, and joins do the rest.
 BITS_EACH, MOST_BITS = 16, 1 << 27
 
@@ -108,18 +110,29 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def counters(signed: DataFrame) -> np.ndarray:
-    """The shingle counters, summed over all tasks; COUNTERS numbers at any size of the input."""
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for raw in group.column("counts"):
-            total += np.frombuffer(raw.as_buffer(), np.uint8)
-        total = np.minimum(total, (1 << 31) - 1).astype(np.int32)
-        return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = signed.filter(F.col("chunk").isNotNull()).select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toArrow()
+    """The shingle counters, summed over all tasks; COUNTERS numbers at any size of the input. They are summed as a tree: a group has
+    about FAN tasks' counts of one chunk, whatever the number of tasks."""
+
+    def add(kind: type):
+        def run(group: pa.Table) -> pa.Table:
+            total = np.zeros(CHUNK, np.int64)
+            for raw in group.column("counts"):
+                total += np.frombuffer(raw.as_buffer(), kind)
+            total = np.minimum(total, (1 << 31) - 1).astype(np.int32)
+            return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+        return run
+
+    parts, kind = signed.filter(F.col("chunk").isNotNull()).select("chunk", "counts"), np.uint8
+    tasks = parts.filter("chunk = 0").count()
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        dealt = parts.withColumn("branch", F.floor(F.rand(7) * tasks))
+        parts = cut(dealt.groupBy("chunk", "branch").applyInArrow(add(kind), "chunk int, counts binary"), "jaccard-counters")
+        kind = np.int32
     out = np.zeros(COUNTERS, np.int32)
-    for chunk, raw in zip(parts.column("chunk").to_pylist(), parts.column("counts").to_pylist(), strict=True):
+    summed = parts.groupBy("chunk").applyInArrow(add(kind), "chunk int, counts binary").toArrow()
+    for chunk, raw in zip(summed.column("chunk").to_pylist(), summed.column("counts").to_pylist(), strict=True):
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(raw, np.int32)
     return out
 

@@ -4,8 +4,10 @@ Two codebooks, one for each half of the vectors, make a grid of cells. Each vect
 distance to their centroids (multi-sequence traversal) until the share of links is reached that a set of queries against all vectors calls for;
 what it finds there is verified by cosine in double precision. Equal vectors are one entry with a multiplicity.
 
-A cell's vectors are dealt to blocks of bounded size, and blocks that visit each other are compared as matrices, each
-pair of blocks once. A comparison gives counts and the links of a spanning forest, never all pairs.
+A cell's vectors are dealt to blocks of bounded size, and so are the vectors that visit it; each block of residents is
+compared with each block of visitors as matrices, so a vector meets the residents of its own visits and no others. Two
+vectors that visit each other's cells meet twice, and the lesser id's visit counts. A comparison gives counts and the links of a
+spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from pyspark.sql import functions as F
 from .common import cut, drawn, remove, table
 from .components import components
 
-#: Vectors that codebooks are fitted on, at most (chosen by hash), and how many of those with an id divisible by EVERY ask
-#: all vectors for their links, at most, to measure how many cells must be visited.
-SAMPLE_ROWS, ASKING, EVERY = 20_000, 1_000, 50
-#: Share of the asked vectors' links that visits must find; vectors of a label in a cell aimed at; vectors in a block.
-TARGET_RECALL, PER_CELL, BLOCK = 0.999, 64, 128
+#: Vectors that codebooks are fitted on, at most (chosen by hash). All vectors with an id divisible by EVERY ask all vectors for
+#: their links, ASKING at a time, to measure how many cells must be visited.
+SAMPLE_ROWS, ASKING, EVERY = 20_000, 4_096, 50
+#: Share of the asked vectors' links that visits from their side alone must find (a link is found from either side); vectors of a label in a cell aimed at; vectors in a block.
+TARGET_RECALL, PER_CELL, BLOCK = 0.97, 64, 128
 #: A centroid needs so many vectors of the sample, so codebooks have up to SAMPLE_ROWS / LEAST_ROWS of them.
 LEAST_ROWS = 8
-#: Links that must be measured; with fewer, visits are learned from made neighbours at the least cosine.
-LEAST_LINKS, MADE_RECALL = 100, 0.95
+#: So many made neighbours at the least cosine, of MADE asking vectors, must be found from one side too, however many links there are.
+MADE, MADE_RECALL = 1_000, 0.85
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -55,6 +57,8 @@ class Index:
 
     books: dict[int, tuple[np.ndarray, np.ndarray]]
     visits: int
+    #: Share of the asking vectors' links, among all vectors, that their own visits find; None if they have no link.
+    recall: float | None = None
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.books[x.shape[1]]
@@ -105,6 +109,12 @@ def unit(raw: list[bytes] | pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def matrix(raw: pa.Array, dim: int) -> np.ndarray:
+    """Binary rows of doubles as they lie in memory."""
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<f8").reshape(-1, dim) if len(raw) else np.zeros((0, dim))
+
+
 def codebooks(entries: DataFrame) -> Index:
     """Two codebooks for each vector length, from a sample."""
     sizes = entries.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n"))
@@ -118,9 +128,10 @@ def codebooks(entries: DataFrame) -> Index:
     return index
 
 
-def asked(entries: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit vectors) of the asking vectors, by label and length."""
-    few = drawn(entries.filter((F.col("dim") > 1) & (F.pmod("id", F.lit(EVERY)) == 0)), ASKING, "id").select("id", "label", "dim", "raw").collect()
+def asked(entries: DataFrame, part: int, parts: int) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of one of ``parts`` blocks of the asking vectors, by label and length; a block has about ASKING."""
+    own = (F.col("dim") > 1) & (F.pmod("id", F.lit(EVERY)) == 0) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+    few = entries.filter(own).select("id", "label", "dim", "raw").orderBy("id").collect()
     out = {}
     for key in sorted({(r.label, r.dim) for r in few}):
         of = [r for r in few if (r.label, r.dim) == key]
@@ -152,8 +163,9 @@ def ranks(placed: DataFrame, index: Index, asking: dict, least: float) -> DataFr
 
 def made_ranks(index: Index, asking: dict, least: float) -> np.ndarray:
     """The ranks of the cells of made neighbours: each asking vector turned to the least cosine in a random direction."""
-    out, rng = [1], np.random.Generator(np.random.PCG64(11))
+    out, rng, left = [1], np.random.Generator(np.random.PCG64(11)), MADE
     for _, q in asking.values():
+        q, left = q[:left], left - len(q[:left])
         side = rng.normal(size=q.shape)
         side -= (side * q).sum(axis=1, keepdims=True) * q
         side /= np.sqrt((side * side).sum(axis=1, keepdims=True))
@@ -164,15 +176,22 @@ def made_ranks(index: Index, asking: dict, least: float) -> np.ndarray:
 
 def measured_visits(placed: DataFrame, index: Index, least: float) -> tuple[int, float | None]:
     """(cells to visit so that TARGET_RECALL of the asking vectors' links among all vectors are found from their side alone,
-    the share found), or from made neighbours where fewer than LEAST_LINKS links are there to measure (and None)."""
-    asking = asked(placed)
-    rows = sorted((r["rank"], r["n"]) for r in ranks(placed, index, asking, least).collect())
-    total = sum(n for _, n in rows)
-    if total >= LEAST_LINKS:
-        at, n = np.array([r for r, _ in rows]), np.cumsum([n for _, n in rows])
-        k = int(np.searchsorted(n, TARGET_RECALL * total))
-        return int(at[k]), float(n[k] / total)
-    return max(int(np.quantile(made_ranks(index, asking, least), MADE_RECALL, method="higher")), *(r for r, _ in rows), 1), None
+    and MADE_RECALL of made neighbours' too; the share of the links that so many visits find, or None without a link)."""
+    parts = max(1, -(-placed.filter((F.col("dim") > 1) & (F.pmod("id", F.lit(EVERY)) == 0)).count() // ASKING))
+    found: dict[int, int] = {}
+    made = 1
+    for part in range(parts):
+        asking = asked(placed, part, parts)
+        if not part:
+            made = int(np.quantile(made_ranks(index, asking, least), MADE_RECALL, method="higher"))
+        for r in ranks(placed, index, asking, least).collect():
+            found[r["rank"]] = found.get(r["rank"], 0) + r["n"]
+    if not found:
+        return made, None
+    at = np.array(sorted(found))
+    n = np.cumsum([found[r] for r in at])
+    visits = max(made, int(at[np.searchsorted(n, TARGET_RECALL * n[-1])]))
+    return visits, float(n[at <= visits][-1] / n[-1])
 
 
 def entries_of(vectors: DataFrame) -> DataFrame:
@@ -207,77 +226,104 @@ def with_cells(entries: DataFrame, index: Index) -> DataFrame:
     return entries.select("label", "dim", "id", "n", "raw").mapInArrow(run, "label string, dim int, id long, n long, raw binary, cell long")
 
 
-def blocks_of(placed: DataFrame, index: Index) -> DataFrame:
-    """One row for each block: its place, members, and all cells that a member visits."""
-    place = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*place).agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks"))
-    dealt = placed.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
-    dealt = dealt.repartition(*place, "block")  # else a cell's blocks stay together where the join put them
+PLACE, MEMBER = ["label", "dim", "cell"], ["id", "n", "home", "visits", "raw"]
+
+
+def blocks_of(placed: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """(residents, visitors): blocks of the vectors that lie in a cell, and of those that visit it, as one row each with the
+    members' ids, ns, homes (the cells they lie in), visits and unit vectors."""
+
+    def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, visits, rows = np.array(batch.column("dim").to_pylist(), np.int64), [None] * len(batch), [b""] * len(batch)
+            for dim in np.unique(dims).tolist():
+                of = np.flatnonzero(dims == dim)
+                x = unit(batch.column("raw").take(pa.array(of)), dim)
+                for i, v, row in zip(of.tolist(), index.traverse(x), x, strict=True):
+                    visits[i], rows[i] = v, row.astype("<f8").tobytes()
+            own = [batch.column(c) for c in ("label", "dim", "id", "n", "cell")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(rows, pa.binary()), pa.array(visits, pa.list_(pa.int64()))], names=["label", "dim", "id", "n", "cell", "raw", "visits"])
+
+    travelled = cut(placed.mapInArrow(travel, "label string, dim int, id long, n long, cell long, raw binary, visits array<long>"), "neighbours-visits")
 
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        dim = group.column("dim")[0].as_py()
-        raw = group.column("raw").to_pylist()
-        visits = sorted({c for cells in index.traverse(unit(raw, dim)) for c in cells})
-        first = {c: group.column(c).slice(0, 1) for c in (*place, "block")}
-        return pa.table(first | {"ids": [group.column("id").to_pylist()], "ns": [group.column("n").to_pylist()], "matrix": pa.array([b"".join(raw)], pa.binary()), "visits": [visits]})
+    def dealt(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy(*PLACE).agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks"))
+        own = rows.join(sizes, PLACE).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+        own = own.repartition(*PLACE, "block")  # else a cell's blocks stay together where the join put them
+        blocks = own.groupBy(*PLACE, "block").agg(F.collect_list(F.struct("id", "n", "home", "visits", "raw")).alias("m"))
+        return blocks.select(*PLACE, *[F.col(f"m.{c}").alias(c) for c in MEMBER])
 
-    return dealt.groupBy(*place, "block").applyInArrow(pack, "label string, dim int, cell long, block long, ids array<long>, ns array<long>, matrix binary, visits array<long>")
+    residents = dealt(travelled.withColumn("home", F.col("cell")))
+    visitors = dealt(travelled.withColumnRenamed("cell", "home").withColumn("cell", F.explode("visits")))
+    return cut(residents, "neighbours-residents"), cut(visitors, "neighbours-visitors")
 
 
 def compare(pairs: DataFrame, least: float) -> DataFrame:
-    """(id, links, root) of each entry with a link, for each pair of blocks: ``links`` counts multiplicities on the other
-    side, ``root`` is the least entry of its component within the pair."""
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    """(id, links, root, compared) of each entry with a link, for each pair of a residents' and a visitors' block: ``links`` counts
+    multiplicities of entries met, ``root`` is the least entry of its component within the pair. A row with a null id
+    has the number of pairs compared."""
+    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("compared", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                x, y = unit([r["m1"]], r["dim"]), unit([r["m2"]], r["dim"])
+            for k, dim in enumerate(batch.column("dim").to_pylist()):
+                here, there = ({c: batch.column(f"{side}{c}")[k].values for c in MEMBER} for side in ("r_", "v_"))
+                x, y = (matrix(side["raw"], dim) for side in (here, there))
+                i, j = (side["id"].to_numpy() for side in (here, there))
                 near = x @ y.T >= least
-                i, j = np.array(r["i1"]), np.array(r["i2"])
-                if r["same"]:
-                    np.fill_diagonal(near, False)
-                    ids, links, full = i, near @ np.array(r["n2"]), near
-                else:
-                    ids = np.concatenate([i, j])
-                    links = np.concatenate([near @ np.array(r["n2"]), near.T @ np.array(r["n1"])])
-                    full = np.zeros((len(ids), len(ids)), bool)
-                    full[: len(i), len(i) :], full[len(i) :, : len(i)] = near, near.T
-                some = full.any(axis=1)
-                if not some.any():
+                near &= i[:, None] != j
+                # where the resident visits the visitor's home too, they meet there again, and one of the two counts
+                for b in np.flatnonzero(near.any(axis=0)).tolist():
+                    home = there["home"][b].as_py()
+                    for a in np.flatnonzero(near[:, b] & (i < j[b])).tolist():
+                        near[a, b] = home not in here["visits"][a].as_py()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([near.size])], schema=schema)
+                if not near.any():
                     continue
-                ids, links, full = ids[some], links[some], full[np.ix_(some, some)] | np.eye(int(some.sum()), dtype=bool)
-                root = ids
+                n, m = (side["n"].to_numpy() for side in (here, there))
+                rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                links = np.concatenate([near[rows] @ m, near[:, cols].T @ n])
+                # entries on both sides are one
+                ids, at = np.unique(np.concatenate([i[rows], j[cols]]), return_inverse=True)
+                total = np.bincount(at, links, len(ids)).astype(np.int64)
+                a, b = np.nonzero(near[np.ix_(rows, cols)])
+                a, b, root = at[a], at[len(rows) + b], np.arange(len(ids))
                 while True:
-                    new = np.where(full, root, np.iinfo(np.int64).max).min(axis=1)
+                    new = root.copy()
+                    np.minimum.at(new, a, root[b])
+                    np.minimum.at(new, b, root[a])
                     if (new == root).all():
                         break
                     root = new
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(root)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total), pa.array(ids[root]), pa.nulls(len(ids), pa.int64())], schema=schema)
+
+    return pairs.mapInArrow(run, "id long, links long, root long, compared long")
+
 
-    return pairs.mapInArrow(run, "id long, links long, root long")
+def linked(placed: DataFrame, index: Index, least: float) -> DataFrame:
+    """What ``compare`` gives for all visits, as a stored table."""
+    residents, visitors = blocks_of(placed, index)
+    side = lambda rows, mark: rows.select(*PLACE, *[F.col(c).alias(f"{mark}{c}") for c in MEMBER])
+    pairs = side(residents, "r_").join(side(visitors, "v_"), PLACE).drop("label", "cell")
+    found = cut(compare(pairs, least), "neighbours-links")
+    remove(residents, visitors)
+    return found
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector: links are pairs of one label with a cosine of at least ``least``.
 
     Unusable vectors (null, empty, zero, with null or non-finite components, or without a label) link with nothing; nor do
-    vectors of different lengths. Rows that repeat a vec_id count as vectors of their own but share their links. A null
-    vec_id stays null and is kept. Other columns are dropped; an empty table gives an empty one.
+    vectors of different lengths. Rows that repeat a vec_id count as vectors of their own but share their links. A row with a null
+    vec_id stays, links with nothing, and nothing links with it. A very long vector is one entry like any other: a block
+    holds BLOCK of them, so memory grows with their length. Other columns are dropped; an empty table gives an empty one.
     """
     entries = cut(packed(entries_of(vectors)), "neighbours-entries")
     index = codebooks(entries)
     placed = cut(with_cells(entries, index), "neighbours-cells")
-    index.visits, _ = measured_visits(placed, index, least)
-    blocks = cut(blocks_of(placed, index).withColumn("bid", F.struct("label", "dim", "cell", "block")), "neighbours-blocks")
-    asks = blocks.select("label", "dim", F.explode("visits").alias("cell"), F.col("bid").alias("b1"))
-    met = asks.join(blocks.select("label", "dim", "cell", F.col("bid").alias("b2")), ["label", "dim", "cell"])
-    pairs = met.select(F.least("b1", "b2").alias("b1"), F.greatest("b1", "b2").alias("b2")).distinct()
-    side = lambda k: blocks.select(F.col("bid").alias(f"b{k}"), F.col("ids").alias(f"i{k}"), F.col("ns").alias(f"n{k}"), F.col("matrix").alias(f"m{k}"))
-    full = pairs.join(side(1), "b1").join(side(2), "b2").select((F.col("b1") == F.col("b2")).alias("same"), F.col("b1.dim").alias("dim"), "i1", "n1", "m1", "i2", "n2", "m2")
-    found = cut(compare(full, least), "neighbours-links")
-    remove(blocks, placed)
+    index.visits, index.recall = measured_visits(placed, index, least)
+    found = linked(placed, index, least).filter(F.col("id").isNotNull())
+    remove(placed)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "component")
     known = entries.select("label", "h1", "h2", "id", "n").join(links, "id", "left").join(parts, "id", "left")
@@ -286,7 +332,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("_label"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"))
     joined = rows.join(known, ["_label", "h1", "h2"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    own = F.when(F.col("vec_id").isNotNull(), F.col("n_links"))
+    return joined.select("vec_id", F.coalesce(own, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op6_multi_index(spark, sf_dir: str) -> DataFrame:
