@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ def settle(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+_libc = ctypes.CDLL(None)
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -46,6 +50,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     settle(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back()
     made = spark.read.schema(df.schema).parquet(path)
     _paths[id(made)] = made, path
     return made
@@ -58,6 +63,15 @@ def remove(*tables: DataFrame) -> None:
         df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def give_back() -> None:
+    """Return memory that this process has freed: collected tables and broadcast arrays come and go from step to step, and what
+    the allocators keep of them would add up beside the driver's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

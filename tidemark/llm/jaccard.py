@@ -132,8 +132,8 @@ def counters(signed: DataFrame) -> np.ndarray:
         kind = np.int32
     out = np.zeros(COUNTERS, np.int32)
     summed = parts.groupBy("chunk").applyInArrow(add(kind), "chunk int, counts binary").toArrow()
-    for chunk, raw in zip(summed.column("chunk").to_pylist(), summed.column("counts").to_pylist(), strict=True):
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(raw, np.int32)
+    for chunk, raw in zip(summed.column("chunk").to_pylist(), summed.column("counts"), strict=True):
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(raw.as_buffer(), np.int32)
     return out
 
 
