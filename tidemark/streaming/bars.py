@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.session import session_label
-from tidemark.operators.bars import grouped, roll_up, tick_aggregates
+from tidemark.operators.bars import bar_aggregates, grouped, roll_up, tick_aggregates
 
 #: A week's window starts on Monday; plain weeks start on Thursday, as the epoch did.
 WEEK = ("7 days", "7 days", "4 days")
@@ -32,15 +32,18 @@ def weekly_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def merge_months(out: str):
-    """A ``foreachBatch`` function for closed daily bars. Each batch's days are stored under its id, so a batch that
-    runs twice replaces itself; month bars are rolled up from all stored days on read."""
+    """A ``foreachBatch`` function for closed daily bars. Each batch's days are rolled up to a bar for each month that they lie in,
+    with its first day, and stored under the batch's id, so a batch that runs twice replaces itself. Days close in order, so batches'
+    bars of a month do too."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        month = F.trunc("trade_date", "MM")
+        parts = grouped(batch, ["asset_id", month.alias("month_start")], bar_aggregates("trade_date") | {"first_day": "min(trade_date)"})
+        parts.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return write
 
 
 def months(spark, out: str) -> DataFrame:
-    daily = spark.read.parquet(out)
-    return roll_up(daily, ["asset_id", F.trunc("trade_date", "MM").alias("month_start")], "trade_date")
+    """Month bars of all batches: an asset has a row for each batch and month, not for each day."""
+    return roll_up(spark.read.parquet(out), ["asset_id", "month_start"], "first_day")
