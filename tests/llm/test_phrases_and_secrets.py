@@ -246,3 +246,22 @@ def test_phrases_of_odd_tables(spark, make):
     assert collocations.collocations(make([(1, "a b c"), (2, None)])).count() == 0
     top = collocations.collocations(make(ODD)).collect()
     assert [(r.phrase, r.a) for r in top] == [(p, a) for _, _, p, a, *_ in plain_phrases([("en", t) for _, t in ODD], 100, 2000)]
+
+
+def test_very_long_words_are_found_by_halves(spark):
+    rng = random.Random(8)
+    words = {"a" * n for n in (63, 64, 65, 66, 67, 20_000, 20_001)}
+    for n in (64, 65, 66, 200):
+        w = "".join(rng.choice("abc") for _ in range(n))
+        words |= {w, w[: n // 2] + "z" + w[n // 2 :], w[1:], w[:-1] + "y", w[:40] + "x" + w[41:], "q" + w}
+    words = sorted(words)
+    got = {(r.a, r.b) for r in variants.near_pairs(spark.createDataFrame([(w, 5) for w in words], "word string, n long")).collect()}
+
+    def one_apart(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+        return len(b) == len(a) + 1 and a[i:] == b[i + 1 :]
+
+    assert got == {(a, b) for a in words for b in words if a < b and one_apart(a, b)} and len(got) > 20

@@ -6,10 +6,14 @@ positions so that they are the rarest together, are its pivots: an edit touches
 the one whose prefix ends with the rarer bigram has a pivot that is also in the other's prefix, at the same distance
 from the words' beginning (the edit is behind it, so all before it is the same too) or from their ends. Pivots are looked
 up by these limits, and each pair found is verified once.
+
+Words of over LONG letters may hold one bigram thousands of times. Pairs of these are looked up by their halves instead: one edit
+leaves the first or the last half of the shorter word as it is.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,8 @@ DELETED, LEAST_LENGTH, LEAST_COUNT, RATIO = 199, 6, 5, 5
 #: Letters that words are made of: a to z and the 64 code points from U+00C0. Their bigrams are all there can be.
 LETTERS, LATIN = 26 + 64, 0xC0
 PREFIX = 3
+#: Pairs whose shorter word has more letters are found by halves.
+LONG = 64
 COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
@@ -152,6 +158,17 @@ def entries(words: pa.Array, n: pa.Array, rank: np.ndarray) -> Iterator[pa.Recor
     size = np.diff(ends)
     for m in np.unique(size).tolist():
         own = np.flatnonzero(size == m)
+        if m > LONG:
+            out = []
+            for i in own.tolist():
+                w, c = words[i].as_py(), n[i].as_py()
+                for shorter in {max(m - 1, LONG + 1), m}:
+                    for side, half in (("<<", w[: shorter // 2]), (">>", w[-(shorter // 2) :])):
+                        key = f"{side}{shorter}:{zlib.crc32(half.encode())}"
+                        out += [(key, w, c, 0, False), (key, w, c, 0, True)]
+            yield batch_of(out)
+        if m > LONG + 1:
+            continue
         grid = code[ends[own][:, None] + np.arange(m)]
         ranks = rank[grid[:, :-1] * LETTERS + grid[:, 1:]]
         last = np.sort(ranks, axis=1)[:, PREFIX - 1]
@@ -172,7 +189,11 @@ def entries(words: pa.Array, n: pa.Array, rank: np.ndarray) -> Iterator[pa.Recor
                 for other in (m - 1, m, m + 1):
                     out.append((f"<{other}:{w[: p + 2]}", w, c, l, True))
                     out.append((f">{other}:{w[p:]}", w, c, l, True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ENTRIES, strict=True)], schema=ENTRIES)
+        yield batch_of(out)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ENTRIES, strict=True)], schema=ENTRIES)
 
 
 def bigram_ranks(words: DataFrame) -> np.ndarray:
