@@ -267,6 +267,7 @@ def test_index_compares_few_pairs_and_finds_close_links(spark, monkeypatch):
     """12,600 vectors of 32 numbers, 600 of them planted next to others just above the least cosine; a grid of over 16 x 16
     cells, of which a vector meets the residents of those that it visits itself."""
     monkeypatch.setattr(neighbours, "PER_CELL", 32)
+    monkeypatch.setattr(neighbours, "TARGET_RECALL", 0.9)  # of 24 links that are asked for, two may be left to the other side
     rng = np.random.default_rng(21)
     x = rng.normal(size=(12_000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -285,7 +286,7 @@ def test_index_compares_few_pairs_and_finds_close_links(spark, monkeypatch):
     found = neighbours.linked(placed, index, 0.93)
     links, compared = found.agg(F.sum("links"), F.sum("compared")).first()
     want = sum(int((x[i : i + 1000] @ x.T >= 0.93).sum()) for i in range(0, len(x), 1000)) - len(x)
-    assert want >= 1200 and 0.9 * want <= links <= want
+    assert index.recall >= 0.9 and want >= 1200 and 0.95 * want <= links <= want
     assert compared < 0.1 * len(rows) * (len(rows) - 1) / 2, compared / (len(rows) * (len(rows) - 1) / 2)
 
 
