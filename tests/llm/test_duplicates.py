@@ -115,6 +115,8 @@ def test_repeated_passages(make, sf_docs, monkeypatch):
     docs = make(ODD + passages()).select("doc_id", "text").union(sf_docs.select("doc_id", "text"))
     expected = plain_repeats([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
     assert digest(suffixes.remove_repeats(docs)) == expected
+    monkeypatch.setattr(suffixes, "SPLITTERS", 3)  # so that ranges are dealt out by hash too
+    assert digest(suffixes.remove_repeats(docs)) == expected
     monkeypatch.setattr(suffixes, "CROWD", 2)
     assert digest(suffixes.remove_repeats(docs)) == expected
     assert suffixes.remove_repeats(make(ODD).limit(0)).count() == 0

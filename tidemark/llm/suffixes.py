@@ -7,7 +7,8 @@ suffixes in a run would be. What is left is sorted:
 
 * every task sorts the suffixes at its classes' anchors into runs, front-coded: a suffix is the length of the prefix that
   it shares with the one before, and the rest;
-* runs are cut at sampled splitters of KEY bytes and exchanged, so suffixes that share KEY bytes meet in one place;
+* runs are cut at sampled splitters of KEY bytes and exchanged, so suffixes that share KEY bytes meet in one place. There
+  are at most SPLITTERS of them, whatever the corpus; what lies between two is dealt out further by a hash of the KEY bytes;
 * a loser tree merges the runs. It keeps each loser's common prefix with the last winner and compares only beyond it, so
   known prefixes are never compared again, and the merged suffixes come with their common prefixes;
 * windows are repeated where suffixes share enough bytes after the anchor and the windows' bytes before it are equal.
@@ -42,8 +43,8 @@ KEY = LENGTH - WINDOW + 1
 CROWD, RUN, STRETCH = 256, 10_000, 1 << 18
 #: Classes drawn by hash for each splitter; parts for each shuffle partition, and suffixes in a part on average at most.
 SAMPLE, PARTS, PART_ROWS = 16, 4, 10_000
-#: Drawn classes (two numbers each) that every executor gets; more of them are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Most splitters: the driver sees SAMPLE times as many keys (18 MB), a task's closure holds them (1 MB).
+SPLITTERS = 4_096
 #: Bytes of a word's hash.
 SYMBOL = 8
 
@@ -274,11 +275,12 @@ RUN_SCHEMA = "part int, run long, seq int, lcp int, rest binary, left binary, n
 RUN_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
 
-def sorted_runs(texts: DataFrame, splitters: list[bytes], rule: Rule = BYTES) -> DataFrame:
+def sorted_runs(texts: DataFrame, splitters: list[bytes], rule: Rule = BYTES, shares: int = 1) -> DataFrame:
     """``texts`` has text and classes (array of n, key, at, back, width, crowded). Rows of runs, front-coded and cut at the
-    splitters: the first suffix of a run in a part is whole. Crowded classes give rows with part -1 instead: run is the
-    hash of a window and seq its distance to the anchor."""
+    splitters, each range in ``shares`` by a hash of the KEY bytes: the first suffix of a run in a part is whole. Crowded
+    classes give rows with part -1 instead: run is the hash of a window and seq its distance to the anchor."""
     import bisect
+    import zlib
 
     schema = pa.schema(list(zip([c.split()[0] for c in RUN_SCHEMA.split(", ")], RUN_TYPES, strict=True)))
 
@@ -290,10 +292,9 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes], rule: Rule = BYTES) ->
 
         def flush() -> pa.RecordBatch:
             nonlocal number
-            held.sort(key=lambda x: x[0])
-            lcps, rows, last = front_coded([x[0] for x in held]), [], -1
-            for seq, ((right, left, *rest), lcp) in enumerate(zip(held, lcps, strict=True)):
-                part = bisect.bisect_right(splitters, right[: rule.key])
+            held.sort(key=lambda x: x[:2])
+            lcps, rows, last = front_coded([x[1] for x in held]), [], -1
+            for seq, ((part, right, left, *rest), lcp) in enumerate(zip(held, lcps, strict=True)):
                 lcp = lcp if part == last else 0
                 rows.append((part, number, seq, lcp, right[lcp:], left, *rest))
                 last = part
@@ -316,7 +317,9 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes], rule: Rule = BYTES) ->
                         window = hashes.stretch(start, start + rule.length).view(np.int64).tolist()
                         crowded += [(-1, w, c["at"] - s, 0, b"", b"", c["n"], c["key"], c["at"], 0, 0) for s, w in zip(start.tolist(), window, strict=True)]
                     else:
-                        held.append((raw[c["at"] : last + rule.length], raw[first : c["at"]], c["n"], c["key"], c["at"], c["back"], c["width"]))
+                        key = raw[c["at"] : c["at"] + rule.key]
+                        part = bisect.bisect_right(splitters, key) * shares + (zlib.crc32(key) % shares)
+                        held.append((part, raw[c["at"] : last + rule.length], raw[first : c["at"]], c["n"], c["key"], c["at"], c["back"], c["width"]))
                 if len(held) >= RUN:
                     yield flush()
                 if len(crowded) >= RUN:
@@ -371,7 +374,7 @@ def merged(runs: DataFrame, rule: Rule = BYTES) -> DataFrame:
 
 
 def splitters_of(several: DataFrame, docs: DataFrame, parts: int, rule: Rule = BYTES) -> list[bytes]:
-    """Quantiles of the KEY bytes at sampled classes' anchors."""
+    """Quantiles of the KEY bytes at sampled classes' anchors: SAMPLE of them for each of at most SPLITTERS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,7 +383,7 @@ def splitters_of(several: DataFrame, docs: DataFrame, parts: int, rule: Rule = B
                 yield pa.RecordBatch.from_arrays([pa.array([raw[at : at + rule.key]], pa.binary())], names=["k"])
 
     some = drawn(several, SAMPLE * parts, "mh", "sh").select("key", "at")  # pairs of numbers
-    text = docs.select("key", "text").join(F.broadcast(some) if SAMPLE * parts <= MOST_BROADCAST else some, "key")
+    text = docs.select("key", "text").join(F.broadcast(some), "key")
     if rule.step == 1:
         found = text.select(F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.lit(rule.key)))
     else:
@@ -410,7 +413,8 @@ def repeated_stretches(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     lists = several.groupBy("key").agg(F.collect_list(F.struct("n", "key", "at", "back", "width", "crowded")).alias("classes"))
     texts = docs.select("key", "text").join(lists, "key")
     parts = max(PARTS * partitions(spark), several.count() // PART_ROWS)
-    runs = cut(sorted_runs(texts, splitters_of(several, docs, parts, rule), rule), "suffix-runs")
+    splitters = splitters_of(several, docs, min(parts, SPLITTERS), rule)
+    runs = cut(sorted_runs(texts, splitters, rule, -(-parts // SPLITTERS)), "suffix-runs")
     once = merged(runs.filter("part >= 0"), rule)
     windows = runs.filter("part < 0").select(F.col("run").alias("window"), "n", "key", F.col("seq").alias("i"), "at")
     twice = windows.groupBy("window").agg(F.sum("n").alias("k")).filter("k > 1").select("window")
