@@ -440,6 +440,14 @@ def test_licence_headers_and_files(spark):
     assert [(t, got[i]) for i, (t, n) in enumerate(cases + filler) if got[i] != n] == []
 
 
+def test_bsd_wordings_of_any_length_are_pieces(spark):
+    far = "Redistribution  and\nuse of it " + "word\n" * 20_000
+    texts = [f"x {far}SUCH\n * DAMAGE. y", f"redistribution and use a such damage such damage {far}such damage", far, "such damage", "", "Redistribution and use such  damage " * 3]
+    wanted = [[f"{far}such damage"], ["redistribution and use a such damage", f"{far}such damage"], [], [], [], ["Redistribution and use such damage"] * 3]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    assert [r.p for r in rows.select("i", licences.bsd_pieces(rows.t).alias("p")).orderBy("i").collect()] == [*wanted, None]
+
+
 def plain_cosines(texts):
     """The best template of either kind for each piece of each text, by dictionaries."""
     count = lambda t: collections.Counter(re.findall(licences.TOKEN, t.lower()))

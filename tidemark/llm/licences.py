@@ -81,7 +81,7 @@ LICENCE_FILE = r"(?i)^(?:licen[sc]e|copying|unlicense|notice)(?:[.-].*)?$"
 SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([a-z0-9.+() \t-]+)"
 #: What is compared as one piece besides the whole file: the comment at its start, and a BSD wording anywhere.
 COMMENT = r"^[ \t]*(?:$|#|//|/\*|\*|;|--|<!--)"
-BSD_PIECE = r"(?is)Redistribution\s+and\s+use\s.{0,4000}?such\W+damage"
+BSD_FROM, BSD_TO = r"(?is)Redistribution\s+and\s+use\s.*", r"(?i)such\W+damage"
 #: Least cosine.
 LEAST = 0.6
 
@@ -147,8 +147,14 @@ def pieces(text: Column, sounds) -> Column:
     lines = F.split(text, "\n")
     code = F.array_position(F.transform(lines, lambda x: ~F.regexp(x, F.lit(COMMENT))), True)
     header = F.when(code > 0, F.array_join(F.slice(lines, 1, F.greatest(code - 1, F.lit(0)).cast("int")), "\n")).otherwise(text)
-    all_of = F.array_union(F.array(text, header), F.regexp_extract_all(text, F.lit(BSD_PIECE), F.lit(0)))
-    return F.filter(all_of, sounds)
+    return F.filter(F.array_union(F.array(text, header), bsd_pieces(text)), sounds)
+
+
+def bsd_pieces(text: Column) -> Column:
+    """From each first "Redistribution and use" to the next "such damage", however far; in time linear in the text."""
+    ends = F.split(text, BSD_TO)
+    begun = F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda x: F.regexp_extract(x, BSD_FROM, 0))
+    return F.transform(F.filter(begun, lambda x: x != ""), lambda x: F.concat(x, F.lit("such damage")))
 
 
 def spdx_licence(text: Column) -> Column:
