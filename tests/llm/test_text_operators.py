@@ -386,6 +386,36 @@ def test_trees_are_those_of_a_plain_search():
     assert pii.calibrated(x, rng.integers(0, 2, 80).astype(float), np.arange(80) % 3, list("abcd")).threshold == np.inf
 
 
+CANDIDATE = "doc_id long, candidates array<struct<rank int, seed boolean, " + ", ".join(f"{k} int" for k in pii.FEATURES) + ">>"
+
+
+def test_trees_come_from_all_candidates(spark):
+    """Fitted in Spark, they are those of a fit in memory; and forty candidates count among 400,000 others."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (300, len(pii.FEATURES)))
+    seed = (x[:, 1] > 3) & (x[:, 4] < 6) | (rng.random(300) < 0.02)
+    data = [(i // 3, [(len(pii.KINDS), bool(y), *map(int, row))]) for i, (row, y) in enumerate(zip(x, seed, strict=True))]
+    found = spark.createDataFrame(data, CANDIDATE)
+    fold = np.array([r.f for r in found.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(pii.FOLDS)).alias("f"), F.col("candidates")[0].alias("c")).collect()])
+    shown = [j for j, k in enumerate(pii.FEATURES) if k not in pii.HIDDEN["secret"]]
+    names = [pii.FEATURES[j] for j in shown]
+    twin = pii.calibrated(x[:, shown].astype(float), seed.astype(float), fold, names)
+    got = pii.fit(found).kinds["secret"]
+    assert len(twin.trees) > 6 and got.bias == twin.bias and np.isfinite(twin.threshold)
+    z = [m.predict(x[:, shown].astype(float), names) for m in (got, twin)]
+    assert np.abs(z[0] - z[1]).max() < 0.1 and abs(got.threshold - twin.threshold) < 0.1
+
+    def one(rank, seed, **known):
+        values = [F.coalesce(known.get(k, F.lit(1)), F.lit(1)).cast("int").alias(k) for k in pii.FEATURES]
+        return F.array(F.struct(F.lit(rank).alias("rank"), seed.alias("seed"), *values)).cast(CANDIDATE.split(" ", 3)[3]).alias("candidates")
+
+    ids = spark.range(400_000).withColumnRenamed("id", "doc_id")
+    rank = {k: len(pii.KINDS) + i for i, k in enumerate(pii.GENERATORS)}
+    many = ids.select("doc_id", one(rank["secret"], F.col("doc_id") % 2 == 0, length=F.col("doc_id") % 2 + 30))
+    few = ids.limit(40).select("doc_id", one(rank["account"], F.col("doc_id") % 4 > 0, digits=F.when(F.col("doc_id") % 4 > 0, 20).otherwise(9)))
+    assert set(pii.fit(many.union(few)).kinds) == {"secret", "account"}
+
+
 def test_clashing_columns(make, spark):
     """Names that operators use inside or give to what they find."""
     names = ["email", "ip", "card", "phone", "secret", "account", "handle", "base", "candidates", "spans", "_own", "_t", "score", "langs", "margin", "lang_pred", "shares"]

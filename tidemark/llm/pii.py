@@ -7,13 +7,14 @@ surroundings, and a threshold calibrated on held-out candidates of its kind deci
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drawn, table
+from .common import cut, remove, table
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The same matches as the contract's patterns, written so that no search is quadratic or recurses without bound: runs
@@ -34,9 +35,12 @@ GENERATORS = {
 #: Cheap signs that a pattern may match at all.
 SIGNS = {"email": "@", "ip": None, "card": None, "phone": "+", "secret": None, "account": None, "handle": None}
 BLOCK, CONTEXT = 512, 24
-#: Candidates that trees are fitted on, at most (chosen by hash); trees, their rate, folds that calibrate, and the
-#: precision that a kind must reach, smoothed by one candidate of the kind's own share.
-SAMPLE_ROWS, TREES, RATE, FOLDS, PRECISION = 20_000, 30, 0.3, 3, 0.95
+#: Trees, their rate, folds that calibrate, and the precision that a kind must reach, smoothed by one candidate of the
+#: kind's own share.
+TREES, RATE, FOLDS, PRECISION = 30, 0.3, 3, 0.95
+#: Thresholds of a feature at most. Leaves are whole numbers of 1/GRID up to LEAF, so that a kind has at most some 250,000
+#: scores; gradients are summed as whole numbers of 1/UNIT, in any order alike. So many trees are added before scores are stored.
+CUTS, GRID, LEAF, UNIT, STORED = 32, 1024, 4.0, 1 << 24, 6
 FORMAT = ["length", "digits", "letters", "upper", "separators", "turns", "distinct"]
 CONTEXT_FEATURES = ["keyword", "assigned", "quoted", "word_left", "word_right", "plus"]
 FEATURES = [*FORMAT, *CONTEXT_FEATURES]
@@ -249,33 +253,56 @@ class Models:
 
 
 def cuts_of(x: np.ndarray) -> list[np.ndarray]:
-    """At most 32 thresholds for each feature."""
+    """At most CUTS thresholds for each feature."""
     out = []
     for j in range(x.shape[1]):
         values = np.unique(x[:, j])
-        out.append(values[:-1] if len(values) <= 32 else np.unique(np.quantile(values[:-1], np.linspace(0, 1, 32), method="nearest")))
+        out.append(values[:-1] if len(values) <= CUTS else np.unique(np.quantile(values[:-1], np.linspace(0, 1, CUTS), method="nearest")))
     return out
 
 
-def _split(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
-    """The feature and cut with the largest gain of a Newton step."""
-    best, choice = 1e-9, (0, np.inf)
+def _best(sums: np.ndarray, cuts: list[np.ndarray]) -> tuple[int, int, float, float]:
+    """From sums of gradients and curvatures by feature and bin: the feature and cut with the largest gain of a Newton step,
+    and the leaves under and over it. Without a gain all goes under."""
+    g, h = sums[0].sum(axis=0)
+    best, choice = 1e-9, (0, CUTS, _leaf(g, h), 0.0)
     for j, own in enumerate(cuts):
         if not len(own):
             continue
-        gl, hl = (np.cumsum(np.bincount(bins[:, j], v, len(own) + 1)) for v in (g, h))
-        gain = gl**2 / (hl + 1) + (gl[-1] - gl) ** 2 / (hl[-1] - hl + 1) - gl[-1] ** 2 / (hl[-1] + 1)
-        k = int(gain[:-1].argmax())
+        gl, hl = sums[j, : len(own)].cumsum(axis=0).T
+        gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+        k = int(gain.argmax())
         if gain[k] > best:
-            best, choice = float(gain[k]), (j, float(own[k]))
+            best, choice = float(gain[k]), (j, k, _leaf(gl[k], hl[k]), _leaf(g - gl[k], h - hl[k]))
     return choice
 
 
+def _leaf(g: float, h: float) -> float:
+    return round(float(np.clip(RATE * g / (h + 1), -LEAF, LEAF)) * GRID) / GRID
+
+
+def _bias(share: float) -> float:
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return round(float(np.log(share / (1 - share))) * GRID) / GRID
+
+
+def _at(cuts: list[np.ndarray], j: int, k: int) -> float:
+    return float(cuts[j][k]) if k < CUTS else np.inf
+
+
+def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.stack([np.stack([np.bincount(b, v, CUTS + 1) for v in (g, h)], axis=1) for b in bins.T])
+
+
+def _split(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
+    """The feature and threshold that ``_best`` finds for rows in memory."""
+    j, k, *_ = _best(_sums(bins, g, h), cuts)
+    return j, _at(cuts, j, k)
+
+
 def boost(x: np.ndarray, y: np.ndarray, names: list[str]) -> Boosted:
-    """Logistic boosting by Newton steps."""
-    model = Boosted()
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
-    model.bias = float(np.log(share / (1 - share)))
+    """Logistic boosting by Newton steps, of rows in memory: what ``fit`` does in Spark, for tests to hold it against."""
+    model = Boosted(_bias(float(y.mean()) if len(y) else 0.0))
     cuts = cuts_of(x)
     bins = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
     z = np.full(len(x), model.bias)
@@ -287,19 +314,16 @@ def boost(x: np.ndarray, y: np.ndarray, names: list[str]) -> Boosted:
         j, t = _split(bins, cuts, g, h)
         sides, low = [], x[:, j] <= t
         for part in (low, ~low):
-            k, u = _split(bins[part], cuts, g[part], h[part])
-            under = part & (x[:, k] <= u)
-            leaf = [float(RATE * g[s].sum() / (h[s].sum() + 1)) for s in (under, part & ~under)]
-            z[under] += leaf[0]
-            z[part & ~under] += leaf[1]
-            sides.append((names[k], u, *leaf))
+            i, k, *leaf = _best(_sums(bins[part], g[part], h[part]), cuts)
+            sides.append((names[i], _at(cuts, i, k), *leaf))
         model.trees.append((names[j], t, *sides))
+        z = model.predict(x, names)
     return model
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, fold: np.ndarray, names: list[str]) -> Boosted:
-    """Trees from all rows. The threshold is the lowest at which scores of trees that haven't seen a row, by folds, reach
-    PRECISION; none, where they don't."""
+    """Trees from all rows in memory. The threshold is the lowest at which scores of trees that haven't seen a row, by folds,
+    reach PRECISION; none, where they don't."""
     model = boost(x, y, names)
     z = np.zeros(len(x))
     for k in range(FOLDS):
@@ -313,19 +337,104 @@ def calibrated(x: np.ndarray, y: np.ndarray, fold: np.ndarray, names: list[str])
     return model
 
 
+def _constant(value, kind: str) -> Column:
+    """A nested value as a literal, which generated code only refers to: queries that differ in it share their code."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _tree(z: Column, bins: Column, t: Column) -> Column:
+    """The score after a tree: feature and bin of the split, then the same and the leaves of both sides."""
+    side = lambda i: F.when(F.get(bins, F.get(t, i)) <= F.get(t, i + 1), F.get(t, i + 2)).otherwise(F.get(t, i + 3))
+    return z + F.when(F.get(bins, F.get(t, 0)) <= F.get(t, 1), side(2)).otherwise(side(6))
+
+
 def fit(found: DataFrame) -> Models:
-    """Trees from a bounded sample of all candidates (``found`` has doc_id and candidates)."""
-    each = found.select(F.xxhash64("doc_id").alias("h"), F.explode("candidates").alias("c")).select("h", "c.*")
-    rows = drawn(each, SAMPLE_ROWS, "h", "start", "end", "rank").select("h", "kind", "seed", *FEATURES).collect()
-    models = Models()
-    for kind in GENERATORS:
-        of = [r for r in rows if r.kind == kind]
-        names = [k for k in FEATURES if k not in HIDDEN[kind]]
-        x, y = np.array([[float(r[k]) for k in names] for r in of]).reshape(-1, len(names)), np.array([float(r.seed) for r in of])
-        if y.any():
-            model = calibrated(x, y, np.array([r.h % FOLDS for r in of]), names)
-            if np.isfinite(model.threshold):
-                models.kinds[kind] = model
+    """Trees from all candidates (``found`` has doc_id and candidates), and thresholds from trees that haven't seen a fold.
+
+    Candidates alike in all features are one row with their number. Spark sums gradients by feature and bin, for all kinds,
+    all folds left out and none at once, twice a tree; the driver gets these sums, at most 2 * len(FEATURES) * (CUTS + 1) for
+    each kind and fold, and never a candidate. Sums are whole numbers, so the trees don't depend on how rows are dealt out.
+    """
+    base, models = len(KINDS), Models()
+    each = found.select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.explode("candidates").alias("c"))
+    each = each.select("fold", (F.col("c.rank") - base).alias("rank"), F.coalesce(F.col("c.seed"), F.lit(False)).cast("int").alias("seed"), F.array(*[F.col(f"c.{k}") for k in FEATURES]).alias("x"))
+    rows = cut(each.groupBy("rank", "fold", "seed", "x").agg(F.count("*").alias("n")), "pii-rows")
+    by = {(r["rank"], r["fold"]): (r["n"], r["hits"]) for r in rows.groupBy("rank", "fold").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("seed")).alias("hits")).collect()}
+    total = lambda r, but=None: np.sum([v for (q, f), v in by.items() if q == r and f != but] or [(0, 0)], axis=0)
+    kinds = [(r, kind) for r, kind in enumerate(GENERATORS) if total(r)[1]]
+    if not kinds:
+        remove(rows)
+        return models
+    values = rows.select("rank", F.posexplode("x")).distinct()
+    at = F.array(*[F.lit(i / (CUTS - 1)) for i in range(CUTS)])
+    spread = {(r["rank"], r["pos"]): (r["at"], r["most"]) for r in values.groupBy("rank", "pos").agg(F.percentile("col", at).alias("at"), F.max("col").alias("most")).collect()}
+
+    def cuts_for(r: int, kind: str, j: int) -> np.ndarray:
+        found, most = spread[r, j]
+        cuts = np.unique(np.floor(found))
+        return np.zeros(0) if FEATURES[j] in HIDDEN[kind] else cuts[cuts < most]
+
+    cuts = [[cuts_for(r, kind, j) for j in range(len(FEATURES))] for r, kind in kinds]
+    # model m of a kind leaves out fold m; the last one none
+    many = FOLDS + 1
+    of = [(i, kind, m) for i, (_, kind) in enumerate(kinds) for m in range(many)]
+    forest = [Boosted(_bias(float(np.divide(*total(kinds[i][0], m)[::-1])) if total(kinds[i][0], m)[0] else 0.0)) for i, _, m in of]
+    own = _constant([[c.tolist() for c in k] for k in cuts], "array<array<array<double>>>")
+    place = F.array_position(F.array(*[F.lit(r) for r, _ in kinds]), F.col("rank")).cast("int") - 1
+    binned = rows.withColumn("k", place).filter("k >= 0").withColumn("own", F.get(own, F.col("k")))
+    bins = F.transform("x", lambda x, j: F.size(F.filter(F.get(F.col("own"), j), lambda t: t < x)))
+    start = F.get(_constant([round(b.bias * GRID) for b in forest], "array<int>"), F.col("model"))
+    made = binned.select("fold", "seed", "n", bins.alias("bins"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(FOLDS)), lambda m: F.col("k") * many + m)).alias("m", "model"))
+    state = cut(made.select("model", (F.col("m") == F.col("fold")).alias("held"), "seed", "n", "bins", start.alias("z")), "pii-state")
+    remove(rows)
+
+    pending: list[list[list[int]]] = [[] for _ in of]
+
+    def scored() -> Column:
+        trees = F.get(_constant(pending, "array<array<array<int>>>"), F.col("model"))
+        return F.aggregate(trees, F.col("z"), lambda z, t: _tree(z, F.col("bins"), t))
+
+    def sums(roots: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """By model, side of its root, feature and bin; and the largest gradient of each model. Done models have no root."""
+        root = F.get(_constant(roots, "array<array<int>>"), F.col("model"))
+        seen = state.filter(~F.col("held")).withColumn("root", root).filter(F.size("root") > 0).withColumn("p", 1 / (1 + F.exp(-scored() / GRID)))
+        whole = lambda x: F.round(x * UNIT).cast("long")
+        seen = seen.select("model", "n", "bins", (F.get(F.col("bins"), F.get("root", 0)) <= F.get("root", 1)).alias("under"), whole(F.col("seed") - F.col("p")).alias("g"), whole(F.col("p") * (1 - F.col("p"))).alias("h"))
+        cells = seen.select("model", "under", "n", "g", "h", F.posexplode("bins").alias("j", "bin")).groupBy("model", "under", "j", "bin")
+        out, top = np.zeros((len(of), 2, len(FEATURES), CUTS + 1, 2)), np.zeros(len(of))
+        for r in cells.agg(F.sum(F.col("n") * F.col("g")).alias("g"), F.sum(F.col("n") * F.col("h")).alias("h"), F.max(F.abs("g")).alias("top")).collect():
+            out[r["model"], 0 if r["under"] else 1, r["j"], r["bin"]] = r["g"] / UNIT, r["h"] / UNIT
+            top[r["model"]] = max(top[r["model"]], r["top"] / UNIT)
+        return out, top
+
+    open_models = list(range(len(of)))
+    for _ in range(TREES):
+        whole, top = sums([[0, CUTS] if i in open_models else [] for i in range(len(of))])
+        open_models = [i for i in open_models if top[i] >= 0.02]
+        if not open_models:
+            break
+        roots = {i: _best(whole[i, 0], cuts[of[i][0]])[:2] for i in open_models}
+        parts, _ = sums([list(roots[i]) if i in roots else [] for i in range(len(of))])
+        for i, (j, k) in roots.items():
+            c = cuts[of[i][0]]
+            sides = [_best(parts[i, side], c) for side in (0, 1)]
+            forest[i].trees.append((FEATURES[j], _at(c, j, k), *[(FEATURES[f], _at(c, f, b), *leaf) for f, b, *leaf in sides]))
+            pending[i].append([j, k, *[v for f, b, *leaf in sides for v in (f, b, *[round(x * GRID) for x in leaf])]])
+        if max(map(len, pending)) >= STORED:
+            new = cut(state.withColumn("z", scored()), "pii-state")
+            remove(state)
+            state, pending = new, [[] for _ in of]
+    # the lowest score at which what lies above it, of candidates that its trees haven't seen, is precise enough
+    kind = F.floor(F.col("model") / many).cast("int")
+    scores = state.filter("held").select(kind.alias("k"), scored().alias("z"), "n", (F.col("n") * F.col("seed")).alias("hits")).groupBy("k", "z").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    above = Window.partitionBy("k").orderBy(F.desc("z"))
+    share = F.get(_constant([float(total(r)[1] / total(r)[0]) for r, _ in kinds], "array<double>"), F.col("k"))
+    precise = (F.sum("hits").over(above) + share) / (F.sum("n").over(above) + 1) >= PRECISION
+    least = scores.withColumn("good", precise).filter("good").groupBy("k").agg(F.min("z").alias("z")).collect()
+    remove(state)
+    for r in least:
+        models.kinds[kinds[r["k"]][1]] = model = forest[r["k"] * many + FOLDS]
+        model.threshold = r["z"] / GRID
     return models
 
 
