@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from unittest import mock
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, langid, licences, packing, pii, quality, toxicity
-from tidemark.llm.common import fold
+from tidemark.llm.common import fold, give_back
 
 from .conftest import ODD, SF
 
@@ -529,6 +530,15 @@ def test_fold(make, buckets):
     assert all(r.f == zlib.crc32(str(k if k is not None else "").encode()) % buckets for k, rs in got.items() for r in rs)
 
 
+@pytest.mark.parametrize(("total", "times"), [(300, 0), (500, 1)])
+def test_the_drivers_heap_is_cleared_past_half_of_it(total, times):
+    driver = mock.MagicMock()
+    driver.sparkContext._jvm.java.lang.Runtime.getRuntime().totalMemory.return_value = total
+    driver.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory.return_value = 750
+    give_back(driver)
+    assert driver.sparkContext._jvm.java.lang.System.gc.call_count == times
+
+
 def with_check_digits(country, rest):
     number = "".join(str(int(c, 36)) for c in rest + country + "00")
     return f"{country}{98 - int(number) % 97:02d}{rest}"

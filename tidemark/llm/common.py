@@ -50,7 +50,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     settle(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    give_back()
+    give_back(spark)
     made = spark.read.schema(df.schema).parquet(path)
     _paths[id(made)] = made, path
     return made
@@ -63,13 +63,18 @@ def remove(*tables: DataFrame) -> None:
         df.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def give_back() -> None:
-    """Return memory that this process has freed: collected tables and broadcast arrays come and go from step to step, and what
-    the allocators keep of them would add up beside the driver's JVM."""
+def give_back(spark: SparkSession) -> None:
+    """Return memory that the driver has freed: collected tables and broadcast arrays come and go from step to step, and what
+    the allocators keep of them would add up beside the driver's JVM. That one keeps what plans leave behind until its heap is
+    full; past half of it the garbage goes, and with it the broadcasts that nothing holds any more."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        jvm.java.lang.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
