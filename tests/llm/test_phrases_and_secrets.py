@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -241,6 +242,41 @@ def test_tries_hold_their_paths_and_no_others():
             assert found.tolist() == [want.get(tuple(r), -1) for r in rows.tolist()]
 
 
+def test_a_trie_is_built_in_time_that_follows_its_nodes():
+    rng = np.random.default_rng(6)
+    symbols, n = 30_000, 70_000
+    often = lambda: (symbols ** rng.random(n)).astype(np.int64).clip(0, symbols - 1)
+    paths = np.unique(np.stack([rng.integers(0, 4, n), often(), often()], axis=1), axis=0)
+    began = time.process_time()
+    trie = tries.build(paths, symbols)
+    assert time.process_time() - began < 5
+    node, at = np.zeros(len(paths), np.int64), np.arange(len(paths))
+    for d in range(3):
+        have, node = trie.step(node, paths[at, d])
+        at = at[have]
+    assert (trie.entry[node] == np.arange(len(paths))).all()
+
+
+def test_a_node_of_many_children_has_no_others():
+    for symbols in (40, 3000):
+        own = np.arange(0, symbols, 2)
+        trie = tries.build(np.stack([np.zeros(len(own), np.int64), own], axis=1), symbols)
+        _, node = trie.step(np.zeros(1, np.int64), np.zeros(1, np.int64))
+        have, to = trie.step(np.repeat(node, symbols), np.arange(symbols))
+        assert have.tolist() == own.tolist() and trie.entry[to].tolist() == list(range(len(own)))
+        assert not len(trie.step(np.repeat(to, symbols), np.tile(np.arange(symbols), len(to)))[0])
+
+
+def test_words_are_found_by_hash_as_by_text():
+    words = [f"w{i}é" for i in range(500)]
+    rows = pa.table({"lang": ["en"] * 500, "phrase": words})
+    block, asked = collocations.block_of(rows, 1), pa.array(["none", "w7é", "w499é", "w7", "other", "w0é"])
+    got = block.symbols_of(asked).tolist()
+    assert len(block.hashes) == 500 and [block.words[k].as_py() if k >= 0 else None for k in got] == [None, "w7é", "w499é", None, None, "w0é"]
+    block.hashes = block.hashes[:0]
+    assert block.symbols_of(asked).tolist() == got
+
+
 def test_phrases_of_odd_tables(spark, make):
     assert collocations.collocations(make(ODD).limit(0)).count() == 0
     assert collocations.collocations(make([(1, "a b c"), (2, None)])).count() == 0

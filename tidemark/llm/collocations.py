@@ -3,8 +3,9 @@
 Phrases are counted by length. A pass over the texts takes a double-array trie of the candidates of one length, which
 holds every phrase that can still be frequent, as a phrase is at most as frequent as its parts. In each task numpy moves
 all text positions through the trie at once, word by word, and counts the entries reached; shards are summed in Spark.
-The same pass proposes candidates of the next length, from overlapping entries at neighbouring positions; those that
-occur often enough go into the next trie. Many candidates are split by hash into tries of a bounded size, one pass each.
+The same pass proposes candidates of the next length, from overlapping entries at neighbouring positions, by the numbers of
+both; those that occur often enough go into the next trie. Many candidates are split by hash into tries of a bounded size, one
+pass each; these propose by an entry and the word after it.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, remove, table
-from .hashing import LOWER, buffer, slices
+from .common import cut, table
+from .hashing import LOWER, buffer, slices, word_hashes
 from .tries import Trie, build
 
 #: Of the contract: occurrences that a candidate needs, its words at most, and phrases reported for each language.
 LEAST, WORDS, TOP = 100, 5, 2000
-#: Candidates in one trie, about: it is sent to every executor.
-BLOCK = 1 << 19
+#: Candidates of up to two words in one trie, about, and of longer ones so many fewer: it is sent to every executor.
+BLOCK = 1 << 21
 #: Languages whose sums are broadcast; more are joined by a shuffle.
 FEW_LANGS = 1 << 16
 #: Bytes of text handled at a time.
@@ -51,15 +52,15 @@ def words_of(texts: pa.Array) -> Words:
     """Words of texts without nulls; texts begin pieces of their own."""
     raw, offsets = buffer(texts)
     n = len(texts)
-    wide = np.full(len(raw) + n + 1, 10, np.uint8)  # a break before each text and at the end
-    wide[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = LOWER[raw]
+    wide, own = np.full(len(raw) + n + 1, 10, np.uint8), np.ones(len(raw) + n + 1, bool)
+    own[offsets + np.arange(n + 1)] = False  # a break before each text and at the end
+    wide[own] = LOWER[raw]
     kind = KIND[wide]
     solid = kind == 0
-    at = np.flatnonzero(solid)
-    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    begin = at[first]
-    ends = np.append(first, len(at)).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.tobytes()), pa.py_buffer(wide[solid].tobytes()))
+    begin = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+    size = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1 - begin
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends.tobytes()), pa.py_buffer(wide[solid].tobytes()))
     coded = words.dictionary_encode()
     piece = np.cumsum(kind == SPLIT, dtype=np.int32)[begin]
     text = np.searchsorted(offsets[1:] + np.arange(1, n + 1), begin, "right")
@@ -93,19 +94,38 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Block:
-    """A trie of candidates of ``length`` words, after their language, and the words in it by symbol."""
+    """A trie of candidates of ``length`` words, after their language, and the words in it: by symbol, and their hashes in order
+    with the symbol of each. Without hashes (if two are equal) words are looked up as texts."""
 
     length: int
     trie: Trie
     langs: pa.Array
     words: pa.Array
     entries: int
+    hashes: np.ndarray
+    symbols: np.ndarray
+
+    def symbols_of(self, distinct: pa.Array) -> np.ndarray:
+        """The symbol of each word, or -1. A hash table of all own words, made for each slice, costs more than the slice where
+        they are many."""
+        if not len(self.hashes) or len(self.words) <= 2 * len(distinct):
+            return pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        h, _ = word_hashes(distinct)
+        order, at = np.argsort(h), np.empty(len(h), np.int64)
+        at[order] = np.searchsorted(self.hashes, h[order])  # in order, which is several times as fast
+        at = np.minimum(at, len(self.hashes) - 1)
+        maybe = np.flatnonzero(self.hashes[at] == h)
+        symbol = self.symbols[at[maybe]]
+        same = pc.equal(self.words.take(pa.array(symbol)), distinct.take(pa.array(maybe))).to_numpy(zero_copy_only=False)
+        out = np.full(len(distinct), -1, np.int32)
+        out[maybe[same]] = symbol[same]
+        return out
 
     def entries_at(self, w: Words, lang: np.ndarray, langs: pa.Array) -> np.ndarray:
         """For each position the entry of the phrase that begins there, or -1: all positions take a step at a time."""
         out = np.full(len(w.code), -1, np.int64)
         lang_symbol = pc.index_in(langs, value_set=self.langs).fill_null(-1).to_numpy(zero_copy_only=False)
-        symbol = pc.index_in(w.distinct, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)[w.code]
+        symbol = self.symbols_of(w.distinct)[w.code]
         at = np.flatnonzero((symbol >= 0) & (lang_symbol[lang] >= 0))
         node = np.zeros(len(at), np.int64)
         have, node = self.trie.step(node, lang_symbol[lang[at]])
@@ -123,26 +143,34 @@ class Block:
 
 
 def block_of(rows: pa.Table, length: int) -> Block:
-    """A block of (id, lang, phrase): ids are 0 and up."""
-    if rows.num_rows:
-        rows = rows.take(pc.sort_indices(rows, [("id", "ascending")]))
-    langs = pc.unique(rows["lang"].combine_chunks())
-    split = pc.split_pattern(rows["phrase"].combine_chunks(), " ")
-    flat = split.flatten().dictionary_encode()
-    code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    """A block of (lang, phrase), numbered in their order."""
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    flat = pc.split_pattern(rows["phrase"].combine_chunks(), " ").flatten().dictionary_encode()
+    code = flat.indices.to_numpy(zero_copy_only=False)
     # frequent words get small numbers, which pack more tightly
     often = np.argsort(-np.bincount(code, minlength=len(flat.dictionary)), kind="stable")
-    number = np.empty(len(often), np.int64)
-    number[often] = np.arange(len(often))
-    lang = pc.index_in(rows["lang"].combine_chunks(), value_set=langs).to_numpy(zero_copy_only=False).astype(np.int64)
-    paths = np.concatenate([lang[:, None], len(langs) + number[code].reshape(-1, length)], axis=1)
-    return Block(length, build(paths, len(langs) + len(often)), langs, flat.dictionary.take(pa.array(often)), rows.num_rows)
+    number = np.empty(len(often), np.int32)
+    number[often] = np.arange(len(lang.dictionary), len(lang.dictionary) + len(often))
+    paths = np.concatenate([lang.indices.to_numpy(zero_copy_only=False)[:, None], number[code].reshape(-1, length)], axis=1)
+    words, symbols = flat.dictionary.take(pa.array(often)), len(lang.dictionary) + len(often)
+    del flat, code
+    hashes, _ = word_hashes(words)
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    hashes = hashes[order]
+    if (hashes[1:] == hashes[:-1]).any():
+        hashes = hashes[:0]
+    return Block(length, build(paths, symbols), lang.dictionary, words, rows.num_rows, hashes, order)
+
+
+def counts(id: np.ndarray, after: pa.Array, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(id.astype(np.int32)), after, pa.array(n.astype(np.int64))], names=names)
 
 
 def passed(docs: DataFrame, block: Block, propose: bool, alone: bool) -> DataFrame:
-    """One pass with one trie: (id, next, n), with no next the entry's occurrences, else those followed by that word. With ``alone``
-    (the block holds all candidates) only where the phrase that begins a word later is a candidate too."""
-    length = block.length
+    """One pass with one trie: (id, after, n), with no ``after`` the entry's occurrences. With ``alone`` (the block holds all
+    candidates) ``after`` is the entry that begins a word later, else the word after the entry."""
+    length, names = block.length, ["id", "after", "n"]
+    kind = pa.int32() if alone else pa.string()
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +185,20 @@ def passed(docs: DataFrame, block: Block, propose: bool, alone: bool) -> DataFra
                 if alone:
                     on &= entry[1 : len(entry) - length + 1] >= 0
                 at = np.flatnonzero(on)
-                both, n = np.unique(entry[at] * len(w.distinct) + w.code[at + length], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((both // len(w.distinct)).astype(np.int32)), w.distinct.take(pa.array(both % len(w.distinct))), pa.array(n.astype(np.int64))], names=["id", "next", "n"])
+                far = own.entries if alone else len(w.distinct)
+                both, n = np.unique(entry[at] * far + (entry[at + 1] if alone else w.code[at + length]), return_counts=True)
+                yield counts(both // far, pa.array((both % far).astype(np.int32)) if alone else w.distinct.take(pa.array(both % far)), n, names)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.string()), pa.array(total[some])], names=["id", "next", "n"])
+        yield counts(some, pa.nulls(len(some), kind), total[some], names)
 
-    found = _given(docs).mapInArrow(walk, "id int, next string, n long").groupBy("id", "next").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    return found
+    found = _given(docs).mapInArrow(walk, f"id int, after {'int' if alone else 'string'}, n long")
+    return found.groupBy("id", "after").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
 
 
 def counted(docs: DataFrame, candidates: DataFrame, length: int, block: int) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, f) of the frequent candidates, (lang, phrase) of those one word longer). ``candidates`` is a stored
     table of distinct (lang, phrase)."""
-    blocks = max(1, -(-candidates.count() // block))
+    blocks = max(1, -(-candidates.count() * max(2, length) // (2 * block)))
     dealt = candidates.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)))
     known, longer = None, None
     for k in range(blocks):
@@ -177,19 +206,23 @@ def counted(docs: DataFrame, candidates: DataFrame, length: int, block: int) ->
         rows = dealt.filter(F.col("block") == k).select("lang", "phrase").orderBy("lang", "phrase").toArrow()
         if not rows.num_rows:
             continue
-        rows = rows.append_column("id", pa.array(np.arange(rows.num_rows, dtype=np.int32)))
         found = cut(passed(docs, block_of(rows, length), length < WORDS, blocks == 1), "phrases-pass")
-        names = docs.sparkSession.createDataFrame(rows)
-        own = found.filter(F.col("next").isNull()).join(names, "id").select("lang", "phrase", F.col("n").alias("f"))
-        more = found.filter(F.col("next").isNotNull()).join(names, "id").select("lang", F.concat_ws(" ", "phrase", "next").alias("phrase"))
+        names = docs.sparkSession.createDataFrame(rows.append_column("id", pa.array(np.arange(rows.num_rows, dtype=np.int32))))
+        own = found.filter(F.col("after").isNull()).join(names, "id").select("lang", "phrase", F.col("n").alias("f"))
+        more = found.filter(F.col("after").isNotNull()).join(names, "id")
+        if blocks == 1:
+            last = names.select(F.col("id").alias("after"), F.substring_index("phrase", " ", -1).alias("last"))
+            more = more.join(last, "after").withColumnRenamed("after", "_").withColumnRenamed("last", "after")
+        more = more.select("lang", F.concat_ws(" ", "phrase", "after").alias("phrase"))
         known, longer = (own, more) if known is None else (known.unionByName(own), longer.unionByName(more))
     if known is None:
         return candidates.withColumn("f", F.lit(0).cast("long")), candidates
     known = cut(known, f"phrases-{length}")
-    longer = longer.withColumn("rest", F.substring("phrase", F.locate(" ", "phrase") + 1, F.length("phrase")))
-    # what is one word longer needs its later part to be frequent too
-    safe = longer.join(known.select("lang", F.col("phrase").alias("rest")), ["lang", "rest"], "left_semi").select("lang", "phrase")
-    return known, cut(safe, f"phrases-next-{length}")
+    if blocks > 1:
+        longer = longer.withColumn("rest", F.substring("phrase", F.locate(" ", "phrase") + 1, F.length("phrase")))
+        # what is one word longer needs its later part to be frequent too
+        longer = longer.join(known.select("lang", F.col("phrase").alias("rest")), ["lang", "rest"], "left_semi").select("lang", "phrase")
+    return known, cut(longer, f"phrases-next-{length}")
 
 
 def frequent_phrases(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
