@@ -269,7 +269,7 @@ def test_a_node_of_many_children_has_no_others():
 
 def test_words_are_found_by_hash_as_by_text():
     words = [f"w{i}é" for i in range(500)]
-    rows = pa.table({"lang": ["en"] * 500, "phrase": words})
+    rows = pa.table({"id": range(500), "lang": ["en"] * 500, "phrase": words})
     block, asked = collocations.block_of(rows, 1), pa.array(["none", "w7é", "w499é", "w7", "other", "w0é"])
     got = block.symbols_of(asked).tolist()
     assert len(block.hashes) == 500 and [block.words[k].as_py() if k >= 0 else None for k in got] == [None, "w7é", "w499é", None, None, "w0é"]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, table
 from .hashing import LOWER, buffer, slices, word_hashes
 from .tries import Trie, build
 
@@ -94,14 +94,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Block:
-    """A trie of candidates of ``length`` words, after their language, and the words in it: by symbol, and their hashes in order
-    with the symbol of each. Without hashes (if two are equal) words are looked up as texts."""
+    """A trie of candidates of ``length`` words, after their language, the id of each entry, and the words in it: by symbol, and their
+    hashes in order with the symbol of each. Without hashes (if two are equal) words are looked up as texts."""
 
     length: int
     trie: Trie
     langs: pa.Array
     words: pa.Array
-    entries: int
+    ids: np.ndarray
     hashes: np.ndarray
     symbols: np.ndarray
 
@@ -143,7 +143,7 @@ class Block:
 
 
 def block_of(rows: pa.Table, length: int) -> Block:
-    """A block of (lang, phrase), numbered in their order."""
+    """A block of (id, lang, phrase)."""
     lang = rows["lang"].combine_chunks().dictionary_encode()
     flat = pc.split_pattern(rows["phrase"].combine_chunks(), " ").flatten().dictionary_encode()
     code = flat.indices.to_numpy(zero_copy_only=False)
@@ -159,39 +159,40 @@ def block_of(rows: pa.Table, length: int) -> Block:
     hashes = hashes[order]
     if (hashes[1:] == hashes[:-1]).any():
         hashes = hashes[:0]
-    return Block(length, build(paths, symbols), lang.dictionary, words, rows.num_rows, hashes, order)
+    return Block(length, build(paths, symbols), lang.dictionary, words, rows["id"].to_numpy(), hashes, order)
 
 
 def counts(id: np.ndarray, after: pa.Array, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(id.astype(np.int32)), after, pa.array(n.astype(np.int64))], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(id), after, pa.array(n.astype(np.int64))], names=names)
 
 
 def passed(docs: DataFrame, block: Block, propose: bool, alone: bool) -> DataFrame:
     """One pass with one trie: (id, after, n), with no ``after`` the entry's occurrences. With ``alone`` (the block holds all
-    candidates) ``after`` is the entry that begins a word later, else the word after the entry."""
+    candidates) ``after`` is the id of the entry that begins a word later, else the word after the entry."""
     length, names = block.length, ["id", "after", "n"]
-    kind = pa.int32() if alone else pa.string()
+    kind = pa.int64() if alone else pa.string()
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        total = np.zeros(own.entries, np.int64)
+        entries = len(own.ids)
+        total = np.zeros(entries, np.int64)
         for w, lang, langs in each_slice(batches):
             entry = own.entries_at(w, lang, langs)
-            total += np.bincount(entry[entry >= 0], minlength=own.entries)
+            total += np.bincount(entry[entry >= 0], minlength=entries)
             if propose and len(entry) > length:
                 on = entry[:-length] >= 0
                 on &= w.piece[:-length] == w.piece[length:]
                 if alone:
                     on &= entry[1 : len(entry) - length + 1] >= 0
                 at = np.flatnonzero(on)
-                far = own.entries if alone else len(w.distinct)
+                far = entries if alone else len(w.distinct)
                 both, n = np.unique(entry[at] * far + (entry[at + 1] if alone else w.code[at + length]), return_counts=True)
-                yield counts(both // far, pa.array((both % far).astype(np.int32)) if alone else w.distinct.take(pa.array(both % far)), n, names)
+                yield counts(own.ids[both // far], pa.array(own.ids[both % far]) if alone else w.distinct.take(pa.array(both % far)), n, names)
         some = np.flatnonzero(total)
-        yield counts(some, pa.nulls(len(some), kind), total[some], names)
+        yield counts(own.ids[some], pa.nulls(len(some), kind), total[some], names)
 
-    found = _given(docs).mapInArrow(walk, f"id int, after {'int' if alone else 'string'}, n long")
+    found = _given(docs).mapInArrow(walk, f"id long, after {'long' if alone else 'string'}, n long")
     return found.groupBy("id", "after").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
 
 
@@ -199,15 +200,20 @@ def counted(docs: DataFrame, candidates: DataFrame, length: int, block: int) ->
     """((lang, phrase, f) of the frequent candidates, (lang, phrase) of those one word longer). ``candidates`` is a stored
     table of distinct (lang, phrase)."""
     blocks = max(1, -(-candidates.count() * max(2, length) // (2 * block)))
-    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)))
+    # stored with their ids, so that the driver need not send back what it collects
+    names = cut(candidates.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase"), "phrases-names")
     known, longer = None, None
     for k in range(blocks):
-        # bounded: about ``block`` rows of a hash; numbered by their order
-        rows = dealt.filter(F.col("block") == k).select("lang", "phrase").orderBy("lang", "phrase").toArrow()
+        # bounded: about ``block`` rows of a hash
+        rows = names.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == k).toArrow()
         if not rows.num_rows:
             continue
-        found = cut(passed(docs, block_of(rows, length), length < WORDS, blocks == 1), "phrases-pass")
-        names = docs.sparkSession.createDataFrame(rows.append_column("id", pa.array(np.arange(rows.num_rows, dtype=np.int32))))
+        one = block_of(rows, length)
+        del rows
+        found = passed(docs, one, length < WORDS, blocks == 1)
+        del one
+        give_back(docs.sparkSession)
+        found = cut(found, "phrases-pass")
         own = found.filter(F.col("after").isNull()).join(names, "id").select("lang", "phrase", F.col("n").alias("f"))
         more = found.filter(F.col("after").isNotNull()).join(names, "id")
         if blocks == 1:
